@@ -49,14 +49,14 @@ def missing_symbols(required: DataFrame, stocks: DataFrame) -> DataFrame:
 
 
 def require_symbols(required: DataFrame, stocks: DataFrame) -> None:
-    """Raise when a required symbol is absent. Reads the small stock master only."""
-    absent = sorted(row["symbol"] for row in missing_symbols(required, stocks).take(100))
+    """Raise when a required symbol is absent. ``required`` is the configured master."""
+    absent = sorted(row["symbol"] for row in missing_symbols(required, stocks).collect())
     if absent:
         raise RuntimeError("stocks missing from the stock table: " + ", ".join(absent))
 
 
 def article_record(articles: DataFrame) -> DataFrame:
-    """The record stored in ``news_articles``; the body text stays empty."""
+    """The record stored in ``news_articles`` and its day; the body text stays empty."""
     return articles.select(
         F.col("stock_id").cast("bigint").alias("stock_id"),
         "symbol",
@@ -67,6 +67,7 @@ def article_record(articles: DataFrame) -> DataFrame:
         "url",
         "published_at",
         "source_api",
+        F.to_date("published_at").alias("published_day"),
     )
 
 

@@ -1,34 +1,32 @@
 """Deduplication with an explicit order.
 
-``min_by`` and ``max_by`` aggregate partially before the shuffle, so each task
-sends one row per key however often a hot key repeats, and the result does not
-depend on partitioning. The order columns must identify a row within its key.
+One row per key is kept by row number. Spark limits each key before the shuffle
+as well, so a task sends one row per key however often a hot key repeats, and
+the result does not depend on partitioning. The order columns must identify a
+row within its key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    choose = F.max_by if last else F.min_by
-    row = choose(F.struct(*rest), F.struct(*order)).alias("_row")
-    picked = df.groupBy(*keys).agg(row)
-    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+def _first_row(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_row", F.row_number().over(window)).filter("_row = 1").drop("_row")
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in the given order."""
-    return _pick(df, keys, order, last=False)
+    return _first_row(df, keys, [F.asc(c) for c in order])
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key in the given order."""
-    return _pick(df, keys, order, last=True)
+    return _first_row(df, keys, [F.desc(c) for c in order])
 
 
 def distinct_urls(articles: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ LATEST = 6
 # Fixed value: where the feed's image links point.
 IMAGE_PROXY = "/api/news-image?url="
 
-# Beyond this many rows before the page, the page is sought by day first.
+# Beyond this many rows before the page, the page is sought by time first.
 SEEK_AFTER = 100_000
+SEEK_UNITS = ("DAY", "HOUR", "MINUTE", "SECOND")
 
 
 def page_bounds(page: object = 1, limit: object = MAX_PAGE_SIZE) -> tuple[int, int]:
@@ -32,33 +33,40 @@ def _slice(articles: DataFrame, time: str, tie: str, offset: int, size: int) ->
     return newest_first.offset(offset).limit(size)
 
 
-def _seek(articles: DataFrame, time: str, offset: int, size: int) -> tuple[DataFrame, int]:
-    """Narrow the table to the days that hold the page.
+def _seek(
+    articles: DataFrame, time: str, offset: int, size: int, seek_after: int
+) -> tuple[DataFrame, int]:
+    """Narrow the table to the time span that holds the page.
 
-    Counts rows per day, one small row each, and keeps the days that overlap the
-    page. Returns the remaining rows and the offset within them.
+    Counts rows per day, then per hour, minute and second of the span found so
+    far, until little enough lies before the page. Each step brings back one
+    small row per unit of time, never articles. Returns the remaining rows and
+    the page's offset within them.
     """
-    day = F.to_date(time)
-    counts = articles.groupBy(day.alias("day")).count()
-    wanted, skipped, seen = [], 0, 0
-    for row in counts.orderBy(F.desc_nulls_first("day")).toLocalIterator():
-        if seen >= offset + size:
+    for unit in SEEK_UNITS:
+        if offset <= seek_after:
             break
-        if seen + row["count"] > offset:
-            wanted.append(row["day"])
-        else:
-            skipped += row["count"]
-        seen += row["count"]
-    known = [d for d in wanted if d is not None]
-    keep = F.lit(False)
-    if known:
-        keep = F.col(time).between(
-            F.lit(min(known)).cast("timestamp_ntz"),
-            F.lit(max(known)).cast("timestamp_ntz") + F.expr("INTERVAL '0 23:59:59.999999' DAY TO SECOND"),
-        )
-    if None in wanted:
-        keep = keep | F.col(time).isNull()
-    return articles.filter(keep), offset - skipped
+        start = F.date_trunc(unit, time).alias("start")
+        counts = articles.groupBy(start).count().orderBy(F.desc_nulls_first("start"))
+        held, before, seen = [], 0, 0
+        for row in counts.toLocalIterator():
+            if seen >= offset + size:
+                break
+            if seen + row["count"] > offset:
+                held.append(row["start"])
+            else:
+                before += row["count"]
+            seen += row["count"]
+        if not held:
+            return articles.filter(F.lit(False)), 0
+        dated = [t for t in held if t is not None]
+        keep = F.col(time).isNull() if None in held else F.lit(False)
+        if dated:
+            first, last = F.lit(min(dated)), F.lit(max(dated))
+            after = last + F.expr(f"INTERVAL 1 {unit}")
+            keep = keep | ((F.col(time) >= first) & (F.col(time) < after))
+        articles, offset = articles.filter(keep), offset - before
+    return articles, offset
 
 
 def news_page(
@@ -73,12 +81,12 @@ def news_page(
 
     A page near the top is a top-k: each task keeps its own best rows and only
     those travel. A page far down would make every task keep everything above
-    it, so its days are located by counting first and only they are sorted.
+    it, so its time span is located by counting first and only that is sorted.
     """
     number, size = page_bounds(page, limit)
     offset = (number - 1) * size
     if offset > seek_after:
-        articles, offset = _seek(articles, time, offset, size)
+        articles, offset = _seek(articles, time, offset, size, seek_after)
     return _slice(articles, time, tie, offset, size)
 
 

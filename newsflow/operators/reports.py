@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.functions.clean import null_if_blank
+from newsflow.operators.articles import mark_stored
 from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import valid_articles
+from newsflow.operators.stock_match import stock_symbol, with_match_text
+from newsflow.stocks import ALIASES
 
 
 def provider_counts(articles: DataFrame, providers: DataFrame) -> DataFrame:
@@ -35,38 +37,38 @@ def run_funnel(
     articles: DataFrame,
     stored: DataFrame,
     stocks: DataFrame,
-    assign,
     order: Sequence[str],
+    aliases: Mapping[str, Sequence[str]] = ALIASES,
 ) -> DataFrame:
     """Rows left after each step of a collector run, one row per step.
 
-    ``assign`` maps articles to articles with a stock symbol. All steps below
-    deduplication are flags on one pass; each step's count is a global
-    aggregate, so one row leaves each task.
+    Everything after deduplication is a flag on one pass and one global
+    aggregate, so a single row leaves each task. Texts of articles that are
+    stored already are not searched.
     """
     raw = articles.agg(F.count("*").alias("raw"))
     unique = first_seen(valid_articles(articles), ["url"], order)
-    known = stored.select("url").distinct().withColumn("_stored", F.lit(True))
-    marked = unique.join(known, "url", "left").withColumn("_stored", F.col("_stored").isNotNull())
-    ids = stocks.select("symbol", F.lit(True).alias("_stock")).distinct()
-
-    base = marked.agg(
+    marked = with_match_text(mark_stored(unique, stored))
+    symbol = F.when(~F.col("is_stored"), stock_symbol(F.col("_match_text"), F.col("symbol"), aliases))
+    ids = stocks.select("symbol", F.lit(True).alias("has_stock")).distinct()
+    linked = marked.select("is_stored", symbol.alias("symbol")).join(ids, "symbol", "left")
+
+    new = ~F.col("is_stored")
+    assigned = F.col("symbol").isNotNull()
+    counts = linked.agg(
         F.count("*").alias("unique"),
-        F.count_if("_stored").alias("already_stored"),
-        F.count_if(~F.col("_stored")).alias("new"),
-    )
-    assigned = assign(marked.filter(~F.col("_stored")))
-    linked = assigned.join(ids, "symbol", "left").agg(
-        F.count("*").alias("assigned"),
-        F.count_if(F.col("_stock").isNotNull()).alias("inserted"),
+        F.count_if("is_stored").alias("already_stored"),
+        F.count_if(new).alias("new"),
+        F.count_if(new & ~assigned).alias("unmatched"),
+        F.count_if(assigned).alias("assigned"),
+        F.count_if(F.col("has_stock").isNotNull()).alias("inserted"),
     )
 
-    def steps(counts: DataFrame) -> DataFrame:
-        names = counts.columns
-        pairs = F.array(*[F.struct(F.lit(n).alias("step"), F.col(n).alias("rows")) for n in names])
-        return counts.select(F.inline(pairs))
+    def steps(one_row: DataFrame) -> DataFrame:
+        pairs = [F.struct(F.lit(n).alias("step"), F.col(n).alias("rows")) for n in one_row.columns]
+        return one_row.select(F.inline(F.array(*pairs)))
 
-    return steps(raw).unionByName(steps(base)).unionByName(steps(linked))
+    return steps(raw).unionByName(steps(counts))
 
 
 def load_summary(outcome: DataFrame, counts: dict[str, Column]) -> DataFrame:
@@ -100,10 +102,3 @@ def catalog_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
         [(n,) for n in names if n not in present], "table_name STRING"
     ).withColumn("rows", F.lit(None).cast("bigint"))
     return table_counts(present).unionByName(absent) if present else absent
-
-
-def request_summary(articles: DataFrame) -> DataFrame:
-    """Articles per provider and requested symbol, blank symbols as NULL."""
-    return articles.groupBy("source_api", null_if_blank(F.col("symbol")).alias("symbol")).agg(
-        F.count("*").alias("articles")
-    )

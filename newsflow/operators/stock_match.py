@@ -19,8 +19,30 @@ from newsflow.stocks import ALIASES
 _TEXT = "_match_text"
 
 
-def _hits(aliases: Mapping[str, Sequence[str]], whole_words: bool) -> list[tuple[str, Column]]:
-    return [(symbol, mentions(F.col(_TEXT), names, whole_words)) for symbol, names in aliases.items()]
+def stock_symbol(
+    text: Column,
+    own: Column,
+    aliases: Mapping[str, Sequence[str]] = ALIASES,
+    whole_words: bool = False,
+) -> Column:
+    """First stock with an alias in the lower-cased ``text``, else ``own`` unless blank.
+
+    Mapping order is rank order and the search stops at the first hit.
+    """
+    symbol = F.lit(None).cast("string")
+    for position, (name, names) in enumerate(aliases.items()):
+        hit = mentions(text, names, whole_words)
+        symbol = F.when(hit, name) if position == 0 else symbol.when(hit, name)
+    return F.coalesce(symbol, null_if_blank(own))
+
+
+def with_match_text(articles: DataFrame, name: str = _TEXT) -> DataFrame:
+    """Add the lower-cased text that aliases are searched in.
+
+    As a column of its own it is computed once per row, however many aliases
+    are looked for.
+    """
+    return articles.withColumn(name, search_text(F.col("title"), F.col("description")))
 
 
 def assign_stock(
@@ -30,20 +52,17 @@ def assign_stock(
 ) -> DataFrame:
     """Give each article the first stock whose alias its title or description contains.
 
-    Mapping order is rank order and the search stops at the first hit. Without a
-    hit the article keeps the symbol it was requested for; with neither it is
-    dropped. Aliases match inside words unless ``whole_words`` is set.
+    Without a hit the article keeps the symbol it was requested for; with
+    neither it is dropped. Aliases match inside words unless ``whole_words``.
     """
-    symbol = F.lit(None).cast("string")
-    for position, (name, hit) in enumerate(_hits(aliases, whole_words)):
-        symbol = F.when(hit, name) if position == 0 else symbol.when(hit, name)
-    text = search_text(F.col("title"), F.col("description"))
-    return (
-        articles.withColumn(_TEXT, text)
-        .withColumn("symbol", F.coalesce(symbol, null_if_blank(F.col("symbol"))))
-        .drop(_TEXT)
-        .filter(F.col("symbol").isNotNull())
-    )
+    # Articles with a symbol of their own always stay. Testing that first keeps
+    # the optimizer from searching every text once more in the filter.
+    every_alias = [alias for names in aliases.values() for alias in names]
+    text = F.array(search_text(F.col("title"), F.col("description")))
+    any_hit = F.exists(text, lambda t: mentions(t, every_alias, whole_words))
+    stays = F.coalesce(F.col("symbol") != "", F.lit(False)) | any_hit
+    symbol = stock_symbol(F.col(_TEXT), F.col("symbol"), aliases, whole_words)
+    return with_match_text(articles.filter(stays)).withColumn("symbol", symbol).drop(_TEXT)
 
 
 def all_stock_matches(
@@ -56,12 +75,14 @@ def all_stock_matches(
     An article yields at most one row per stock of the dictionary.
     """
     found = [
-        F.when(hit, F.struct(F.lit(rank).alias("match_rank"), F.lit(name).alias("match_symbol")))
-        for rank, (name, hit) in enumerate(_hits(aliases, whole_words))
+        F.when(
+            mentions(F.col(_TEXT), names, whole_words),
+            F.struct(F.lit(rank).alias("match_rank"), F.lit(name).alias("match_symbol")),
+        )
+        for rank, (name, names) in enumerate(aliases.items())
     ]
-    text = search_text(F.col("title"), F.col("description"))
     return (
-        articles.withColumn(_TEXT, text)
+        with_match_text(articles)
         .withColumn("_match", F.explode(F.array_compact(F.array(*found))))
         .select(*articles.columns, "_match.*")
     )

@@ -77,6 +77,18 @@ def collect_records(
     return article_record(attach_stock_id(assigned, stocks))
 
 
+def store_articles(spark: SparkSession, path: str, records: DataFrame) -> None:
+    """Append records that are known to be new, laid out by day."""
+    append_new(
+        spark,
+        path,
+        records,
+        schemas.NEWS_ARTICLES,
+        partition=schemas.ARTICLE_DAY,
+        known_new=True,
+    )
+
+
 def run_collector(
     spark: SparkSession,
     payloads: DataFrame,
@@ -89,5 +101,4 @@ def run_collector(
     stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
     unique = unique_articles(run_articles(payloads, as_of))
     records = collect_records(unique, stored, stocks)
-    # The records are already new; append_new would check them a second time.
-    append_new(spark, articles_path, records, schemas.NEWS_ARTICLES, known_new=True)
+    store_articles(spark, articles_path, records)

@@ -23,6 +23,7 @@ from newsflow.operators.articles import (
 from newsflow.operators.filters import with_url
 from newsflow.operators.reports import load_summary, table_counts
 from newsflow.operators.sentiment import attach_news_id, daily_record, sentiment_record
+from newsflow.plans.collector import store_articles
 from newsflow.session import shared_path
 from newsflow.sinks.writers import append_new, read_table, upsert_partitions
 from newsflow.sources.csv_files import CsvScan, read_symbol_csv, with_symbol_rank
@@ -131,7 +132,7 @@ def load_news(
 
     outcome = spark.read.parquet(staged)
     records = news_records(outcome.filter(F.col("status") == INSERTED), stocks)
-    append_new(spark, tables.news_articles, records, schemas.NEWS_ARTICLES, known_new=True)
+    store_articles(spark, tables.news_articles, records)
     return _with_errors(spark, outcome_counts(rows, outcome), scan)
 
 

@@ -3,25 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from newsflow import schemas
 from newsflow.operators.images import backfill_counts, extract_images
 from newsflow.session import shared_path
-from newsflow.sinks.merge import fill_missing
-from newsflow.sinks.writers import read_table
+from newsflow.sinks.writers import fill_partitions, read_table
 
 
-def run_backfill(
-    spark: SparkSession, articles_path: str, pages: DataFrame, output_path: str
-) -> DataFrame:
-    """Write the article table with images filled in to ``output_path``; returns the counts.
+def run_backfill(spark: SparkSession, articles_path: str, pages: DataFrame) -> DataFrame:
+    """Fill image links in the article table; returns the counts.
 
     The extracted links are kept as a written table, so pages are searched once.
+    Only the days with an article to fill are rewritten.
     """
     articles = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
     staged = shared_path(spark, "images")
     extract_images(articles, pages).write.parquet(staged)
     links = spark.read.parquet(staged)
-    fill_missing(articles, links.filter(F.col("image_url").isNotNull())).write.parquet(output_path)
+    fill_partitions(
+        spark, articles_path, links, schemas.NEWS_ARTICLES, partition=schemas.ARTICLE_DAY
+    )
     return backfill_counts(links)

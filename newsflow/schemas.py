@@ -14,6 +14,10 @@ def _table(**columns: T.DataType) -> T.StructType:
 
 STOCKS = _table(id=_WHOLE, symbol=_TEXT)
 
+# The article table is laid out by day, so that filling images rewrites days, not
+# the table, and counting per day reads no column. Articles without a time share
+# one partition.
+ARTICLE_DAY = "published_day"
 NEWS_ARTICLES = _table(
     id=_WHOLE,
     stock_id=_WHOLE,
@@ -26,6 +30,7 @@ NEWS_ARTICLES = _table(
     published_at=_TIME,
     source_api=_TEXT,
     image_url=_TEXT,
+    published_day=_DATE,
 )
 
 NEWS_SENTIMENT = _table(

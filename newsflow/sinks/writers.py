@@ -1,8 +1,8 @@
 """Parquet writers for the stored tables.
 
-Tables are directories. Appends add files and never rewrite stored rows. An
-upsert rewrites only the partitions its source touches, from a copy that is
-complete before the table changes.
+Tables are directories. Appends add files and never rewrite stored rows. Upserts
+and fills rewrite only the partitions they touch, from a copy in the shared
+folder that is complete before the table changes.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from pyspark.sql import types as T
 
 from newsflow.operators.articles import new_rows
 from newsflow.session import shared_path
-from newsflow.sinks.merge import upsert_last_wins
+from newsflow.sinks.merge import fill_missing, upsert_last_wins
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The stored table, or an empty one before the first write."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -39,6 +39,14 @@ def with_new_ids(rows: DataFrame, stored: DataFrame, id_col: str = "id") -> Data
     return rows.withColumn(id_col, F.monotonically_increasing_id() + F.lit(highest + 1))
 
 
+def _conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    columns = [
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema
+    ]
+    return rows.select(*columns)
+
+
 def append_new(
     spark: SparkSession,
     path: str,
@@ -46,22 +54,51 @@ def append_new(
     schema: T.StructType,
     key: str = "url",
     id_col: str | None = "id",
+    partition: str | None = None,
     known_new: bool = False,
 ) -> None:
     """Append the source rows whose key is not stored; a repeated call adds nothing.
 
     ``source`` has one row per key. ``known_new`` tells that it was already
-    reduced to new keys.
+    reduced to new keys. With ``partition`` the rows are gathered per partition
+    value first, so each value gets few files; a large value is split.
     """
     stored = read_table(spark, path, schema)
     fresh = source if known_new else new_rows(source, stored, key)
+    if partition:
+        fresh = fresh.hint("rebalance", partition)
     if id_col:
         fresh = with_new_ids(fresh, stored, id_col)
-    columns = [
-        (F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema
-    ]
-    fresh.select(*columns).write.mode("append").parquet(path)
+    writer = _conform(fresh, schema).write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def _replace_partitions(
+    spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, partition: str
+) -> None:
+    """Put ``rows`` in place of the partitions they belong to."""
+    staged = shared_path(spark, "partitions")
+    _conform(rows, schema).hint("rebalance", partition).write.parquet(staged)
+    (
+        spark.read.schema(schema)
+        .parquet(staged)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition)
+        .parquet(path)
+    )
+
+
+def _touched(stored: DataFrame, values: DataFrame, partition: str) -> DataFrame:
+    """Stored rows of the partitions that occur in ``values``.
+
+    The partition values, one per directory, become a filter, so Spark lists and
+    reads only those directories.
+    """
+    found = [row[0] for row in values.select(partition).distinct().collect()]
+    column = F.col(partition)
+    named = column.isin([v for v in found if v is not None])
+    return stored.filter(named | column.isNull() if None in found else named)
 
 
 def upsert_partitions(
@@ -73,23 +110,25 @@ def upsert_partitions(
     order: Sequence[str],
     partition: str,
 ) -> None:
-    """Upsert into a table partitioned by ``partition``, rewriting touched partitions only.
-
-    ``partition`` is one of the keys. The merged partitions are written to the
-    shared folder first; only that finished copy replaces the old partitions.
-    """
+    """Upsert, last source row wins; ``partition`` is one of the keys."""
     stored = read_table(spark, path, schema)
-    touched = source.select(partition).distinct()
-    affected = stored.join(touched, partition, "left_semi").select(*stored.columns)
+    affected = _touched(stored, source, partition)
     merged = upsert_last_wins(affected, source, keys, order)
+    _replace_partitions(spark, path, merged, schema, partition)
 
-    staged = shared_path(spark, "upsert")
-    merged.repartition(partition, *keys).write.parquet(staged)
-    (
-        spark.read.schema(schema)
-        .parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+
+def fill_partitions(
+    spark: SparkSession,
+    path: str,
+    source: DataFrame,
+    schema: T.StructType,
+    partition: str,
+    key: str = "url",
+    value: str = "image_url",
+) -> None:
+    """Fill NULL values from ``source``; partitions without a row to fill stay as they are."""
+    stored = read_table(spark, path, schema)
+    found = source.filter(F.col(value).isNotNull())
+    to_fill = stored.filter(F.col(value).isNull()).join(found.select(key), key, "left_semi")
+    affected = _touched(stored, to_fill, partition)
+    _replace_partitions(spark, path, fill_missing(affected, found, key, value), schema, partition)

@@ -56,7 +56,10 @@ def is_limit_response(
     """
     signal = status.isin(*LIMIT_STATUS)
     if check_phrases:
-        signal = signal | mentions(F.lower(body), LIMIT_PHRASES)
+        # The one-element array binds the lower-cased body, so a filter lowers it
+        # once and not once per phrase.
+        lowered = F.array(F.lower(body))
+        signal = signal | F.exists(lowered, lambda text: mentions(text, LIMIT_PHRASES))
     hit = signal & F.try_parse_json(body).isNotNull()
     if provider is not None:
         hit = hit & ~provider.isin(*UNLIMITED_PROVIDERS)

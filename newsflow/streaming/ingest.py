@@ -16,8 +16,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsflow import schemas
 from newsflow.operators.articles import new_rows_probed
-from newsflow.plans.collector import collect_records, limit_flag, run_articles, unique_articles
-from newsflow.sinks.writers import append_new, read_table
+from newsflow.plans.collector import (
+    collect_records,
+    limit_flag,
+    run_articles,
+    store_articles,
+    unique_articles,
+)
+from newsflow.sinks.writers import read_table
 from newsflow.sources.payloads import limit_cutoffs
 from newsflow.stocks import ALIASES
 
@@ -62,7 +68,7 @@ def batch_loader(
         try:
             stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
             records = collect_records(unique, stored, stocks, aliases, new_rows_probed)
-            append_new(spark, articles_path, records, schemas.NEWS_ARTICLES, known_new=True)
+            store_articles(spark, articles_path, records)
         finally:
             unique.unpersist()
 

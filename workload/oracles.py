@@ -50,11 +50,11 @@ _LOWER = "lower(title || ' ' || description)"
 _ASSIGNED = f"assigned AS (SELECT * REPLACE ({_match(_LOWER, 'symbol')} AS symbol) FROM fresh)"
 
 
-def _shown_articles(extra: str = "") -> str:
-    return f"source_api, symbol, title, description, source, url, published_at{extra}"
+def _shown_articles() -> str:
+    return "source_api, symbol, title, description, source, url, published_at"
 
 
-def _feed(provider: str, rank: int, third: bool = False) -> str:
+def _feed(provider: str, rank: int) -> str:
     """Both items of every response; the second has a bad time."""
     common = f"""'run' AS run_id, {rank} AS provider_rank, CAST(doc_id AS INT) AS seq"""
     rest = f"""'{provider}' AS source_api, source AS symbol, 'Story ' || doc_id AS title,
@@ -167,7 +167,7 @@ WHERE source_api = 'yfinance'""",
         + f"SELECT symbol_rank, {_shown_articles()} FROM articles",
         "article_record": _with(_ARTICLES)
         + f"""SELECT CAST(symbol_rank AS BIGINT) AS stock_id, CAST(NULL AS VARCHAR) AS text,
-  {_shown_articles()} FROM articles""",
+  {_shown_articles()}, substr(published_at, 1, 10) AS published_day FROM articles""",
         "sentiment_record": _with(_MATCHED)
         + """SELECT news_id,
   CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative'
@@ -257,6 +257,7 @@ FROM events GROUP BY 1""",
 UNION ALL SELECT 'unique', count(*) FROM uniq
 UNION ALL SELECT 'already_stored', count(*) FROM uniq WHERE url IN (SELECT url FROM stored)
 UNION ALL SELECT 'new', count(*) FROM fresh
+UNION ALL SELECT 'unmatched', 0
 UNION ALL SELECT 'assigned', count(*) FROM fresh
 UNION ALL SELECT 'inserted', count(*) FROM fresh""",
         "load_summary_rollup": _with(_ARTICLES, _STORED, _CSV_FATES)

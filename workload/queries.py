@@ -57,7 +57,14 @@ def _unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _articles(spark, d).withColumns({"file_path": F.col("symbol"), "row_pos": F.col("doc_id")})
+    return _articles(spark, d).select(
+        "url",
+        "symbol",
+        "doc_id",
+        "symbol_rank",
+        F.col("symbol").alias("file_path"),
+        F.col("doc_id").alias("row_pos"),
+    )
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -334,12 +341,9 @@ def provider_status(spark, d):
 
 
 def run_funnel(spark, d):
-    def assign(df):
-        return stock_match.assign_stock(df, roles.ALIASES)
-
     docs = _docs(spark, d)
     return reports.run_funnel(
-        roles.articles(docs), _stored(spark, d), roles.stocks(docs), assign, roles.ORDER
+        roles.articles(docs), _stored(spark, d), roles.stocks(docs), roles.ORDER, roles.ALIASES
     )
 
 
@@ -548,7 +552,7 @@ def stream_ingest(spark, d):
     )
     ingest.start_ingest(stream, f"{home}/checkpoint", loader).awaitTermination()
     stored = read_table(spark, f"{home}/articles", schemas.NEWS_ARTICLES)
-    return _shown(stored.drop("id", "text", "image_url"))
+    return _shown(stored.drop("id", "text", "image_url", "published_day"))
 
 
 def queries() -> dict:
