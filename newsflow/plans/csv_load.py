@@ -26,7 +26,7 @@ from newsflow.operators.sentiment import attach_news_id, daily_record, sentiment
 from newsflow.plans.collector import store_articles
 from newsflow.session import shared_path
 from newsflow.sinks.writers import append_new, read_table, upsert_partitions
-from newsflow.sources.csv_files import CsvScan, read_symbol_csv, with_symbol_rank
+from newsflow.sources.csv_files import CsvScan, read_symbol_csv
 from newsflow.stocks import SYMBOLS, stock_master
 
 ROW_ORDER = ("symbol_rank", "file_path", "row_pos")
@@ -124,8 +124,8 @@ def load_news(
     symbols: Sequence[str] = SYMBOLS,
 ) -> DataFrame:
     """Load the news CSVs; returns the counts."""
-    scan = read_symbol_csv(spark, path, schemas.NEWS_CSV)
-    rows = with_symbol_rank(scan.rows, symbols)
+    scan = read_symbol_csv(spark, path, schemas.NEWS_CSV, symbols)
+    rows = scan.rows
     stored = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
     staged = shared_path(spark, "news-load")
     news_outcome(rows, stored).write.parquet(staged)
@@ -140,8 +140,8 @@ def load_sentiment(
     spark: SparkSession, path: str, tables: Tables, symbols: Sequence[str] = SYMBOLS
 ) -> DataFrame:
     """Load the article sentiment CSVs; returns the counts."""
-    scan = read_symbol_csv(spark, path, schemas.SENTIMENT_CSV, suffix="_sentiment")
-    rows = with_symbol_rank(scan.rows, symbols)
+    scan = read_symbol_csv(spark, path, schemas.SENTIMENT_CSV, symbols, "_sentiment")
+    rows = scan.rows
     articles = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
     stored = read_table(spark, tables.news_sentiment, schemas.NEWS_SENTIMENT)
     staged = shared_path(spark, "sentiment-load")
@@ -169,8 +169,8 @@ def load_daily(
     symbols: Sequence[str] = SYMBOLS,
 ) -> DataFrame:
     """Upsert the daily sentiment CSVs; returns the counts."""
-    scan = read_symbol_csv(spark, path, schemas.DAILY_CSV, suffix="_daily_sentiment")
-    rows = with_symbol_rank(scan.rows, symbols)
+    scan = read_symbol_csv(spark, path, schemas.DAILY_CSV, symbols, "_daily_sentiment")
+    rows = scan.rows
     linked = attach_stock_id(rows, stocks)
     order = ("file_path", "row_pos")
     records = daily_record(linked, carried=order)

@@ -7,16 +7,19 @@ by one task; a large symbol should be a folder of part files.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.functions.clean import null_if_na
+from newsflow.stocks import SYMBOLS
 
 _HEADER_READERS = 16
 
@@ -29,10 +32,18 @@ class CsvScan:
     unreadable: tuple[str, ...]
 
 
+def _symbol_pattern(suffix: str) -> str:
+    return rf"/(?:symbol=([^/]+)/[^/]*|([^/]+?){suffix}\.csv(?:/[^/]*)?)$"
+
+
 def _symbol_from_path(path: Column, suffix: str) -> Column:
-    folder = F.regexp_extract(path, r"/symbol=([^/]+)/", 1)
-    name = F.regexp_extract(path, rf"/([^/]+?){suffix}\.csv(?:/|$)", 1)
-    return F.url_decode(F.coalesce(F.nullif(folder, F.lit("")), name))
+    names = [F.nullif(F.regexp_extract(path, _symbol_pattern(suffix), g), F.lit("")) for g in (1, 2)]
+    return F.url_decode(F.coalesce(*names))
+
+
+def _symbol_of_file(path: str, suffix: str) -> str | None:
+    found = re.search(_symbol_pattern(suffix), path)
+    return unquote(found[1] or found[2]) if found else None
 
 
 def _list_files(spark: SparkSession, path: str) -> list[str]:
@@ -42,7 +53,7 @@ def _list_files(spark: SparkSession, path: str) -> list[str]:
         .option("pathGlobFilter", "*.csv")
         .load(path)
     )
-    return sorted(row["path"] for row in listing.select("path").toLocalIterator())
+    return sorted(listing.inputFiles())
 
 
 def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
@@ -57,19 +68,25 @@ def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
 
 
 def read_symbol_csv(
-    spark: SparkSession, path: str, columns: Sequence[str], suffix: str = ""
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    symbols: Sequence[str] = SYMBOLS,
+    suffix: str = "",
 ) -> CsvScan:
-    """Read every CSV below ``path`` as text columns plus symbol and row order.
-
-    Files are grouped by their header and each group is one scan, so files with
-    another column order are read by name, and the plan grows with the number
-    of layouts, not of files. The part files of a folder share one header; one
-    that differs fails the scan instead of swapping columns. Cells that spell a
-    missing value become NULL; columns a file lacks are NULL. ``row_pos`` grows
-    with the position in a file.
+    """Read the CSVs of the given symbols as text columns plus symbol, rank and row order.
+
+    Files of other symbols are left alone. Files are grouped by their header and
+    each group is one scan, so files with another column order are read by name,
+    and the plan grows with the number of layouts, not of files. The part files
+    of a folder share one header; one that differs fails the scan instead of
+    swapping columns. Cells that spell a missing value become NULL; columns a
+    file lacks are NULL. ``row_pos`` grows with the position in a file.
     """
     units: dict[str, list[str]] = defaultdict(list)
     for file in _list_files(spark, path):
+        if _symbol_of_file(file, suffix) not in symbols:
+            continue
         folder = file.rsplit("/", 1)[0]
         in_parts = folder.endswith(".csv") or "/symbol=" in folder
         units[folder if in_parts else file].append(file)
@@ -103,10 +120,5 @@ def read_symbol_csv(
     if rows is None:
         fields = "symbol STRING, file_path STRING, row_pos BIGINT NOT NULL, "
         rows = spark.createDataFrame([], fields + ", ".join(f"{c} STRING" for c in columns))
-    return CsvScan(rows, unreadable)
-
-
-def with_symbol_rank(rows: DataFrame, symbols: Sequence[str]) -> DataFrame:
-    """Add the symbol's rank; rows of symbols that are not configured are dropped."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol"))
-    return rows.filter(F.col("symbol").isin(*symbols)).withColumn("symbol_rank", rank - 1)
+    rank = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol")) - 1
+    return CsvScan(rows.withColumn("symbol_rank", rank), unreadable)

@@ -125,10 +125,9 @@ def csv_scan(spark, d):
     rows.write.partitionBy("symbol").csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    scan = csv_files.read_symbol_csv(spark, path, schemas.NEWS_CSV)
-    ranked = csv_files.with_symbol_rank(scan.rows, roles.SYMBOLS)
+    scan = csv_files.read_symbol_csv(spark, path, schemas.NEWS_CSV, roles.SYMBOLS)
     return _shown(
-        ranked.withColumn("published_at", times.loose_utc(F.col("published_at"))).drop(
+        scan.rows.withColumn("published_at", times.loose_utc(F.col("published_at"))).drop(
             "file_path", "row_pos"
         )
     )
