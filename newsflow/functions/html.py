@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsflow.functions.clean import first_present
 from newsflow.functions.urls import is_web_url, resolve_url
 
 # The meta names that carry a page's social image.
@@ -18,12 +19,13 @@ IMAGE_NAMES = (
 
 # Comments, scripts and styles are consumed as units, so a meta tag inside one
 # is never seen; left open, they run to the end of the page. Group 2 is the
-# inside of a real meta tag. Possessive quantifiers keep the matcher from
+# inside of a real meta tag. All alternatives share the leading bracket, which
+# lets the matcher skip text quickly, and possessive quantifiers keep it from
 # recursing or backtracking on long pages.
 _META = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
-    r"|<meta(?=[\s/>])((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+    r"|meta(?=[\s/>])((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>)"
 )
 # One attribute: name, then a double-quoted, single-quoted or bare value.
 _ATTRIBUTE = (
@@ -39,9 +41,9 @@ _NAMED = {
     "&gt;": ">",
     "&quot;": '"',
     "&apos;": "'",
-    "&nbsp;": " ",
+    "&nbsp;": "\u00a0",
 }
-_BLANKS = " \t\n\r\f\u000b "
+_BLANKS = " \t\n\r\f\u000b\u00a0"
 
 
 def _decode_piece(piece: Column) -> Column:
@@ -58,38 +60,54 @@ def _decode_piece(piece: Column) -> Column:
 
 def decode_entities(col: Column) -> Column:
     """Replace character references once: numeric ones and the common names."""
-    pieces = F.regexp_extract_all(col, F.lit(_ENTITY_PIECES), 0)
-    whole = F.array_join(F.transform(pieces, _decode_piece), "")
-    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
 
+    def decode(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(_ENTITY_PIECES), 0)
+        whole = F.array_join(F.transform(pieces, _decode_piece), "")
+        return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of the last attribute called ``name`` in a tag, NULL when absent."""
-    groups = [F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), g) for g in (1, 2, 3, 4)]
-    pairs = F.arrays_zip(*[g.alias(k) for g, k in zip(groups, ("k", "d", "s", "b"))])
-    last = F.try_element_at(F.filter(pairs, lambda p: F.lower(p["k"]) == name), F.lit(-1))
-    return F.concat(last["d"], last["s"], last["b"])
+    return F.get(F.transform(F.array(col), decode), F.lit(0))
+
+
+def _attributes(tag: Column) -> Column:
+    """Attributes of a tag in order: lower-cased name and raw value, NULL without one."""
+    groups = [
+        F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), g).alias(k) for g, k in enumerate("ndqb", 1)
+    ]
+    return F.transform(
+        F.arrays_zip(*groups),
+        lambda a: F.struct(
+            F.lower(a["n"]).alias("name"), F.concat(a["d"], a["q"], a["b"]).alias("value")
+        ),
+    )
+
+
+def _last_value(attributes: Column, name: str) -> Column:
+    """Value of the last attribute called ``name``, NULL when absent."""
+    named = F.filter(attributes, lambda a: a["name"] == name)
+    return decode_entities(F.try_element_at(named, F.lit(-1))["value"])
 
 
 def social_images(html: Column) -> Column:
     """Contents of the page's social image tags, in document order."""
+    # Each step hands its result to the next as array elements, so nothing is
+    # matched twice.
     tags = F.filter(
-        F.regexp_extract_all(html, F.lit(_META), 2), lambda t: t.rlike(r"(?i)(?:og|twitter):image")
+        F.regexp_extract_all(html, F.lit(_META), 2),
+        lambda tag: tag.rlike(r"(?i)(?:og|twitter):image"),
+    )
+    values = F.transform(
+        F.transform(tags, _attributes),
+        lambda a: F.struct(
+            *[_last_value(a, n).alias(n) for n in ("property", "name", "content")]
+        ),
     )
-
-    def describe(tag: Column) -> Column:
-        prop = decode_entities(_attribute(tag, "property"))
-        name = decode_entities(_attribute(tag, "name"))
-        label = F.coalesce(F.nullif(prop, F.lit("")), name)
-        return F.struct(
-            F.lower(label).alias("name"),
-            decode_entities(_attribute(tag, "content")).alias("content"),
-        )
-
     wanted = F.filter(
-        F.transform(tags, describe), lambda m: m["name"].isin(*IMAGE_NAMES) & (m["content"] != "")
+        values,
+        lambda v: F.lower(first_present(v["property"], v["name"])).isin(*IMAGE_NAMES)
+        & (v["content"] != ""),
     )
-    return F.transform(wanted, lambda m: F.btrim(m["content"], F.lit(_BLANKS)))
+    return F.transform(wanted, lambda v: F.btrim(v["content"], F.lit(_BLANKS)))
 
 
 def social_image_url(html: Column, page_url: Column) -> Column:

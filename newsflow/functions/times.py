@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)? ?(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)?)?$"
-_ZONE = r"(?:Z|UTC|:\d{2} ?[+-]\d{2}(?::?\d{2})?|\.\d+ ?[+-]\d{2}(?::?\d{2})?)$"
 
 # Whole-second range of years 1 to 9999.
 _FIRST_SECOND = -62135596800
@@ -50,10 +49,12 @@ def epoch_utc(col: Column) -> Column:
 
 def iso_utc(col: Column) -> Column:
     """ISO date or date-time, with ``Z``, an offset or no zone; bad text becomes NULL."""
-    has_time = F.length(col) > 10
-    col = F.regexp_replace(col, r"([T ]\d{2}:\d{2})(?=$|[^:\d])", "$1:00")
-    text = F.when(has_time & ~col.rlike(_ZONE), F.concat(col, F.lit("Z"))).otherwise(
-        F.when(has_time, col).otherwise(F.concat(col, F.lit(" 00:00:00Z")))
+    minute, rest = F.substring(col, 1, 16), F.substring(col, 17, 40)
+    zone = F.when(rest.rlike("[-+ZC]"), "").otherwise("Z")
+    text = (
+        F.when(F.length(col) == 10, F.concat(col, F.lit(" 00:00:00Z")))
+        .when(rest.startswith(":"), F.concat(col, zone))
+        .otherwise(F.concat(minute, F.lit(":00"), rest, zone))
     )
     return F.when(col.rlike(_ISO), text.try_cast("timestamp"))
 
@@ -65,23 +66,20 @@ def loose_utc(col: Column) -> Column:
     ``yyyyMMdd[THHmmss]``, slashed year-first and month-first dates, and English
     month names. Other spellings become NULL.
     """
-    text = F.regexp_replace(F.trim(col), r"^[A-Z][a-z]{2,8}, ", "")
-    iso = F.when(text.rlike(_ISO), iso_utc(text))
-    rfc = F.when(
-        text.rlike(_RFC_SHAPE),
-        F.try_to_timestamp(
-            F.regexp_replace(text, r" (?:GMT|UTC|Z)$", " +0000"),
-            F.lit("d MMM yyyy H:mm:ss Z"),
-        ),
+    cleaned = F.regexp_replace(F.trim(col), r"^[A-Z][a-z]{2,8}, ", "")
+    # The one-element array binds the cleaned text, so it is computed once.
+    return F.get(F.transform(F.array(cleaned), _parse_loose), F.lit(0))
+
+
+def _parse_loose(text: Column) -> Column:
+    rfc = F.try_to_timestamp(
+        F.regexp_replace(text, r" (?:GMT|UTC|Z)$", " +0000"), F.lit("d MMM yyyy H:mm:ss Z")
     )
-    shapes = [
-        F.when(
-            text.rlike(shape),
-            F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(f"{fmt} X")),
-        )
-        for shape, fmt in _LOOSE_SHAPES
-    ]
-    return F.coalesce(iso, rfc, *shapes)
+    parsed = F.when(text.rlike(_ISO), iso_utc(text)).when(text.rlike(_RFC_SHAPE), rfc)
+    zoned = F.concat(text, F.lit(" Z"))
+    for shape, fmt in _LOOSE_SHAPES:
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(zoned, F.lit(f"{fmt} X")))
+    return parsed
 
 
 def request_window(as_of: Column, hours: int = 2) -> Column:

@@ -89,32 +89,40 @@ def resolve_url(base: Column, ref: Column) -> Column:
     A reference with another scheme is returned unchanged, one with its own
     host keeps its path, and a bare path is merged with the path of ``base``.
     """
-    ref = F.regexp_replace(ref, r"[\t\r\n]", "")
-    base_scheme = F.lower(_part(base, 1))
-    base_host, base_path = _part(base, 2), _part(base, 3)
-    scheme, host, path = F.lower(_part(ref, 1)), _part(ref, 2), _part(ref, 3)
-    query, fragment = _part(ref, 4), _part(ref, 5)
-
-    same_document = path == ""
-    merged = F.when(path.startswith("/"), path).otherwise(
-        F.concat(
-            F.regexp_replace(F.regexp_replace(base_path, r"[^/]*$", ""), r"/+", "/"),
-            F.regexp_replace(path, r"/+", "/"),
-        )
+    names = ("scheme", "host", "path", "query", "fragment")
+    cleaned = F.regexp_replace(ref, r"[\t\r\n]", "")
+    parts = F.struct(
+        base.alias("base"),
+        cleaned.alias("ref"),
+        *[_part(base, i).alias(f"base_{n}") for i, n in enumerate(names, 1)],
+        *[_part(cleaned, i).alias(n) for i, n in enumerate(names, 1)],
     )
+    # The one-element array binds the components, so each is extracted once.
+    return F.get(F.transform(F.array(parts), _join_parts), F.lit(0))
+
+
+def _join_parts(p: Column) -> Column:
+    scheme, host, path = F.lower(p["scheme"]), p["host"], p["path"]
+    base_scheme, base_path = F.lower(p["base_scheme"]), p["base_path"]
+    own_host, same_document = host != "", path == ""
+
+    folder = F.regexp_replace(base_path, r"[^/]*$", "")
+    relative = F.concat(
+        F.regexp_replace(folder, r"/+", "/"), F.regexp_replace(path, r"/+", "/")
+    )
+    merged = F.when(path.startswith("/"), path).otherwise(relative)
     full_path = (
-        F.when(host != "", path).when(same_document, base_path).otherwise(_clean_path(merged))
+        F.when(own_host, path).when(same_document, base_path).otherwise(_clean_path(merged))
     )
-    full_query = F.when(
-        (host == "") & same_document & (query == ""), _part(base, 4)
-    ).otherwise(query)
-    rebuilt = F.concat(
+    inherits_query = ~own_host & same_document & (p["query"] == "")
+    query = F.when(inherits_query, p["base_query"]).otherwise(p["query"])
+    joined = F.concat(
         base_scheme,
         F.lit("://"),
-        F.when(host != "", host).otherwise(base_host),
+        F.when(own_host, host).otherwise(p["base_host"]),
         full_path,
-        F.when(full_query != "", F.concat(F.lit("?"), full_query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        F.when(p["fragment"] != "", F.concat(F.lit("#"), p["fragment"])).otherwise(""),
     )
     foreign = (scheme != "") & (scheme != base_scheme)
-    return F.when(ref == "", base).when(foreign, ref).otherwise(rebuilt)
+    return F.when(p["ref"] == "", p["base"]).when(foreign, p["ref"]).otherwise(joined)
