@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,20 +86,23 @@ def load_summary(outcome: DataFrame, counts: dict[str, Column]) -> DataFrame:
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count per table; no column is read."""
-    counts = [
-        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        for name, df in tables.items()
-    ]
-    union = counts[0]
-    for count in counts[1:]:
-        union = union.unionByName(count)
-    return union
+    return _union(
+        [
+            df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+            for name, df in tables.items()
+        ]
+    )
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def catalog_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Row count per catalog table; a table that does not exist gets NULL."""
-    present = {n: spark.table(n) for n in names if spark.catalog.tableExists(n)}
-    absent = spark.createDataFrame(
-        [(n,) for n in names if n not in present], "table_name STRING"
-    ).withColumn("rows", F.lit(None).cast("bigint"))
-    return table_counts(present).unionByName(absent) if present else absent
+    nothing = spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
+    counts = [
+        spark.table(n).agg(F.count("*").alias("rows")) if spark.catalog.tableExists(n) else nothing
+        for n in names
+    ]
+    return _union([c.select(F.lit(n).alias("table_name"), "rows") for n, c in zip(names, counts)])

@@ -17,9 +17,9 @@ SENTIMENT_MODEL = "ProsusAI/finbert"
 def attach_news_id(sentiment: DataFrame, articles: DataFrame) -> DataFrame:
     """Add the id of the article with the same URL, NULL when there is none.
 
-    An id of 0 counts as no article.
+    ``articles`` holds one row per URL. An id of 0 counts as no article.
     """
-    ids = articles.groupBy("url").agg(F.max("id").alias("news_id"))
+    ids = articles.select("url", F.col("id").alias("news_id"))
     matched = sentiment.join(ids, "url", "left")
     return matched.withColumn("news_id", F.nullif("news_id", F.lit(0).cast("bigint")))
 

@@ -23,6 +23,7 @@ from newsflow.operators.articles import (
 from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import valid_articles
 from newsflow.operators.stock_match import assign_stock
+from newsflow.session import settled
 from newsflow.sinks.writers import append_new, read_table
 from newsflow.sources.payloads import (
     drop_after_limit,
@@ -49,10 +50,11 @@ def run_articles(
     """Articles a run delivers: before any provider limit, inside the window.
 
     Without ``as_of`` no window is applied. ``cutoffs`` may bring known limit
-    positions; by default they are taken from the payloads.
+    positions; by default they are taken from the payloads and written out
+    first, so that the wide responses are not shuffled to meet a few of them.
     """
     if cutoffs is None:
-        cutoffs = limit_cutoffs(payloads, limit_flag())
+        cutoffs = settled(limit_cutoffs(payloads, limit_flag()), "cutoffs")
     window = None
     if as_of is not None:
         end = F.lit(as_of)

@@ -24,7 +24,7 @@ from newsflow.operators.filters import with_url
 from newsflow.operators.reports import load_summary, table_counts
 from newsflow.operators.sentiment import attach_news_id, daily_record, sentiment_record
 from newsflow.plans.collector import store_articles
-from newsflow.session import shared_path
+from newsflow.session import settled
 from newsflow.sinks.writers import append_new, read_table, upsert_partitions
 from newsflow.sources.csv_files import CsvScan, read_symbol_csv
 from newsflow.stocks import SYMBOLS, stock_master
@@ -127,10 +127,7 @@ def load_news(
     scan = read_symbol_csv(spark, path, schemas.NEWS_CSV, symbols)
     rows = scan.rows
     stored = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
-    staged = shared_path(spark, "news-load")
-    news_outcome(rows, stored).write.parquet(staged)
-
-    outcome = spark.read.parquet(staged)
+    outcome = settled(news_outcome(rows, stored), "news-load")
     records = news_records(outcome.filter(F.col("status") == INSERTED), stocks)
     store_articles(spark, tables.news_articles, records)
     return _with_errors(spark, outcome_counts(rows, outcome), scan)
@@ -144,10 +141,7 @@ def load_sentiment(
     rows = scan.rows
     articles = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
     stored = read_table(spark, tables.news_sentiment, schemas.NEWS_SENTIMENT)
-    staged = shared_path(spark, "sentiment-load")
-    sentiment_outcome(rows, articles, stored).write.parquet(staged)
-
-    outcome = spark.read.parquet(staged)
+    outcome = settled(sentiment_outcome(rows, articles, stored), "sentiment-load")
     records = sentiment_record(outcome.filter(F.col("status") == INSERTED))
     append_new(
         spark,

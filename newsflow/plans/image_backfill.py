@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsflow import schemas
 from newsflow.operators.images import backfill_counts, extract_images
-from newsflow.session import shared_path
+from newsflow.session import settled
 from newsflow.sinks.writers import fill_partitions, read_table
 
 
@@ -17,9 +17,7 @@ def run_backfill(spark: SparkSession, articles_path: str, pages: DataFrame) -> D
     Only the days with an article to fill are rewritten.
     """
     articles = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
-    staged = shared_path(spark, "images")
-    extract_images(articles, pages).write.parquet(staged)
-    links = spark.read.parquet(staged)
+    links = settled(extract_images(articles, pages), "images")
     fill_partitions(
         spark, articles_path, links, schemas.NEWS_ARTICLES, partition=schemas.ARTICLE_DAY
     )

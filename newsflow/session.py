@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # All instants are UTC. The rest are Spark's own adaptive features, switched on
 # by name so that a cluster default cannot silently turn them off.
@@ -45,3 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    It is then computed once, survives the loss of executors, and has a known
+    size, so Spark broadcasts it when it is small enough and joins it by shuffle
+    when it is not. Meant for narrow tables that a wide one is joined with.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

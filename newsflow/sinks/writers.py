@@ -26,7 +26,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def with_new_ids(rows: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:

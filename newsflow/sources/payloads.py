@@ -8,6 +8,7 @@ are chosen row by row. Nothing here shuffles except the small breaker join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,7 +177,4 @@ def union_providers(feeds: dict[str, DataFrame]) -> DataFrame:
         feed.withColumn("source_api", F.lit(name)).withColumn("provider_rank", F.lit(rank))
         for rank, (name, feed) in enumerate(feeds.items())
     ]
-    union = ranked[0]
-    for feed in ranked[1:]:
-        union = union.unionByName(feed)
-    return union
+    return reduce(DataFrame.unionByName, ranked)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # Symbol, company name and the texts that identify the stock, in
 # rank order. The first symbol with a matching alias owns an article.
@@ -47,43 +49,49 @@ WINDOWED_PROVIDERS = (YFINANCE,)
 SYMBOLS = tuple(symbol for symbol, _, _ in STOCKS)
 ALIASES = {symbol: aliases for symbol, _, aliases in STOCKS}
 
-_MASTER_SCHEMA = T.StructType(
-    [
-        T.StructField("symbol_rank", T.IntegerType(), False),
-        T.StructField("symbol", T.StringType(), False),
-        T.StructField("name", T.StringType(), False),
-        T.StructField("exchange", T.StringType(), False),
-        T.StructField("news_symbol", T.StringType(), False),
-        T.StructField("yahoo", T.StringType(), False),
-    ]
-)
-_ALIAS_SCHEMA = T.StructType(
-    [
-        T.StructField("symbol_rank", T.IntegerType(), False),
-        T.StructField("symbol", T.StringType(), False),
-        T.StructField("alias", T.StringType(), False),
-    ]
-)
-_PROVIDER_SCHEMA = T.StructType(
-    [
-        T.StructField("provider_rank", T.IntegerType(), False),
-        T.StructField("source_api", T.StringType(), False),
-    ]
-)
+
+def _local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
+    """A literal table whose exact size the optimizer knows, so joins broadcast it."""
+    arrays = {name: pa.array(values, kind) for name, (kind, values) in columns.items()}
+    return spark.createDataFrame(pa.table(arrays))
 
 
 def stock_master(spark: SparkSession) -> DataFrame:
     """The configured stocks, one row each."""
-    rows = [(rank, s, name, EXCHANGE, s, s) for rank, (s, name, _) in enumerate(STOCKS)]
-    return spark.createDataFrame(rows, _MASTER_SCHEMA)
+    symbols = (pa.string(), list(SYMBOLS))
+    return _local_table(
+        spark,
+        {
+            "symbol_rank": (pa.int32(), list(range(len(STOCKS)))),
+            "symbol": symbols,
+            "name": (pa.string(), [name for _, name, _ in STOCKS]),
+            "exchange": (pa.string(), [EXCHANGE] * len(STOCKS)),
+            "news_symbol": symbols,
+            "yahoo": symbols,
+        },
+    )
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """The alias dictionary, one row per (symbol, alias)."""
     rows = [(rank, s, a) for rank, (s, _, aliases) in enumerate(STOCKS) for a in aliases]
-    return spark.createDataFrame(rows, _ALIAS_SCHEMA)
+    ranks, symbols, aliases = map(list, zip(*rows))
+    return _local_table(
+        spark,
+        {
+            "symbol_rank": (pa.int32(), ranks),
+            "symbol": (pa.string(), symbols),
+            "alias": (pa.string(), aliases),
+        },
+    )
 
 
-def provider_table(spark: SparkSession) -> DataFrame:
+def provider_table(spark: SparkSession, providers: Sequence[str] = PROVIDERS) -> DataFrame:
     """The providers with their rank."""
-    return spark.createDataFrame(list(enumerate(PROVIDERS)), _PROVIDER_SCHEMA)
+    return _local_table(
+        spark,
+        {
+            "provider_rank": (pa.int32(), list(range(len(providers)))),
+            "source_api": (pa.string(), list(providers)),
+        },
+    )

@@ -16,7 +16,7 @@ from newsflow.session import shared_path
 from newsflow.sinks import merge
 from newsflow.sinks.writers import read_table
 from newsflow.sources import csv_files, payloads
-from newsflow.stocks import ALPHA_VANTAGE, FINNHUB, MARKETAUX, YFINANCE
+from newsflow.stocks import ALPHA_VANTAGE, FINNHUB, MARKETAUX, YFINANCE, provider_table
 from newsflow.streaming import ingest
 from workload import roles
 from workload.roles import table
@@ -329,8 +329,8 @@ def distinct_urls(spark, d):
 
 
 def provider_counts(spark, d):
-    names = [("click",), ("error",), ("purchase",), ("signup",), ("view",), ("refund",)]
-    providers = spark.createDataFrame(names, "source_api STRING")
+    names = ("click", "error", "purchase", "signup", "view", "refund")
+    providers = provider_table(spark, names)
     events = table(spark, d, "events").withColumnRenamed("event_type", "source_api")
     return reports.provider_counts(events, providers)
 
@@ -352,11 +352,10 @@ def load_summary_rollup(spark, d):
 
 
 def sentiment_load_summary(spark, d):
-    docs = _docs(spark, d)
     rows = _csv_rows(spark, d)
-    articles = docs.select((F.col("doc_id") + 1).alias("id"), roles.text_url(F.col("text")).alias("url"))
-    known = articles.join(
-        table(spark, d, "labels").select((F.col("doc_id") + 1).alias("id"), "quality"), "id"
+    labelled = _docs(spark, d).join(table(spark, d, "labels"), "doc_id")
+    known = labelled.groupBy(roles.text_url(F.col("text")).alias("url")).agg(
+        (F.max("doc_id") + 1).alias("id"), F.max_by("quality", "doc_id").alias("quality")
     )
     stored = known.filter("quality = 1").select(F.col("id").alias("news_id"))
     return csv_load.outcome_counts(rows, csv_load.sentiment_outcome(rows, known, stored))

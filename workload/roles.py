@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.session import configure
+from newsflow.session import configure, settled
 from newsflow.stocks import ALPHA_VANTAGE, FINNHUB, MARKETAUX, PROVIDERS, YFINANCE
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -85,11 +85,15 @@ def stored_articles(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stocks(documents: DataFrame) -> DataFrame:
-    """Document sources as the stock table."""
-    return documents.select("source").distinct().select(
+    """Document sources as the stock table.
+
+    Written out, like the stored table it stands for, so that its size is known.
+    """
+    symbols = documents.select("source").distinct().select(
         source_number(F.col("source")).cast("bigint").alias("id"),
         F.col("source").alias("symbol"),
     )
+    return settled(symbols, "stocks")
 
 
 def event_symbols(events: DataFrame) -> DataFrame:
