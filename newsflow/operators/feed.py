@@ -28,44 +28,53 @@ def page_bounds(page: object = 1, limit: object = MAX_PAGE_SIZE) -> tuple[int, i
     return max(number, 1), min(max(size, 1), MAX_PAGE_SIZE)
 
 
-def _slice(articles: DataFrame, time: str, tie: str, offset: int, size: int) -> DataFrame:
-    newest_first = articles.orderBy(F.desc_nulls_first(time), F.asc(tie))
-    return newest_first.offset(offset).limit(size)
+def _holding(
+    articles: DataFrame, group: Column, offset: int, size: int
+) -> tuple[list, int]:
+    """Newest-first groups that overlap the page, and the rows before the first of them.
+
+    Brings back one small row per group, never articles.
+    """
+    counts = articles.groupBy(group.alias("start")).count().orderBy(F.desc_nulls_first("start"))
+    held, before, seen = [], 0, 0
+    for row in counts.toLocalIterator():
+        if seen >= offset + size:
+            break
+        if seen + row["count"] > offset:
+            held.append(row["start"])
+        else:
+            before += row["count"]
+        seen += row["count"]
+    return held, before
 
 
-def _seek(
+def _seek_day(articles: DataFrame, day: str, offset: int, size: int) -> tuple[DataFrame, int]:
+    """Keep the partitions that hold the page. Counting them reads no column."""
+    held, before = _holding(articles, F.col(day), offset, size)
+    keep = F.col(day).isin([d for d in held if d is not None])
+    if None in held:
+        keep = keep | F.col(day).isNull()
+    return articles.filter(keep), max(offset - before, 0)
+
+
+def _seek_time(
     articles: DataFrame, time: str, offset: int, size: int, seek_after: int
 ) -> tuple[DataFrame, int]:
     """Narrow the table to the time span that holds the page.
 
     Counts rows per day, then per hour, minute and second of the span found so
-    far, until little enough lies before the page. Each step brings back one
-    small row per unit of time, never articles. Returns the remaining rows and
-    the page's offset within them.
+    far, until little enough lies before the page.
     """
     for unit in SEEK_UNITS:
         if offset <= seek_after:
             break
-        start = F.date_trunc(unit, time).alias("start")
-        counts = articles.groupBy(start).count().orderBy(F.desc_nulls_first("start"))
-        held, before, seen = [], 0, 0
-        for row in counts.toLocalIterator():
-            if seen >= offset + size:
-                break
-            if seen + row["count"] > offset:
-                held.append(row["start"])
-            else:
-                before += row["count"]
-            seen += row["count"]
-        if not held:
-            return articles.filter(F.lit(False)), 0
+        held, before = _holding(articles, F.date_trunc(unit, time), offset, size)
         dated = [t for t in held if t is not None]
         keep = F.col(time).isNull() if None in held else F.lit(False)
         if dated:
-            first, last = F.lit(min(dated)), F.lit(max(dated))
-            after = last + F.expr(f"INTERVAL 1 {unit}")
-            keep = keep | ((F.col(time) >= first) & (F.col(time) < after))
-        articles, offset = articles.filter(keep), offset - before
+            after = F.lit(max(dated)) + F.expr(f"INTERVAL 1 {unit}")
+            keep = keep | ((F.col(time) >= F.lit(min(dated))) & (F.col(time) < after))
+        articles, offset = articles.filter(keep), max(offset - before, 0)
     return articles, offset
 
 
@@ -75,19 +84,24 @@ def news_page(
     limit: object = MAX_PAGE_SIZE,
     time: str = "published_at",
     tie: str = "url",
+    day: str | None = None,
     seek_after: int = SEEK_AFTER,
 ) -> DataFrame:
     """One page of the newest articles; rows without a time come first.
 
-    A page near the top is a top-k: each task keeps its own best rows and only
-    those travel. A page far down would make every task keep everything above
-    it, so its time span is located by counting first and only that is sorted.
+    ``day`` names the column the table is partitioned by, if it is; then only
+    the days that hold the page are read. A page near the top is a top-k: each
+    task keeps its own best rows and only those travel. A page far down would
+    make every task keep everything above it, so its time span is located by
+    counting first and only that is sorted.
     """
     number, size = page_bounds(page, limit)
     offset = (number - 1) * size
-    if offset > seek_after:
-        articles, offset = _seek(articles, time, offset, size, seek_after)
-    return _slice(articles, time, tie, offset, size)
+    if day:
+        articles, offset = _seek_day(articles, day, offset, size)
+    articles, offset = _seek_time(articles, time, offset, size, seek_after)
+    newest_first = articles.orderBy(F.desc_nulls_first(time), F.asc(tie))
+    return newest_first.offset(offset).limit(size)
 
 
 def page_summary(rows: DataFrame, page: object = 1, limit: object = MAX_PAGE_SIZE) -> DataFrame:

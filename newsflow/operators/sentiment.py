@@ -35,17 +35,22 @@ def sentiment_record(matched: DataFrame) -> DataFrame:
     )
 
 
+def daily_date(text: Column) -> Column:
+    """Day of a daily row; a time of day after the date is ignored."""
+    return F.substring(null_if_na(text), 1, 10).try_cast("date")
+
+
 def daily_record(daily: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """The record stored in ``daily_sentiment``; rows without a date are dropped.
+    """The record stored in ``daily_sentiment``; rows without a readable date are dropped.
 
     Expects ``stock_id``, ``symbol`` and the text columns of the daily CSV.
     ``carried`` names further columns to keep.
     """
-    date = null_if_na(F.col("published_date").cast("string"))
-    return daily.filter(date.isNotNull()).select(
+    dated = daily.withColumn("sentiment_date", daily_date(F.col("published_date").cast("string")))
+    return dated.filter(F.col("sentiment_date").isNotNull()).select(
         F.col("stock_id").cast("bigint").alias("stock_id"),
         "symbol",
-        F.substring(date, 1, 10).try_cast("date").alias("sentiment_date"),
+        "sentiment_date",
         *[to_count(F.col(c).cast("string")).alias(c) for c in schemas.DAILY_COUNTS],
         *[to_double(F.col(c).cast("string")).alias(c) for c in schemas.DAILY_SCORES],
         *carried,

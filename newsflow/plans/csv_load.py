@@ -22,7 +22,12 @@ from newsflow.operators.articles import (
 )
 from newsflow.operators.filters import with_url
 from newsflow.operators.reports import load_summary, table_counts
-from newsflow.operators.sentiment import attach_news_id, daily_record, sentiment_record
+from newsflow.operators.sentiment import (
+    attach_news_id,
+    daily_date,
+    daily_record,
+    sentiment_record,
+)
 from newsflow.plans.collector import store_articles
 from newsflow.session import settled
 from newsflow.sinks.writers import append_new, read_table, upsert_partitions
@@ -103,10 +108,10 @@ def kind_counts(events: DataFrame) -> DataFrame:
     return load_summary(events, {n: F.count_if(F.col("kind") == kind) for n, kind in names.items()})
 
 
-def _with_errors(spark: SparkSession, counts: DataFrame, scan: CsvScan) -> DataFrame:
+def _with_errors(counts: DataFrame, scan: CsvScan) -> DataFrame:
     """Add the number of unreadable files to the grand total."""
-    total = F.col("symbol").isNull()
-    errors = F.when(total, F.lit(len(scan.unreadable)).cast("bigint")).otherwise(F.col("errors"))
+    unreadable = F.lit(len(scan.unreadable)).cast("bigint")
+    errors = F.col("errors") + F.when(F.col("symbol").isNull(), unreadable).otherwise(0)
     return counts.withColumn("errors", errors)
 
 
@@ -130,7 +135,7 @@ def load_news(
     outcome = settled(news_outcome(rows, stored), "news-load")
     records = news_records(outcome.filter(F.col("status") == INSERTED), stocks)
     store_articles(spark, tables.news_articles, records)
-    return _with_errors(spark, outcome_counts(rows, outcome), scan)
+    return _with_errors(outcome_counts(rows, outcome), scan)
 
 
 def load_sentiment(
@@ -152,7 +157,7 @@ def load_sentiment(
         id_col=None,
         known_new=True,
     )
-    return _with_errors(spark, outcome_counts(rows, outcome), scan)
+    return _with_errors(outcome_counts(rows, outcome), scan)
 
 
 def load_daily(
@@ -162,7 +167,10 @@ def load_daily(
     stocks: DataFrame,
     symbols: Sequence[str] = SYMBOLS,
 ) -> DataFrame:
-    """Upsert the daily sentiment CSVs; returns the counts."""
+    """Upsert the daily sentiment CSVs; returns the counts.
+
+    A row with an unreadable date is an error, one without a date is ignored.
+    """
     scan = read_symbol_csv(spark, path, schemas.DAILY_CSV, symbols, "_daily_sentiment")
     rows = scan.rows
     linked = attach_stock_id(rows, stocks)
@@ -177,10 +185,10 @@ def load_daily(
         order=order,
         partition="sentiment_date",
     )
-    events = rows.select("symbol", F.lit(ROW).alias("kind")).unionByName(
-        records.select("symbol", F.lit(INSERTED).alias("kind"))
-    )
-    return _with_errors(spark, kind_counts(events), scan)
+    date = F.col("published_date")
+    fate = F.when(daily_date(date).isNotNull(), INSERTED).when(date.isNotNull(), ERROR)
+    events = rows.select("symbol", F.explode(F.array(F.lit(ROW), fate)).alias("kind"))
+    return _with_errors(kind_counts(events), scan)
 
 
 def run_load(

@@ -118,7 +118,12 @@ def read_symbol_csv(
         )
         rows = layout if rows is None else rows.unionByName(layout)
     if rows is None:
-        fields = "symbol STRING, file_path STRING, row_pos BIGINT NOT NULL, "
-        rows = spark.createDataFrame([], fields + ", ".join(f"{c} STRING" for c in columns))
+        nothing = F.lit(None).cast("string")
+        rows = spark.range(0).select(
+            nothing.alias("symbol"),
+            nothing.alias("file_path"),
+            F.col("id").alias("row_pos"),
+            *[nothing.alias(c) for c in columns],
+        )
     rank = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol")) - 1
-    return CsvScan(rows.withColumn("symbol_rank", rank), unreadable)
+    return CsvScan(rows.withColumn("symbol_rank", rank.cast("int")), unreadable)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsflow import schemas
 from newsflow.operators.dedup import distinct_urls
-from newsflow.plans import collector, csv_load, image_backfill, news_page
+from newsflow.plans import collector, csv_load, daily_rollup, image_backfill, news_page
 from newsflow.sinks import merge, writers
 from newsflow.stocks import ALPHA_VANTAGE, FINNHUB, MARKETAUX, SYMBOLS, YFINANCE
 from newsflow.streaming import ingest
@@ -218,7 +218,7 @@ def test_csv_load_is_resumable_and_images_are_filled(spark, stocks, tmp_path):
     (scores / "AMD_sentiment.csv").write_text(label + "https://h/1,negative,0,0,0,0\n")
     day = ",".join(schemas.DAILY_CSV) + "\n"
     (scores / "NVDA_daily_sentiment.csv").write_text(
-        day + "2024-01-15,3,1,1,1,.1,.2,.3,.4,.5\n2024-01-15,4,1,1,1,.1,.2,.3,.4,.5\n,1,1,1,1,1,1,1,1,1\n"
+        day + "2024-01-15,3,1,1,1,.1,.2,.3,.4,.5\n2024-01-15,4,1,1,1,.1,.2,.3,.4,.5\n,1,1,1,1,1,1,1,1,1\n2024-02-30,1,1,1,1,1,1,1,1,1\n"
     )
     tables = csv_load.Tables(*(str(tmp_path / n) for n in ("articles", "sentiment", "daily")))
 
@@ -234,7 +234,7 @@ def test_csv_load_is_resumable_and_images_are_filled(spark, stocks, tmp_path):
     counts, sizes = load()
     assert counts["news"] == {"NVDA": (3, 1, 0, 0, 0), "AMD": (2, 1, 1, 0, 0), None: (5, 2, 1, 0, 1)}
     assert counts["sentiment"] == {"NVDA": (2, 1, 0, 1, 0), "AMD": (1, 0, 1, 0, 0), None: (3, 1, 1, 1, 0)}
-    assert counts["daily"] == {"NVDA": (3, 2, 0, 0, 0), None: (3, 2, 0, 0, 0)}
+    assert counts["daily"] == {"NVDA": (4, 2, 0, 0, 1), None: (4, 2, 0, 0, 1)}
     want = {"stocks": 20, "news_articles": 2, "news_sentiment": 1, "daily_sentiment": 1}
     assert sizes == want
     moment = dt.datetime(2024, 1, 15, 9)
@@ -250,6 +250,12 @@ def test_csv_load_is_resumable_and_images_are_filled(spark, stocks, tmp_path):
     assert counts["sentiment"][None] == (3, 0, 2, 1, 0)
     assert sizes == want
 
+    daily_rollup.run_daily_rollup(spark, tables.news_articles, tables.news_sentiment, tables.daily_sentiment)
+    daily = writers.read_table(spark, tables.daily_sentiment, schemas.DAILY_SENTIMENT).collect()
+    assert [(r["stock_id"], r["article_count"], r["average_positive"], r["sentiment_balance"]) for r in daily] == [
+        (1, 1, 0.5, 1.0)
+    ]
+
     pages = spark.createDataFrame(
         [("https://h/1", "<meta property=og:image content=/i.png>"), ("https://h/2", "<p>none</p>")],
         "url string, html string",

@@ -238,6 +238,18 @@ def test_pages_equal_brute_force(spark, page, limit, seek_after):
     assert [r["url"] for r in got] == newest[(page - 1) * limit : page * limit]
 
 
+@pytest.mark.parametrize("page,limit", [(1, 100), (4, 100), (10, 100), (11, 100), (3, 6)])
+def test_pages_of_a_table_laid_out_by_day(spark, tmp_path, page, limit):
+    df, newest = timeline(spark)
+    path = str(tmp_path / "t")
+    df.withColumn("published_day", F.to_date("published_at")).write.partitionBy("published_day").parquet(path)
+    got = feed.news_page(spark.read.parquet(path), page, limit, day="published_day", seek_after=150)
+    assert [r["url"] for r in got.collect()] == newest[(page - 1) * limit : page * limit]
+    if page == 3:
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnull(published_day" in text
+
+
 def test_page_bounds():
     assert feed.page_bounds() == (1, 100)
     assert feed.page_bounds(0, 0) == (1, 1)

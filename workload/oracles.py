@@ -85,11 +85,11 @@ _DAILY_SOURCE = """daily_source AS (
     CAST(trunc(value) AS BIGINT) AS article_count,
     CAST(trunc(-value) AS BIGINT) AS positive_articles,
     CASE WHEN event_type = 'error' THEN 0 ELSE CAST(trunc(value) AS BIGINT) END AS neutral_articles,
-    CASE WHEN event_type = 'click' THEN 0 ELSE 1000 END AS negative_articles,
+    CAST(CASE WHEN event_type = 'click' THEN 0 ELSE 1000 END AS BIGINT) AS negative_articles,
     value AS average_positive,
     CASE WHEN event_type <> 'signup' THEN value END AS average_neutral,
     CASE WHEN event_type <> 'error' THEN value END AS average_negative,
-    value AS average_sentiment, 0.5 AS sentiment_balance
+    value AS average_sentiment, CAST(0.5 AS DOUBLE) AS sentiment_balance
   FROM events WHERE event_type <> 'view')"""
 _DAILY_LAST = """daily_last AS (
   SELECT * EXCLUDE (rn) FROM (
@@ -145,7 +145,7 @@ kinds AS (
   SELECT symbol, 'row' AS kind FROM articles UNION ALL SELECT symbol, kind FROM fates)
 SELECT symbol, count(*) FILTER (kind = 'row') AS rows,
   count(*) FILTER (kind = 'inserted') AS inserted, count(*) FILTER (kind = 'skipped') AS skipped,
-  count(*) FILTER (kind = 'missing') AS missing, 0 AS errors
+  count(*) FILTER (kind = 'missing') AS missing, CAST(0 AS BIGINT) AS errors
 FROM kinds GROUP BY ROLLUP (symbol)"""
 
 
