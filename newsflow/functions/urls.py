@@ -70,17 +70,22 @@ def is_web_url(url: Column) -> Column:
 
 def _clean_path(path: Column) -> Column:
     """Absolute path with ``.`` and ``..`` segments applied."""
-    segments = F.split(F.regexp_replace(path, r"^/|/$", ""), "/")
+    segments = F.split(F.regexp_replace(path, r"/$", ""), "/")
     kept = F.aggregate(
         F.filter(segments, lambda s: s != "."),
         F.array().cast("array<string>"),
         lambda done, s: F.when(
             s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         ).otherwise(F.array_append(done, s)),
+        lambda done: F.array_join(done, "/"),
     )
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    directory = path.rlike(r"(?:^|/)\.{0,2}$") & (joined != "/")
-    return F.when(directory, F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.get(F.transform(F.array(kept), lambda k: _rooted(k, path)), F.lit(0))
+
+
+def _rooted(joined: Column, path: Column) -> Column:
+    absolute = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    directory = path.rlike(r"(?:^|/)\.{0,2}$") & (joined != "")
+    return F.when(directory, F.concat(absolute, F.lit("/"))).otherwise(absolute)
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
@@ -106,7 +111,7 @@ def _join_parts(p: Column) -> Column:
     base_scheme, base_path = F.lower(p["base_scheme"]), p["base_path"]
     own_host, same_document = host != "", path == ""
 
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
+    folder = F.concat(F.lit("/"), F.regexp_replace(base_path, r"[^/]*$", ""))
     relative = F.concat(
         F.regexp_replace(folder, r"/+", "/"), F.regexp_replace(path, r"/+", "/")
     )

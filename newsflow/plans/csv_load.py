@@ -175,7 +175,7 @@ def load_daily(
     rows = scan.rows
     linked = attach_stock_id(rows, stocks)
     order = ("file_path", "row_pos")
-    records = daily_record(linked, carried=order)
+    records = settled(daily_record(linked, carried=order), "daily-load")
     upsert_partitions(
         spark,
         tables.daily_sentiment,

@@ -49,15 +49,15 @@ def batch_loader(
 ) -> Callable[[DataFrame, int], None]:
     """The function that stores one micro-batch.
 
-    Limit positions are stored too, so a provider switched off in one batch
-    stays off for the rest of its run.
+    Limit positions are stored too, one folder per run that has any, so a
+    provider switched off in one batch stays off for the rest of its run.
     """
 
     def load(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         payloads = to_payloads(batch) if to_payloads else batch
         new_cutoffs = limit_cutoffs(payloads, limit_flag())
-        new_cutoffs.write.mode("append").parquet(cutoffs_path)
+        new_cutoffs.write.mode("append").partitionBy("run_id").parquet(cutoffs_path)
         cutoffs = (
             read_table(spark, cutoffs_path, schemas.LIMIT_CUTOFFS)
             .groupBy("run_id", "provider")
