@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.clean import null_if_blank
-from newsflow.functions.text import mentions, search_text
+from newsflow.functions.text import mentions, needed_aliases, search_text
 from newsflow.stocks import ALIASES
 
 _TEXT = "_match_text"
@@ -27,13 +27,18 @@ def stock_symbol(
 ) -> Column:
     """First stock with an alias in the lower-cased ``text``, else ``own`` unless blank.
 
-    Mapping order is rank order and the search stops at the first hit.
+    Mapping order is rank order and the search stops at the first hit. An alias
+    that contains one of an earlier stock can never decide and is not looked for.
     """
-    symbol = F.lit(None).cast("string")
-    for position, (name, names) in enumerate(aliases.items()):
-        hit = mentions(text, names, whole_words)
-        symbol = F.when(hit, name) if position == 0 else symbol.when(hit, name)
-    return F.coalesce(symbol, null_if_blank(own))
+    symbol, decided = F, []
+    for name, names in aliases.items():
+        if not whole_words:
+            names = needed_aliases(names, decided)
+            decided += names
+        if names:
+            symbol = symbol.when(mentions(text, names, whole_words), name)
+    found = F.lit(None).cast("string") if symbol is F else symbol
+    return F.coalesce(found, null_if_blank(own))
 
 
 def with_match_text(articles: DataFrame, name: str = _TEXT) -> DataFrame:

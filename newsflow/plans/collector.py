@@ -46,6 +46,7 @@ def run_articles(
     as_of: datetime | None = None,
     hours: int = LOOKBACK_HOURS,
     cutoffs: DataFrame | None = None,
+    check_phrases: bool = True,
 ) -> DataFrame:
     """Articles a run delivers: before any provider limit, inside the window.
 
@@ -54,7 +55,7 @@ def run_articles(
     first, so that the wide responses are not shuffled to meet a few of them.
     """
     if cutoffs is None:
-        cutoffs = settled(limit_cutoffs(payloads, limit_flag()), "cutoffs")
+        cutoffs = settled(limit_cutoffs(payloads, limit_flag(check_phrases)), "cutoffs")
     window = None
     if as_of is not None:
         end = F.lit(as_of)
@@ -97,10 +98,16 @@ def run_collector(
     articles_path: str,
     stocks: DataFrame,
     as_of: datetime | None = None,
+    check_phrases: bool = True,
 ) -> None:
-    """Collect one batch of landed responses into the article table."""
+    """Collect one batch of landed responses into the article table.
+
+    Without ``check_phrases`` only the status decides about a provider's limit,
+    and no body is searched for it.
+    """
     require_symbols(stock_master(spark), stocks)
     stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
-    unique = unique_articles(run_articles(payloads, as_of))
+    articles = run_articles(payloads, as_of, check_phrases=check_phrases)
+    unique = unique_articles(articles)
     records = collect_records(unique, stored, stocks)
     store_articles(spark, articles_path, records)

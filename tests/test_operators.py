@@ -320,3 +320,19 @@ def test_counts_of_absent_tables(spark):
     spark.range(3).createOrReplaceTempView("here")
     got = {r["table_name"]: r["rows"] for r in reports.catalog_counts(spark, ["here", "nowhere"]).collect()}
     assert got == {"here": 3, "nowhere": None}
+
+
+def test_leaving_out_implied_aliases_changes_nothing(spark):
+    rng = random.Random(9)
+    pieces = ["ab", "abc", "b", "bcd", "xyz", "yz", "q", " "]
+    for _ in range(4):
+        aliases = {f"s{i}": [p.upper() for p in rng.sample(pieces[:7], rng.randrange(1, 4))] for i in range(5)}
+        texts = ["".join(rng.choices(pieces + ["k"], k=rng.randrange(0, 5))) for _ in range(400)]
+        want = []
+        for t in texts:
+            hits = [s for s, names in aliases.items() if any(n.lower() in t for n in names)]
+            want.append((hits[0] if hits else "own", len(hits)))
+        df = spark.createDataFrame([(str(i), t, "", "own") for i, t in enumerate(texts)], ARTICLE)
+        first = {int(r["url"]): r["symbol"] for r in stock_match.assign_stock(df, aliases).collect()}
+        every = {int(r["url"]): r["count"] for r in stock_match.all_stock_matches(df, aliases).groupBy("url").count().collect()}
+        assert [(first[i], every.get(i, 0)) for i in range(len(texts))] == want
