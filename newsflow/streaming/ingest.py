@@ -23,6 +23,7 @@ from newsflow.plans.collector import (
     store_articles,
     unique_articles,
 )
+from newsflow.session import configure
 from newsflow.sinks.writers import read_table
 from newsflow.sources.payloads import limit_cutoffs
 from newsflow.stocks import ALIASES
@@ -54,7 +55,8 @@ def batch_loader(
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+        # A streaming session may have adaptive execution off; the batch jobs need it.
+        spark = configure(batch.sparkSession)
         payloads = to_payloads(batch) if to_payloads else batch
         new_cutoffs = limit_cutoffs(payloads, limit_flag())
         new_cutoffs.write.mode("append").partitionBy("run_id").parquet(cutoffs_path)
