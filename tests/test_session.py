@@ -44,4 +44,5 @@ def test_settings(spark):
 def test_settled_tables_have_a_known_size(spark):
     df = session.settled(spark.range(5).selectExpr("id", "id % 2 = 0 even"), "t")
     assert df.count() == 5
-    assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 10_000
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < 10_000
