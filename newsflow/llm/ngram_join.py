@@ -14,9 +14,10 @@ threshold. The search is exact.
    and a box is left out when the sum of the coordinate minima of its upper corner
    and the query point is less than the overlap a link needs. Surviving pairs are
    verified on the whole sets, unless known links connect them already.
-4. Buckets that still hold unconnected documents that never met are worked off in
-   the same way: first by another single bucket each, then all that is left, large
-   buckets as pairs of blocks.
+4. Buckets that still hold unconnected documents that never met are worked off:
+   first by another single bucket each in the same way, then all that is left, large
+   buckets as pairs of blocks. There only count vectors are sent, and the pairs that
+   the tree leaves over are verified on the texts.
 
 Between the steps only narrow tables move. The R-tree alone would be quadratic:
 in the few dimensions that can prune a whole box, independent texts of one length
@@ -115,23 +116,26 @@ def _prefixes(
             [batch.column("id"), n, column(high), column(low), lists], ["id", "n", "high", "low", "keys"])
 
 
+def group_counts(s: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles of a set fall into each of ``groups`` (a power of two) hash groups."""
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def _groups_of(n: int) -> int:
+    """Groups of the count vector that stands for a set of n shingles."""
+    return 1 << max(4, min(16, (int(n) // 2).bit_length()))
+
+
 class CountTree:
     """R-tree over count vectors: shingles hashed into groups, counted per group."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        most = max(16, min(2 * int(sizes.max()), _POINTS // len(sets)))
-        self.groups = 1 << (most.bit_length() - 1)
-        kind = np.uint16 if sizes.max() < 2**16 else np.uint32
-        points = np.empty((len(sets), self.groups), kind)
-        for i, s in enumerate(sets):
-            points[i] = np.bincount((s & np.uint64(self.groups - 1)).astype(np.int64), minlength=self.groups)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = self._packed(points, sizes)
         self.points, self.sizes = points[self.order], sizes[self.order]
         # Levels from the leaves up: upper corners, size ranges, last point of each box.
         self.levels = []
         low, high, corner = self.sizes, self.sizes, self.points
-        last = np.arange(len(sets))
+        last = np.arange(len(sizes))
         while len(last) > 1:
             first = np.arange(0, len(last), _LEAF)
             corner = np.maximum.reduceat(corner, first, axis=0)
@@ -139,6 +143,16 @@ class CountTree:
             last = np.maximum.reduceat(last, first)
             self.levels.append((corner, low, high, last))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray]) -> CountTree:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        most = max(16, min(2 * int(sizes.max()), _POINTS // len(sets)))
+        groups = 1 << (most.bit_length() - 1)
+        points = np.empty((len(sets), groups), np.uint16 if sizes.max() < 2**16 else np.uint32)
+        for i, s in enumerate(sets):
+            points[i] = group_counts(s, groups)
+        return cls(points, sizes)
+
     @staticmethod
     def _packed(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Bulk-loading order: halve by size or by the group that varies most, down to leaves."""
@@ -206,7 +220,7 @@ def linked(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> lis
     known: dict[int, int] = {}
     for i, label in enumerate(labels):
         root[i] = find(known.setdefault(label, i))
-    tree, found = CountTree(sets), []
+    tree, found = CountTree.of_sets(sets), []
     for i, own in enumerate(tree.order):
         for j in tree.later(i, num, den):
             other = tree.order[j]
@@ -220,6 +234,65 @@ def linked(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> lis
     return found
 
 
+def _vectors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The count vector of each text, one byte per group where that suffices."""
+    for batch, sets in _sets(batches, width):
+        points = [group_counts(s, _groups_of(len(s))) for s in sets]
+        packed = [p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes() for p in points]
+        n = pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), n, pa.array(packed, pa.binary())], ["id", "n", "vector"])
+
+
+def candidates(
+    sizes: np.ndarray, vectors: list[bytes], labels: np.ndarray, num: int, den: int
+) -> Iterator[tuple[int, int]]:
+    """Positions of vectors whose bounded overlap allows a link; none with equal labels.
+
+    Sets that link differ at most by one doubling of their groups, so a tree holds
+    two neighbouring resolutions, the finer one folded.
+    """
+    groups = np.array([_groups_of(n) for n in sizes])
+    for coarse in np.unique(groups):
+        own = np.flatnonzero((groups == coarse) | (groups == 2 * coarse))
+        if len(own) < 2 or (labels[own] == labels[own[0]]).all():
+            continue
+        points = np.empty((len(own), coarse), np.uint32)
+        for row, i in enumerate(own):
+            kind = np.uint8 if len(vectors[i]) == groups[i] else np.uint32
+            points[row] = np.frombuffer(vectors[i], kind).reshape(-1, coarse).sum(axis=0)
+        tree = CountTree(points, sizes[own])
+        for i, x in enumerate(own[tree.order]):
+            for y in own[tree.order[tree.later(i, num, den)]]:
+                if labels[x] != labels[y] and coarse in (groups[x], groups[y]):
+                    yield int(x), int(y)
+
+
+def _near(
+    batches: Iterator[pa.RecordBatch], num: int, den: int
+) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each block of count vectors; the rows of a block follow each other."""
+    block, rows = None, []
+
+    def pairs() -> pa.RecordBatch:
+        ids, sizes, labels, vectors = zip(*rows)
+        found = list(candidates(np.array(sizes), vectors, np.array(labels), num, den))
+        low = [min(ids[x], ids[y]) for x, y in found]
+        high = [max(ids[x], ids[y]) for x, y in found]
+        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("id", "n", "label", "vector")]
+        for at, *row in zip(batch.column("block").to_pylist(), *columns):
+            if at != block:
+                if len(rows) > 1:
+                    yield pairs()
+                block, rows = at, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield pairs()
+
+
 def _match(
     batches: Iterator[pa.RecordBatch], width: int, num: int, den: int
 ) -> Iterator[pa.RecordBatch]:
@@ -260,14 +333,57 @@ def _one_bucket(buckets: DataFrame, order, seed: int) -> DataFrame:
     return chosen.join(_blocks(chosen), "key").select("id", F.xxhash64("key", part).alias("block"))
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """One bucket of those that hold the same ids."""
+    held = buckets.groupBy("key").agg(
+        F.count("*").alias("_k"), F.bit_xor(F.xxhash64("id")).alias("_x"),
+        F.bit_xor(F.xxhash64(F.lit(4), F.col("id"))).alias("_y"))
+    one = held.groupBy("_k", "_x", "_y").agg(F.min("key").alias("key")).select("key")
+    return buckets.join(one, "key", "left_semi")
+
+
+def _pairs_of_blocks(buckets: DataFrame) -> DataFrame:
+    """Each bucket as one block, or as all pairs of its parts."""
+    part = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    return (
+        buckets.join(_blocks(buckets), "key")
+        .withColumn("part", part)
+        .withColumn("other", other)
+        .select("id", "label", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"))
+    )
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Pairs as blocks of one id and its partners, many partners in several blocks."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1024).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(5), F.col("b")), F.col("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", part).alias("block"))
+    centres = dealt.select("block", F.col("a").alias("id")).distinct()
+    ends = dealt.select("block", F.col("b").alias("id")).unionByName(centres)
+    return ends.withColumn("label", F.col("id"))
+
+
 def _linked_in(blocks: DataFrame, match, name: str) -> DataFrame:
     """Links found within blocks of (block, id, label, text)."""
     dealt = blocks.select("block", "id", "label", "text").repartition("block")
     return settled(dealt.sortWithinPartitions("block").mapInArrow(match, _EDGES), name)
 
 
+def _able(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of ids that stand in as many buckets as any link of theirs needs."""
+    partner = F.ceil(F.ceil(F.max("n") * num / den) * num / den)
+    enough = F.count("*") >= F.least(F.lit(_SHARED), partner)
+    able = buckets.groupBy("id").agg(enough.alias("ok")).filter("ok").select("id")
+    return buckets.join(able, "id", "left_semi")
+
+
 def _open(buckets: DataFrame, met: list[str]) -> DataFrame:
-    """Rows of buckets that hold several labels and several blocks of every earlier round."""
+    """Rows of buckets that hold several labels and several blocks of every earlier round.
+
+    All buckets that a pair shares are open as long as the pair is unconnected and
+    has not met, so the rule of :func:`_able` holds for open buckets too.
+    """
     open_keys = buckets.groupBy("key").agg(
         *[F.min(c).alias(f"_min_{c}") for c in ("label", *met)],
         *[F.max(c).alias(f"_max_{c}") for c in ("label", *met)],
@@ -277,6 +393,11 @@ def _open(buckets: DataFrame, met: list[str]) -> DataFrame:
     return buckets.join(open_keys.select("key"), "key", "left_semi")
 
 
+def _still_open(buckets: DataFrame, met: list[str], num: int, den: int) -> DataFrame:
+    """Open buckets of the ids that stand in enough of them."""
+    return _open(_able(_open(buckets, met), num, den), met)
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with the component of their id, the id itself where no link is known."""
     known = labels.select(F.col("vertex").alias("id"), F.col("component").alias("_c"))
@@ -317,11 +438,7 @@ def near_duplicates(
     )
     of_key = F.count("*").over(Window.partitionBy("key"))
     met = settled(keys.withColumn("k", of_key).filter("k > 1"), "buckets")
-    partner = F.ceil(F.ceil(F.col("n") * num / den) * num / den)
-    enough = F.count("*") >= F.least(F.lit(_SHARED), F.max(partner))
-    able = met.groupBy("id").agg(enough.alias("ok")).filter("ok").select("id")
-    buckets = met.join(able, "id", "left_semi").withColumn("k", of_key).filter("k > 1")
-    buckets = settled(buckets, "buckets")
+    buckets = settled(_able(met, num, den).withColumn("k", of_key).filter("k > 1"), "buckets")
 
     match = partial(_match, width=width, num=num, den=den)
     # Round 1: every representative in its most frequented bucket.
@@ -331,28 +448,27 @@ def near_duplicates(
     edges = _linked_in(held.withColumn("label", F.col("id")), match, "links")
     labels = components(edges)
 
-    # Round 2: what is open, by the first bucket in shingle order.
+    # Round 2: what is open, in the rarest bucket of each.
     buckets = _labelled(buckets, labels).join(first.withColumnRenamed("block", "block1"), "id")
-    buckets = settled(_open(buckets, ["block1"]).drop("label"), "open")
+    buckets = settled(_still_open(buckets, ["block1"], num, den).drop("label"), "open")
     if not buckets.isEmpty():
-        second = settled(_one_bucket(buckets, -F.col("key"), 2), "blocks")
+        second = settled(_one_bucket(buckets, F.struct(-F.col("k"), "key"), 2), "blocks")
         texts = held.select("id", "text")
         edges = edges.unionByName(
             _linked_in(_labelled(texts.join(second, "id"), labels), match, "links"))
         labels = components(edges)
-        # The rest: all buckets still open, large ones as pairs of blocks.
+        # The rest: all buckets still open, large ones as pairs of blocks, by count vectors.
         buckets = _labelled(buckets, labels).join(second.withColumnRenamed("block", "block2"), "id")
-        buckets = settled(_open(buckets, ["block1", "block2"]), "open")
+        buckets = settled(_still_open(buckets, ["block1", "block2"], num, den), "open")
         if not buckets.isEmpty():
-            part = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.col("parts"))
-            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-            pairs = (
-                buckets.join(_blocks(buckets), "key")
-                .withColumn("part", part)
-                .withColumn("other", other)
-                .select("id", "label", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"))
-            )
-            edges = edges.unionByName(_linked_in(texts.join(pairs, "id"), match, "links"))
+            vectors = texts.mapInArrow(partial(_vectors, width=width), "id long, n long, vector binary")
+            blocks = _pairs_of_blocks(_different(buckets.select("key", "id", "n", "label")))
+            dealt = blocks.join(vectors.withColumnRenamed("n", "size"), "id").select(
+                "block", "id", F.col("size").alias("n"), "label", "vector")
+            near = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(
+                partial(_near, num=num, den=den), _EDGES)
+            near = settled(near.distinct(), "near")
+            edges = edges.unionByName(_linked_in(_stars(near).join(texts, "id"), match, "links"))
             labels = components(edges)
 
     grouped = _labelled(members.withColumnRenamed("rep", "id"), labels)
