@@ -2,23 +2,59 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir). The
 result of each stage is written to the shared folder and read again as the next
-stage's documents.
+stage's documents. All but the last stage return the columns of the documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsflow.llm import ngram_join
+from newsflow.llm import decontamination, mixing, ngram_join, packing, quality_model
 from newsflow.session import settled
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_model.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return ngram_join.one_per_group(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those it does not take go.
+
+    The mix cuts a source's last block, so one document per source may be taken in
+    part; it stays whole.
+    """
+    _, totals = mixing.mix(docs)
+    copies = totals.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = settled(copies.filter("_copies > 0"), "copies")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return joined.select(*[docs[c] for c in docs.columns], each).drop("_copy")
+
+
+def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed rows of token ids."""
+    return packing.pack_tokens(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("source mix", source_mix),
+    ("token ids", packed_tokens),
+]
 
 # Model training, shingle hashing and tokenizing have no SQL form.
 ORACLE_SQL = None

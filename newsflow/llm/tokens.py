@@ -172,3 +172,35 @@ def shingle_sets(rows: Texts, width: int) -> list[np.ndarray]:
 def column(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit numbers as Spark longs, bit for bit."""
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
+
+
+class Memo:
+    """Values of distinct byte strings met so far in a task, looked up by hash.
+
+    Forgets everything once it holds ``most`` entries, so its memory is bounded.
+    """
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.hashes = np.zeros(0, np.uint64)
+        self.index = np.zeros(0, np.int64)
+        self.count = 0
+
+    def missing(self, distinct: np.ndarray) -> np.ndarray:
+        """Positions of the hashes not known; drops what is known if it is too much."""
+        if self.count + len(distinct) > self.most:
+            self.hashes, self.index, self.count = self.hashes[:0], self.index[:0], 0
+        if not self.count:
+            return np.arange(len(distinct))
+        at = np.minimum(np.searchsorted(self.hashes, distinct), self.count - 1)
+        return np.flatnonzero(self.hashes[at] != distinct)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number the new hashes in the given order, after those known."""
+        together = np.concatenate((self.hashes, hashes))
+        index = np.concatenate((self.index, self.count + np.arange(len(hashes))))
+        order = np.argsort(together, kind="stable")
+        self.hashes, self.index, self.count = together[order], index[order], len(together)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        return self.index[np.searchsorted(self.hashes, hashes)]
