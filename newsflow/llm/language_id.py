@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from newsflow.llm.tokens import Texts, sliced
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 24
-SAMPLE_CHARS = 4000
+SAMPLE_DOCS = 48
+SAMPLE_CHARS = 2000
+SHORT_CHARS = 200
+REPETITIVE = 2.6  # a sample that compresses better says little about a language
 CHUNK_BYTES = 2048
-LEVEL = 3
+LEVEL = 6
 NARROW = 0.01
 
 _RESULT = "id long, lang_pred string, score double, reliable boolean"
@@ -101,16 +103,16 @@ def learn(
 ) -> dict[str, bytes]:
     """Dictionary content per language, from documents outside the held-out quarter."""
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).alias("id"),
+        F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
-    ).filter("lang IS NOT NULL AND id IS NOT NULL").filter(~held_out(F.col("id")))
-    rows = rows.filter(F.length("text") >= 200).unionByName(
-        rows.filter((F.length("text") > 0) & (F.length("text") < 200)))
+    )
+    rows = rows.filter("lang IS NOT NULL AND id IS NOT NULL").filter(~held_out(F.col("id")))
     # Longer texts first: they fill a dictionary with few documents.
-    order = Window.partitionBy("lang").orderBy(F.length("text") < 200, F.xxhash64("id"), "id")
-    narrow = rows.select("id", "lang", F.length("text").alias("_n"), F.expr("length(text) < 200").alias("_short"))
-    order = Window.partitionBy("lang").orderBy("_short", F.xxhash64("id"), "id")
-    chosen = narrow.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= SAMPLE_DOCS)
+    narrow = rows.filter(F.length("text") > 0).select(
+        "id", "lang", (F.length("text") < SHORT_CHARS).alias("short"))
+    order = Window.partitionBy("lang").orderBy("short", F.xxhash64("id"), "id")
+    chosen = narrow.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= SAMPLE_DOCS)
     # At most SAMPLE_DOCS rows per language are broadcast and collected.
     found = (
         rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"])
@@ -120,9 +122,16 @@ def learn(
     samples: dict[str, list[bytes]] = {}
     for row in sorted(found, key=lambda r: (r.lang, r.id, r.text)):
         data = np.frombuffer(row.text.encode("utf-8", "replace"), np.uint8)
-        plain = folded(Texts(data, np.array([0, len(data)])))
-        samples.setdefault(row.lang, []).append(plain.raw(0))
-    return {lang: b"\n".join(parts) for lang, parts in samples.items() if sum(map(len, parts)) >= 8}
+        plain = folded(Texts(data, np.array([0, len(data)]))).raw(0)
+        samples.setdefault(row.lang, []).append(plain)
+    packer = zstandard.ZstdCompressor(level=3)
+    learned = {}
+    for lang, parts in samples.items():
+        telling = [p for p in parts if len(p) <= REPETITIVE * len(packer.compress(p))]
+        content = b"\n".join(telling or parts)
+        if len(content) >= 8:
+            learned[lang] = content
+    return learned
 
 
 def identify(
