@@ -26,7 +26,7 @@ from newsflow.llm.tokens import SPACES, Texts, mixed, sliced, window_hashes, wor
 CHUNK_BYTES = 4096
 BAD_SHARE = 0.5
 # From this many bytes on: least and greatest ratio of raw to compressed size.
-BANDS = ((0, 0.0, 8.0), (256, 1.05, 8.0), (1024, 1.3, 8.0), (4096, 1.5, 9.0), (16384, 1.6, 10.0))
+BANDS = ((0, 0.0, 4.0), (256, 1.05, 3.0), (1024, 1.2, 3.2), (4096, 1.3, 3.6), (16384, 1.4, 4.0))
 
 RESULT = (
     "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
