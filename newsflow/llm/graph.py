@@ -25,18 +25,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         name,
     )
     while True:
-        seen = both.join(labels, both["b"] == labels["vertex"]).select("a", "component")
-        own = labels.select(F.col("vertex").alias("a"), "component")
-        least = seen.unionByName(own).groupBy("a").agg(F.min("component").alias("near"))
+        seen = both.join(labels.select("vertex", "component"), both["b"] == labels["vertex"])
+        own = labels.select(F.col("vertex").alias("a"), "component", F.col("component").alias("was"))
+        near = seen.select("a", "component", F.lit(None).cast("long").alias("was")).unionByName(own)
+        least = near.groupBy("a").agg(F.min("component").alias("near"), F.max("was").alias("was"))
         jump = labels.select(F.col("vertex").alias("near"), F.col("component").alias("far"))
         stepped = least.join(jump, "near", "left").select(
-            F.col("a").alias("vertex"), F.least("near", F.coalesce("far", "near")).alias("component")
+            F.col("a").alias("vertex"),
+            F.least("near", F.coalesce("far", "near")).alias("component"),
+            "was",
         )
-        after = settled(stepped, name)
-        changed = after.join(labels.withColumnRenamed("component", "was"), "vertex").filter(
-            "component <> was"
-        )
-        done = changed.isEmpty()
-        labels = after
-        if done:
-            return labels
+        labels = settled(stepped, name)
+        if labels.filter("component <> was").isEmpty():
+            return labels.select("vertex", "component")

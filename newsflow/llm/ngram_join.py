@@ -296,26 +296,36 @@ def _near(
 def _match(
     batches: Iterator[pa.RecordBatch], width: int, num: int, den: int
 ) -> Iterator[pa.RecordBatch]:
-    """Links within each block; the rows of a block follow each other."""
-    block, ids, labels, sets = None, [], [], []
+    """Labels that links within a block connect: (label, smallest label connected with it).
+
+    The rows of a block follow each other.
+    """
+    block, labels, sets = None, [], []
 
     def edges() -> pa.RecordBatch:
-        pairs = linked(sets, labels, num, den)
+        smallest = {label: label for label in labels}
+
+        def find(label: int) -> int:
+            while smallest[label] != label:
+                label = smallest[label]
+            return label
+
+        for x, y in linked(sets, labels, num, den):
+            low, high = sorted((find(labels[x]), find(labels[y])))
+            smallest[high] = low
+        stars = [(label, find(label)) for label in smallest if smallest[label] != label]
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())],
-            ["a", "b"])
+            [pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())], ["a", "b"])
 
     for batch, own in _sets(batches, width):
-        rows = zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), batch.column("label").to_pylist(), own)
-        for at, id_, label, s in rows:
+        for at, label, s in zip(batch.column("block").to_pylist(), batch.column("label").to_pylist(), own):
             if at != block:
-                if len(ids) > 1:
+                if len(sets) > 1:
                     yield edges()
-                block, ids, labels, sets = at, [], [], []
-            ids.append(id_)
+                block, labels, sets = at, [], []
             labels.append(label)
             sets.append(s)
-    if len(ids) > 1:
+    if len(sets) > 1:
         yield edges()
 
 
@@ -361,12 +371,12 @@ def _stars(pairs: DataFrame) -> DataFrame:
     dealt = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", part).alias("block"))
     centres = dealt.select("block", F.col("a").alias("id")).distinct()
     ends = dealt.select("block", F.col("b").alias("id")).unionByName(centres)
-    return ends.withColumn("label", F.col("id"))
+    return ends
 
 
 def _linked_in(blocks: DataFrame, match, name: str) -> DataFrame:
-    """Links found within blocks of (block, id, label, text)."""
-    dealt = blocks.select("block", "id", "label", "text").repartition("block")
+    """Labels connected within blocks of (block, label, text)."""
+    dealt = blocks.select("block", "label", "text").repartition("block")
     return settled(dealt.sortWithinPartitions("block").mapInArrow(match, _EDGES), name)
 
 
@@ -398,10 +408,16 @@ def _still_open(buckets: DataFrame, met: list[str], num: int, den: int) -> DataF
     return _open(_able(_open(buckets, met), num, den), met)
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with the component of their id, the id itself where no link is known."""
-    known = labels.select(F.col("vertex").alias("id"), F.col("component").alias("_c"))
-    return rows.join(known, "id", "left").withColumn("label", F.coalesce("_c", "id")).drop("_c")
+def _labelled(rows: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Rows with the component of their id, the id itself where no link is known.
+
+    Each round maps the labels of the round before to smaller ones.
+    """
+    rows = rows.withColumn("label", F.col("id"))
+    for labels in rounds:
+        known = labels.select(F.col("vertex").alias("label"), F.col("component").alias("_c"))
+        rows = rows.join(known, "label", "left").withColumn("label", F.coalesce("_c", "label")).drop("_c")
+    return rows
 
 
 def near_duplicates(
@@ -446,19 +462,18 @@ def near_duplicates(
     # An id that stands on several rows has all its texts judged.
     held = settled(docs.join(first, "id"), "texts")
     edges = _linked_in(held.withColumn("label", F.col("id")), match, "links")
-    labels = components(edges)
+    # Every id is in one block, so the stars are the components already.
+    rounds = [edges.withColumnsRenamed({"a": "vertex", "b": "component"})]
 
-    # Round 2: what is open, in the rarest bucket of each.
-    buckets = _labelled(buckets, labels).join(first.withColumnRenamed("block", "block1"), "id")
+    # Round 2: what is open, again in the most frequented bucket.
+    buckets = _labelled(buckets, rounds).join(first.withColumnRenamed("block", "block1"), "id")
     buckets = settled(_still_open(buckets, ["block1"], num, den).drop("label"), "open")
     if not buckets.isEmpty():
-        second = settled(_one_bucket(buckets, F.struct(-F.col("k"), "key"), 2), "blocks")
+        second = settled(_one_bucket(buckets, F.struct("k", "key"), 2), "blocks")
         texts = held.select("id", "text")
-        edges = edges.unionByName(
-            _linked_in(_labelled(texts.join(second, "id"), labels), match, "links"))
-        labels = components(edges)
+        rounds.append(components(_linked_in(_labelled(texts.join(second, "id"), rounds), match, "links")))
         # The rest: all buckets still open, large ones as pairs of blocks, by count vectors.
-        buckets = _labelled(buckets, labels).join(second.withColumnRenamed("block", "block2"), "id")
+        buckets = _labelled(buckets, rounds).join(second.withColumnRenamed("block", "block2"), "id")
         buckets = settled(_still_open(buckets, ["block1", "block2"], num, den), "open")
         if not buckets.isEmpty():
             vectors = texts.mapInArrow(partial(_vectors, width=width), "id long, n long, vector binary")
@@ -468,10 +483,11 @@ def near_duplicates(
             near = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(
                 partial(_near, num=num, den=den), _EDGES)
             near = settled(near.distinct(), "near")
-            edges = edges.unionByName(_linked_in(_stars(near).join(texts, "id"), match, "links"))
-            labels = components(edges)
+            if not near.isEmpty():
+                stars = _labelled(_stars(near).join(texts, "id"), rounds)
+                rounds.append(components(_linked_in(stars, match, "links")))
 
-    grouped = _labelled(members.withColumnRenamed("rep", "id"), labels)
+    grouped = _labelled(members.withColumnRenamed("rep", "id"), rounds)
     return (
         sizes.join(grouped.select("high", "low", "label"), ["high", "low"], "left")
         .select(
