@@ -1,14 +1,15 @@
 """Operator 1: near-duplicate join on word n-grams with count-vector R-trees.
 
 Two texts link when the Jaccard similarity of their shingle sets reaches the
-threshold. The search is exact.
+threshold. The search is exact but for events as rare as a clash of 64-bit hashes.
 
 1. Every set is fingerprinted; equal sets become one representative.
 2. Representatives meet in buckets. A bucket is a shingle that is among the
    first ``n - ceil(t n) + 4`` of a set in one order common to all sets. A linked
-   pair shares at least four such shingles (or all, for tiny sets), so a set that
-   meets others in fewer is linked with nothing. Shingles that many documents
-   share come last in the order, so a common passage makes no bucket.
+   pair shares at least four such shingles (or all, for tiny sets), and larger sets
+   many more, see :func:`_shared_least`; a set that meets others in fewer is linked
+   with nothing. Shingles that many documents share come last in the order, so a
+   common passage makes no bucket.
 3. Each representative goes, with its text, to one bucket at first. There the
    shingles are hashed into groups, the group counts are the points of an R-tree,
    and a box is left out when the sum of the coordinate minima of its upper corner
@@ -30,6 +31,7 @@ other. Other columns, whatever their names, are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,6 +44,7 @@ from newsflow.llm.graph import components
 from newsflow.llm.tokens import column, mixed, shingle_sets, sliced
 from newsflow.session import settled
 
+_MISS = 1e-15
 _SHARED = 4  # prefix shingles a linked pair shares at least, set size permitting
 _COMMON_LEAST = 64  # a shingle in fewer sets is never ordered last
 _COMMON_SHARE = 1000  # ordered last: in more than one of this many sets
@@ -51,7 +54,7 @@ _LEAF = 16
 _POINTS = 8_000_000  # most coordinates of one tree
 
 _SKETCH = "id long, n long, high long, low long, common boolean"
-_KEYS = "id long, n long, high long, low long, keys array<long>"
+_KEYS = "id long, n long, high long, low long, need long, keys array<long>"
 _EDGES = "a long, b long"
 
 
@@ -60,6 +63,25 @@ def _least_overlap(n: np.ndarray | int, num: int, den: int):
     return -(-n * num // den)
 
 
+def _shared_least(n: int, common: int, num: int, den: int) -> int:
+    """Prefix shingles a set of n, ``common`` of them ordered last, shares with any link.
+
+    Certain are ``_SHARED``. The order of the others is a hash's, so a prefix is a
+    random sample, and by Hoeffding's bound a link shares fewer than the larger
+    number below with probability under ``_MISS``, as rare as a clash of hashes.
+    The partner may be smaller and have as many common shingles in the overlap.
+    """
+    smaller = _least_overlap(n, num, den)
+    least = _least_overlap(smaller, num, den)
+    certain = min(_SHARED, least)
+    prefix = smaller - least + certain
+    overlap, rest = least - common, smaller - common
+    if overlap <= certain:
+        return certain
+    sampled = prefix * overlap / rest - math.sqrt(-math.log(_MISS) / 2 * prefix)
+    return max(certain, min(overlap, int(sampled)))
+
+
 def _sets(batches, width) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch, rows in sliced(batches, "text"):
         yield batch, shingle_sets(rows, width)
@@ -98,22 +120,25 @@ def _prefixes(
 ) -> Iterator[pa.RecordBatch]:
     """The bucket keys of each set: its first shingles, common ones last."""
     for batch, sets in _sets(batches, width):
-        keys = []
+        keys, need = [], []
         for s in sets:
             least = _least_overlap(len(s), num, den)
-            wanted = len(s) - least + min(_SHARED, least)
+            wanted, common = len(s) - least + min(_SHARED, least), 0
             if len(last) and len(s):
                 at = np.searchsorted(last, s)
                 is_last = last[np.minimum(at, len(last) - 1)] == s
+                common = int(is_last.sum())
                 s = np.concatenate((s[~is_last], s[is_last]))
             keys.append(s[:wanted])
+            need.append(_shared_least(len(s), common, num, den))
         high = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
         low = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), column(np.concatenate(keys)))
         n = pa.array([len(s) for s in sets], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), n, column(high), column(low), lists], ["id", "n", "high", "low", "keys"])
+            [batch.column("id"), n, column(high), column(low), pa.array(need, pa.int64()), lists],
+            ["id", "n", "high", "low", "need", "keys"])
 
 
 def group_counts(s: np.ndarray, groups: int) -> np.ndarray:
@@ -123,7 +148,7 @@ def group_counts(s: np.ndarray, groups: int) -> np.ndarray:
 
 def _groups_of(n: int) -> int:
     """Groups of the count vector that stands for a set of n shingles."""
-    return 1 << max(4, min(16, (int(n) // 2).bit_length()))
+    return 1 << max(4, min(16, (int(n) // 4).bit_length()))
 
 
 class CountTree:
@@ -380,10 +405,9 @@ def _linked_in(blocks: DataFrame, match, name: str) -> DataFrame:
     return settled(dealt.sortWithinPartitions("block").mapInArrow(match, _EDGES), name)
 
 
-def _able(buckets: DataFrame, num: int, den: int) -> DataFrame:
+def _able(buckets: DataFrame) -> DataFrame:
     """Rows of ids that stand in as many buckets as any link of theirs needs."""
-    partner = F.ceil(F.ceil(F.max("n") * num / den) * num / den)
-    enough = F.count("*") >= F.least(F.lit(_SHARED), partner)
+    enough = F.count("*") >= F.max("need")
     able = buckets.groupBy("id").agg(enough.alias("ok")).filter("ok").select("id")
     return buckets.join(able, "id", "left_semi")
 
@@ -403,9 +427,9 @@ def _open(buckets: DataFrame, met: list[str]) -> DataFrame:
     return buckets.join(open_keys.select("key"), "key", "left_semi")
 
 
-def _still_open(buckets: DataFrame, met: list[str], num: int, den: int) -> DataFrame:
+def _still_open(buckets: DataFrame, met: list[str]) -> DataFrame:
     """Open buckets of the ids that stand in enough of them."""
-    return _open(_able(_open(buckets, met), num, den), met)
+    return _open(_able(_open(buckets, met)), met)
 
 
 def _labelled(rows: DataFrame, rounds: list[DataFrame]) -> DataFrame:
@@ -449,12 +473,12 @@ def near_duplicates(
         .mapInArrow(partial(_prefixes, width=width, num=num, den=den, last=last), _KEYS)
         .filter("n > 0")
         .groupBy("high", "low")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-        .select("id", "n", F.explode("keys").alias("key"))
+        .agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "need", "keys")])
+        .select("id", "n", "need", F.explode("keys").alias("key"))
     )
     of_key = F.count("*").over(Window.partitionBy("key"))
     met = settled(keys.withColumn("k", of_key).filter("k > 1"), "buckets")
-    buckets = settled(_able(met, num, den).withColumn("k", of_key).filter("k > 1"), "buckets")
+    buckets = settled(_able(met).withColumn("k", of_key).filter("k > 1"), "buckets")
 
     match = partial(_match, width=width, num=num, den=den)
     # Round 1: every representative in its most frequented bucket.
@@ -467,14 +491,14 @@ def near_duplicates(
 
     # Round 2: what is open, again in the most frequented bucket.
     buckets = _labelled(buckets, rounds).join(first.withColumnRenamed("block", "block1"), "id")
-    buckets = settled(_still_open(buckets, ["block1"], num, den).drop("label"), "open")
+    buckets = settled(_still_open(buckets, ["block1"]).drop("label"), "open")
     if not buckets.isEmpty():
         second = settled(_one_bucket(buckets, F.struct("k", "key"), 2), "blocks")
         texts = held.select("id", "text")
         rounds.append(components(_linked_in(_labelled(texts.join(second, "id"), rounds), match, "links")))
         # The rest: all buckets still open, large ones as pairs of blocks, by count vectors.
         buckets = _labelled(buckets, rounds).join(second.withColumnRenamed("block", "block2"), "id")
-        buckets = settled(_still_open(buckets, ["block1", "block2"], num, den), "open")
+        buckets = settled(_still_open(buckets, ["block1", "block2"]), "open")
         if not buckets.isEmpty():
             vectors = texts.mapInArrow(partial(_vectors, width=width), "id long, n long, vector binary")
             blocks = _pairs_of_blocks(_different(buckets.select("key", "id", "n", "label")))
