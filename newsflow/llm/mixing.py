@@ -123,7 +123,8 @@ def mix(
 
     slots = settled(slots_of(spark, sources, total, block), "schedule")
     taken_blocks = slots.groupBy("number").agg(F.max("block").alias("last_block"))
-    sized = sources.join(taken_blocks, "number").select("number", "source_size", "last_block")
+    # Written, so that its real size decides how the hot source's rows meet it.
+    sized = settled(sources.join(taken_blocks, "number").select("number", "source_size", "last_block"), "sized")
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MOST_EPOCHS - 1).cast("long")))
     start = F.col("epoch") * F.col("source_size") + F.col("end") - F.col("size")
     placed = (
