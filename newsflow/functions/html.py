@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,34 +35,51 @@ _ATTRIBUTE = (
     r"(?s)([^\s/>=\"'][^\s/>=]*+)"
     r"(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?"
 )
-_ENTITY_PIECES = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]{2,5});|[^&]++|&"
-
-# Named character references that occur in attribute values.
-_NAMED = {
-    "&amp;": "&",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": "\u00a0",
-}
+# Names that are references without a semicolon too; the longest one counts.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_ENTITY_PIECES = (
+    rf"(?s)&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&(?:{_OPEN_NAMES})|[^&]++|&"
+)
 _BLANKS = " \t\n\r\f\u000b\u00a0"
 
 
-def _decode_piece(piece: Column) -> Column:
-    digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1).try_cast("bigint")
-    hexa = F.conv(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10)
-    code = F.coalesce(digits, hexa.try_cast("bigint"))
-    code = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+def _named() -> Column:
+    """All named character references, from the standard library's table, as one constant."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _numbered(piece: Column) -> Column:
+    """Character of a numeric reference; numbers without one give the replacement character.
+
+    Numbers of the C1 range mean Windows characters, as browsers read them.
+    """
+    digits = F.regexp_extract(piece, r"^&#0*([0-9]{1,9})[0-9]*;?$", 1).try_cast("bigint")
+    hexa = F.conv(F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{1,8})[0-9a-fA-F]*;?$", 1), 16, 10)
+    zero = F.when(piece.rlike(r"^&#(?:0+|[xX]0+);?$"), F.lit(0).cast("bigint"))
+    code = F.coalesce(zero, digits, hexa.try_cast("bigint"))
+    usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    code = F.when(usable, code).otherwise(0xFFFD)
+    windows = [(n, bytes([n]).decode("cp1252", "ignore")) for n in range(0x80, 0xA0)]
     letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    decoded = F.when(piece.startswith("&#"), F.coalesce(letter, piece))
-    for name, value in _NAMED.items():
-        decoded = decoded.when(piece == name, value)
-    return decoded.otherwise(piece)
+    mapped = F.create_map(*[F.lit(x) for n, c in windows if c for x in (n, c)])
+    return F.coalesce(F.when(code.between(0x80, 0x9F), mapped[code.cast("int")]), letter)
+
+
+def _decode_piece(piece: Column) -> Column:
+    name = F.substr(piece, F.lit(2))
+    # An unknown name that begins with a known open one is that one and the rest.
+    known = F.regexp_extract(piece, rf"^&({_OPEN_NAMES})", 1)
+    split = F.concat(_named()[known], F.substr(name, F.length(known) + 1))
+    decoded = F.coalesce(_named()[name], F.when(known != "", split), piece)
+    return (
+        F.when(piece.startswith("&#") & (F.length(piece) > 2), _numbered(piece))
+        .when(piece.startswith("&") & (F.length(piece) > 1), decoded)
+        .otherwise(piece)
+    )
 
 
 def decode_entities(col: Column) -> Column:
-    """Replace character references once: numeric ones and the common names."""
+    """Replace character references once: numeric ones and all named ones."""
 
     def decode(text: Column) -> Column:
         pieces = F.regexp_extract_all(text, F.lit(_ENTITY_PIECES), 0)

@@ -27,8 +27,10 @@ _CLOSED_IPV4 = (
     r"^203\.0\.113\.",
     r"^(?:22[4-9]|23[0-9]|24[0-9]|25[0-5])\.",
 )
-_DOTTED_QUAD = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
-# Other spellings of a number as a host: plain, short-dotted, hexadecimal.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_DOTTED_QUAD = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+# Other spellings of a number as a host: plain, short-dotted, hexadecimal, octets
+# out of range or with leading zeros, which some readers take for octal.
 _NUMERIC_HOST = r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+))*$"
 
 

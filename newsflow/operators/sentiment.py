@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsflow import schemas
 from newsflow.functions.clean import null_if_na, to_count, to_double
+from newsflow.functions.times import loose_utc
 
 # Fixed value: the model whose scores are loaded.
 SENTIMENT_MODEL = "ProsusAI/finbert"
@@ -36,8 +37,8 @@ def sentiment_record(matched: DataFrame) -> DataFrame:
 
 
 def daily_date(text: Column) -> Column:
-    """Day of a daily row; a time of day after the date is ignored."""
-    return F.substring(null_if_na(text), 1, 10).try_cast("date")
+    """Day of a daily row, NULL unless the whole value is a date or a date and time."""
+    return F.to_date(loose_utc(null_if_na(text)))
 
 
 def daily_record(daily: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
@@ -64,15 +65,16 @@ def _share(label: str) -> Column:
 def daily_sentiment(scored: DataFrame) -> DataFrame:
     """Roll scored articles up to one row per stock and day.
 
+    A stock that changed its symbol during the day gets that of its latest article.
+
     Expects ``stock_id, symbol, published_at, sentiment_label`` and the four
     scores. ``sentiment_balance`` is (positive - negative) / all articles;
     ``sentiment_score`` is always an input. Articles without a time belong to no
     day and are left out. The aggregation is partial before its one shuffle.
     """
     dated = scored.filter(F.col("published_at").isNotNull())
-    rolled = dated.groupBy(
-        "stock_id", "symbol", F.to_date("published_at").alias("sentiment_date")
-    ).agg(
+    rolled = dated.groupBy("stock_id", F.to_date("published_at").alias("sentiment_date")).agg(
+        F.max(F.struct("published_at", "symbol"))["symbol"].alias("symbol"),
         F.count("*").alias("article_count"),
         _share("positive").alias("positive_articles"),
         _share("neutral").alias("neutral_articles"),

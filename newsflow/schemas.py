@@ -60,11 +60,11 @@ DAILY_SENTIMENT = _table(
 
 # One landed provider response. ``seq`` is the request order within a run.
 LANDED_PAYLOAD = _table(
-    run_id=_TEXT, provider=_TEXT, symbol=_TEXT, seq=_INT, status=_INT, body=_TEXT
+    run_id=_TEXT, provider=_TEXT, symbol=_TEXT, seq=_WHOLE, status=_INT, body=_TEXT
 )
 
 # First limit response of a provider in a run.
-LIMIT_CUTOFFS = _table(run_id=_TEXT, provider=_TEXT, cutoff=_INT)
+LIMIT_CUTOFFS = _table(run_id=_TEXT, provider=_TEXT, cutoff=_WHOLE)
 
 # Every field any provider puts on an article. Fields a provider does not use
 # stay NULL, so all four shapes parse with one item type. Epoch times are read

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,8 @@ SETTINGS = {
 
 # Scratch folders of local sessions that name no shared folder.
 _scratch: dict[str, str] = {}
+# Paths handed out inside each open :func:`scratch` block.
+_open_blocks: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -48,7 +52,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_blocks:
+        _open_blocks[-1].append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store Spark reads is there."""
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder this library has written."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables written inside the block when it ends.
+
+    What the block returns must not read them any more, see :func:`kept`.
+    """
+    paths: list[str] = []
+    _open_blocks.append(paths)
+    try:
+        yield
+    finally:
+        _open_blocks.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
+def kept(report: DataFrame) -> DataFrame:
+    """A report of a few rows as a local table, independent of what it was computed from."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

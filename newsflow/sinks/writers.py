@@ -1,8 +1,9 @@
 """Parquet writers for the stored tables.
 
 Tables are directories. Appends add files and never rewrite stored rows. Upserts
-and fills rewrite only the partitions they touch, from a copy in the shared
-folder that is complete before the table changes.
+and fills rewrite only the partitions they touch, from a complete copy beside the
+table. A writer that fails while it replaces partitions leaves that copy, and the
+next writer finishes from it before it reads the table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.operators.articles import new_rows
-from newsflow.session import shared_path
+from newsflow.session import exists, remove
 from newsflow.sinks.merge import fill_missing, upsert_last_wins
 
 
@@ -77,8 +78,24 @@ def _replace_partitions(
     spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, partition: str
 ) -> None:
     """Put ``rows`` in place of the partitions they belong to."""
-    staged = shared_path(spark, "partitions")
-    _conform(rows, schema).hint("rebalance", partition).write.parquet(staged)
+    _conform(rows, schema).hint("rebalance", partition).write.mode("overwrite").parquet(_staged(path))
+    finish_replacement(spark, path, schema, partition)
+
+
+def _staged(path: str) -> str:
+    return path.rstrip("/") + "__next"
+
+
+def finish_replacement(
+    spark: SparkSession, path: str, schema: T.StructType, partition: str
+) -> None:
+    """Replace partitions from the staged copy, if there is a complete one.
+
+    Replacing is idempotent, so after a failure at any point it is simply repeated.
+    """
+    staged = _staged(path)
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        return
     (
         spark.read.schema(schema)
         .parquet(staged)
@@ -87,6 +104,7 @@ def _replace_partitions(
         .partitionBy(partition)
         .parquet(path)
     )
+    remove(spark, staged)
 
 
 def _touched(stored: DataFrame, values: DataFrame, partition: str) -> DataFrame:
@@ -111,6 +129,7 @@ def upsert_partitions(
     partition: str,
 ) -> None:
     """Upsert, last source row wins; ``partition`` is one of the keys."""
+    finish_replacement(spark, path, schema, partition)
     stored = read_table(spark, path, schema)
     affected = _touched(stored, source, partition)
     merged = upsert_last_wins(affected, source, keys, order)
@@ -127,6 +146,7 @@ def fill_partitions(
     value: str = "image_url",
 ) -> None:
     """Fill NULL values from ``source``; partitions without a row to fill stay as they are."""
+    finish_replacement(spark, path, schema, partition)
     stored = read_table(spark, path, schema)
     found = source.filter(F.col(value).isNotNull())
     to_fill = stored.filter(F.col(value).isNull()).join(found.select(key), key, "left_semi")

@@ -46,6 +46,22 @@ def read_payloads(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return spark.read.schema(schemas.LANDED_PAYLOAD).format(fmt).load(path)
 
 
+def is_json(body: Column) -> Column:
+    """True for a JSON body of any size.
+
+    The fast test refuses repeated keys, ``NaN`` and very large bodies, so objects
+    and lists that it refuses are read once more by the lenient reader.
+    """
+    options = {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"}
+    text = F.btrim(body, F.lit(" \t\r\n"))
+    as_object = F.from_json(
+        text, "_broken string", options | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    is_object = text.startswith("{") & text.endswith("}") & as_object["_broken"].isNull()
+    is_list = text.startswith("[") & text.endswith("]")
+    is_list = is_list & F.from_json(text, "array<string>", options).isNotNull()
+    return F.coalesce(F.try_parse_json(body).isNotNull() | is_object | is_list, F.lit(False))
+
+
 def is_limit_response(
     status: Column, body: Column, provider: Column | None = None, check_phrases: bool = True
 ) -> Column:
@@ -61,7 +77,7 @@ def is_limit_response(
         # once and not once per phrase.
         lowered = F.array(F.lower(body))
         signal = signal | F.exists(lowered, lambda text: mentions(text, LIMIT_PHRASES))
-    hit = signal & F.try_parse_json(body).isNotNull()
+    hit = signal & is_json(body)
     if provider is not None:
         hit = hit & ~provider.isin(*UNLIMITED_PROVIDERS)
     return F.coalesce(hit, F.lit(False))

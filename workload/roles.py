@@ -56,7 +56,7 @@ def time_text(ts: Column) -> Column:
 
 
 def source_number(source: Column) -> Column:
-    return F.substring(source, 4, 10).cast("int")
+    return F.substr(source, F.lit(4)).cast("int")
 
 
 def articles(documents: DataFrame) -> DataFrame:
