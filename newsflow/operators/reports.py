@@ -25,13 +25,18 @@ def provider_counts(articles: DataFrame, providers: DataFrame) -> DataFrame:
     )
 
 
-def provider_status(requests: DataFrame, is_limit: Column) -> DataFrame:
-    """Final state per provider: active, or switched off by a limit response."""
-    return requests.groupBy("provider").agg(
-        F.when(F.bool_or(is_limit), "LIMIT HIT - DISABLED THIS RUN")
-        .otherwise("ACTIVE")
-        .alias("status")
-    )
+# How a run reports the final state of a provider.
+LIMIT_HIT = "LIMIT HIT - DISABLED THIS RUN"
+ACTIVE = "ACTIVE"
+
+
+def provider_status(requests: DataFrame, is_limit: Column, providers: DataFrame) -> DataFrame:
+    """Final state per configured provider, also a silent one."""
+    limited = requests.filter(is_limit).select("provider").distinct()
+    names = providers.select(F.col("source_api").alias("provider"))
+    hit = names.join(limited.withColumn("_hit", F.lit(True)), "provider", "left")
+    return hit.select(
+        "provider", F.when(F.col("_hit"), LIMIT_HIT).otherwise(ACTIVE).alias("status"))
 
 
 def run_funnel(

@@ -8,6 +8,7 @@ only then the text search for stocks.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,9 @@ from newsflow.operators.articles import (
 )
 from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import valid_articles
+from newsflow.operators.reports import ACTIVE, LIMIT_HIT
 from newsflow.operators.stock_match import assign_stock
-from newsflow.session import settled
+from newsflow.session import scratch, settled
 from newsflow.sinks.writers import append_new, read_table
 from newsflow.sources.payloads import (
     drop_after_limit,
@@ -31,9 +33,22 @@ from newsflow.sources.payloads import (
     limit_cutoffs,
     normalize,
 )
-from newsflow.stocks import ALIASES, stock_master
+from newsflow.stocks import ALIASES, PROVIDERS, stock_master
 
 LOOKBACK_HOURS = 2
+RUN_START = schemas.RUNS[0]
+
+
+@dataclass(frozen=True)
+class RunReport:
+    """Rows after each step of a run, rows per provider and each provider's final state."""
+
+    raw: int
+    unique: int
+    new: int
+    inserted: int
+    per_provider: dict[str, int]
+    status: dict[str, str]
 
 
 def limit_flag(check_phrases: bool = True):
@@ -51,11 +66,10 @@ def run_articles(
     """Articles a run delivers: before any provider limit, inside the window.
 
     Without ``as_of`` no window is applied. ``cutoffs`` may bring known limit
-    positions; by default they are taken from the payloads and written out
-    first, so that the wide responses are not shuffled to meet a few of them.
+    positions; by default they are taken from the payloads.
     """
     if cutoffs is None:
-        cutoffs = settled(limit_cutoffs(payloads, limit_flag(check_phrases)), "cutoffs")
+        cutoffs = limit_cutoffs(payloads, limit_flag(check_phrases))
     window = None
     if as_of is not None:
         end = F.lit(as_of)
@@ -64,8 +78,10 @@ def run_articles(
 
 
 def unique_articles(articles: DataFrame, order: Sequence[str] = schemas.RUN_ORDER) -> DataFrame:
-    """Valid articles, first seen per URL."""
-    return first_seen(valid_articles(articles), ["url"], order)
+    """Valid articles, first seen per URL, in each run where the runs' starts are known."""
+    known = [c for c in order if c in articles.columns]
+    keys = ["url", "run_id"] if RUN_START in known else ["url"]
+    return first_seen(valid_articles(articles), keys, known)
 
 
 def collect_records(
@@ -75,9 +91,16 @@ def collect_records(
     aliases: Mapping[str, Sequence[str]] = ALIASES,
     pick_new: Callable[[DataFrame, DataFrame], DataFrame] = new_rows,
 ) -> DataFrame:
-    """Records to store for the unique articles of a run."""
+    """Records to store for the unique articles of a run, or of several.
+
+    A later run stores an article that earlier ones met but could not link, as it
+    would if the runs were collected one after the other.
+    """
     assigned = assign_stock(pick_new(unique, stored), aliases)
-    return article_record(attach_stock_id(assigned, stocks))
+    linked = attach_stock_id(assigned, stocks)
+    if RUN_START in linked.columns:
+        linked = first_seen(linked, ["url"], schemas.RUNS)
+    return article_record(linked)
 
 
 def store_articles(spark: SparkSession, path: str, records: DataFrame) -> None:
@@ -99,15 +122,33 @@ def run_collector(
     stocks: DataFrame,
     as_of: datetime | None = None,
     check_phrases: bool = True,
-) -> None:
+    aliases: Mapping[str, Sequence[str]] = ALIASES,
+) -> RunReport:
     """Collect one batch of landed responses into the article table.
 
     Without ``check_phrases`` only the status decides about a provider's limit,
-    and no body is searched for it.
+    and no body is searched for it. The parsed articles are written out first: the
+    bodies are parsed once, and the report's counts read single columns of them.
     """
     require_symbols(stock_master(spark), stocks)
     stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
-    articles = run_articles(payloads, as_of, check_phrases=check_phrases)
-    unique = unique_articles(articles)
-    records = collect_records(unique, stored, stocks)
-    store_articles(spark, articles_path, records)
+    before = stored.count()
+    with scratch(spark):
+        cutoffs = settled(limit_cutoffs(payloads, limit_flag(check_phrases)), "cutoffs")
+        articles = settled(run_articles(payloads, as_of, cutoffs=cutoffs), "articles")
+        urls = valid_articles(articles).select("url").distinct()
+        unique, new = urls.count(), new_rows(urls, stored).count()
+        store_articles(
+            spark, articles_path, collect_records(unique_articles(articles), stored, stocks, aliases))
+        # At most one row per provider.
+        counts = dict(map(tuple, articles.groupBy("source_api").count().collect()))
+        limited = {row[0] for row in cutoffs.select("provider").distinct().collect()}
+    after = read_table(spark, articles_path, schemas.NEWS_ARTICLES).count()
+    return RunReport(
+        raw=sum(counts.values()),
+        unique=unique,
+        new=new,
+        inserted=after - before,
+        per_provider={p: counts.get(p, 0) for p in PROVIDERS},
+        status={p: LIMIT_HIT if p in limited else ACTIVE for p in PROVIDERS},
+    )

@@ -63,6 +63,9 @@ LANDED_PAYLOAD = _table(
     run_id=_TEXT, provider=_TEXT, symbol=_TEXT, seq=_WHOLE, status=_INT, body=_TEXT
 )
 
+# One finished run: when it began and where its responses have landed. It is
+# written last, so a run whose manifest is there is complete.
+RUN_MANIFEST = _table(run_id=_TEXT, started_at=_TIME, path=_TEXT)
 # First limit response of a provider in a run.
 LIMIT_CUTOFFS = _table(run_id=_TEXT, provider=_TEXT, cutoff=_WHOLE)
 
@@ -118,5 +121,7 @@ DAILY_SCORES = (
 )
 DAILY_CSV = ("published_date",) + DAILY_COUNTS + DAILY_SCORES
 
-# Columns that order the articles of a run.
-RUN_ORDER = ("run_id", "provider_rank", "seq", "pos")
+# Columns that order runs, and the articles of runs. Names say nothing about time,
+# so the start comes first where it is known.
+RUNS = ("started_at", "run_id")
+RUN_ORDER = (*RUNS, "provider_rank", "seq", "pos")

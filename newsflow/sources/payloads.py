@@ -18,6 +18,7 @@ from newsflow.functions.clean import first_present, null_if_blank
 from newsflow.functions.text import mentions
 from newsflow.functions.times import compact_utc, epoch_utc, iso_utc, loose_utc
 from newsflow.operators.filters import in_window
+from newsflow.session import settled
 from newsflow.stocks import (
     ALPHA_VANTAGE,
     FINNHUB,
@@ -41,7 +42,7 @@ LIMIT_PHRASES = (
 )
 
 
-def read_payloads(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_payloads(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
     """Landed responses: one record per request, the body as text."""
     return spark.read.schema(schemas.LANDED_PAYLOAD).format(fmt).load(path)
 
@@ -103,9 +104,11 @@ def drop_after_limit(
     """Keep what each group delivered before its first limit response.
 
     ``cutoffs`` comes from :func:`limit_cutoffs`: a partially aggregated minimum,
-    at most one row per (run, provider). It is joined back by size, so no group
-    is ever gathered in one task and bodies are not sorted.
+    at most one row per (run, provider). It is written out here, so it is joined by
+    its real size, not by an estimate taken from the responses: no group is gathered
+    in one task and bodies are not shuffled to meet a few positions.
     """
+    cutoffs = settled(cutoffs, "cutoffs")
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     before = F.col("cutoff").isNull() | (position < F.col("cutoff"))
     return requests.join(cutoffs, list(group), "left").filter(before).drop("cutoff")
@@ -134,7 +137,7 @@ def normalize(
     """Landed responses to canonical articles of all providers, in one pass.
 
     The result carries ``provider_rank``, ``seq`` and ``pos``, the order in which
-    a run meets the articles. ``window`` (start, end) applies to the providers
+    a run meets the articles, and ``started_at`` if the responses have it. ``window`` (start, end) applies to the providers
     that do not filter by time themselves.
     """
     provider = F.col("provider")
@@ -168,7 +171,7 @@ def normalize(
         parse_items(payloads.filter(provider.isin(*PROVIDERS)))
         .filter(~nested | nested_url.isNotNull())
         .select(
-            "run_id",
+            *[c for c in schemas.RUNS if c in payloads.columns],
             rank.cast("int").alias("provider_rank"),
             "seq",
             "pos",

@@ -1,8 +1,11 @@
-"""Incremental collector: landed payload files to stored articles.
-
-Every micro-batch runs the batch operators inside ``foreachBatch``. A repeated
-batch adds nothing, because its URLs are stored already, so the job can be
-restarted at any point, also from an empty checkpoint.
+"""Incremental collector: finished runs to stored articles.
+
+The stream reads run manifests, not response files. A manifest is written when all
+responses of its run have landed, so a micro-batch always holds whole runs, however
+many files they have and however many runs a trigger takes; provider order and the
+breaker hold inside a run, and runs are stored in the order they began. A repeated
+batch adds nothing, because its URLs are stored already, so the job can be restarted
+at any point, also from an empty checkpoint.
 """
 
 from __future__ import annotations
@@ -11,68 +14,56 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsflow import schemas
 from newsflow.operators.articles import new_rows_probed
 from newsflow.plans.collector import (
     collect_records,
-    limit_flag,
     run_articles,
     store_articles,
     unique_articles,
 )
-from newsflow.session import configure
+from newsflow.session import configure, scratch
 from newsflow.sinks.writers import read_table
-from newsflow.sources.payloads import limit_cutoffs
+from newsflow.sources.payloads import read_payloads
 from newsflow.stocks import ALIASES
 
 
-def payload_stream(
-    spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int = 1000
-) -> DataFrame:
-    """Stream of landed payload files."""
-    return (
-        spark.readStream.schema(schemas.LANDED_PAYLOAD)
-        .format(fmt)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(path)
-    )
+def run_stream(spark: SparkSession, path: str, runs_per_batch: int | None = None) -> DataFrame:
+    """Stream of run manifests, one JSON file per finished run."""
+    stream = spark.readStream.schema(schemas.RUN_MANIFEST).format("json")
+    if runs_per_batch:
+        stream = stream.option("maxFilesPerTrigger", runs_per_batch)
+    return stream.load(path)
 
 
 def batch_loader(
     articles_path: str,
-    cutoffs_path: str,
     stocks: DataFrame,
     aliases: Mapping[str, Sequence[str]] = ALIASES,
-    to_payloads: Callable[[DataFrame], DataFrame] | None = None,
+    read: Callable[[SparkSession, list[str]], DataFrame] = read_payloads,
 ) -> Callable[[DataFrame, int], None]:
-    """The function that stores one micro-batch.
-
-    Limit positions are stored too, one folder per run that has any, so a
-    provider switched off in one batch stays off for the rest of its run.
-    """
+    """The function that stores the runs of one micro-batch."""
 
     def load(batch: DataFrame, _: int) -> None:
         # A streaming session may have adaptive execution off; the batch jobs need it.
         spark = configure(batch.sparkSession)
-        payloads = to_payloads(batch) if to_payloads else batch
-        new_cutoffs = limit_cutoffs(payloads, limit_flag())
-        new_cutoffs.write.mode("append").partitionBy("run_id").parquet(cutoffs_path)
-        cutoffs = (
-            read_table(spark, cutoffs_path, schemas.LIMIT_CUTOFFS)
-            .groupBy("run_id", "provider")
-            .agg(F.min("cutoff").alias("cutoff"))
-        )
-        unique = unique_articles(run_articles(payloads, cutoffs=cutoffs))
-        unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
-            records = collect_records(unique, stored, stocks, aliases, new_rows_probed)
-            store_articles(spark, articles_path, records)
-        finally:
-            unique.unpersist()
+        # One small row per finished run.
+        manifests = batch.collect()
+        if not manifests:
+            return
+        runs = spark.createDataFrame(manifests, schemas.RUN_MANIFEST)
+        landed = read(spark, sorted({row["path"] for row in manifests})).drop("started_at")
+        payloads = landed.join(runs.select("run_id", "started_at").distinct(), "run_id")
+        with scratch(spark):
+            unique = unique_articles(run_articles(payloads)).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
+                records = collect_records(unique, stored, stocks, aliases, new_rows_probed)
+                store_articles(spark, articles_path, records)
+            finally:
+                unique.unpersist()
 
     return load
 
@@ -80,7 +71,7 @@ def batch_loader(
 def start_ingest(
     stream: DataFrame, checkpoint: str, loader: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
-    """Process everything that has landed so far, then stop."""
+    """Process all runs finished so far, then stop."""
     return (
         stream.writeStream.foreachBatch(loader)
         .option("checkpointLocation", checkpoint)

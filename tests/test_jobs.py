@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,23 +157,29 @@ def land(folder, name, rows):
     (folder / name).write_text("".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows))
 
 
-def test_stream_equals_batch_and_replays_add_nothing(spark, stocks, tmp_path):
-    landing = tmp_path / "landing"
-    articles, cutoffs = str(tmp_path / "articles"), str(tmp_path / "cutoffs")
-    loader = ingest.batch_loader(articles, cutoffs, stocks)
+def manifest(folder, run, hour, path):
+    folder.mkdir(exist_ok=True)
+    row = {"run_id": run, "started_at": f"2024-01-15T{hour:02}:00:00Z", "path": str(path)}
+    (folder / f"{run}.json").write_text(json.dumps(row) + "\n")
+
+
+@pytest.mark.parametrize("cut", [1, 3, 100])
+def test_stream_equals_batch_and_replays_add_nothing(spark, stocks, tmp_path, cut):
+    """However a run's responses are cut into files, and whatever has landed before its end."""
+    landing, articles = tmp_path / "landing", str(tmp_path / "articles")
+    loader = ingest.batch_loader(articles, stocks)
 
     def run(checkpoint):
-        stream = ingest.payload_stream(spark, str(landing), files_per_batch=1)
+        stream = ingest.run_stream(spark, str(tmp_path / "runs"))
         ingest.start_ingest(stream, str(tmp_path / checkpoint), loader).awaitTermination()
         return stored(spark, articles, "url", "symbol", "title", "source_api")
 
     rows = run_one()
-    land(landing, "a.json", rows[:3])
-    first = run("c1")
-    assert [r[0] for r in first] == ["u2", "u3"]
-
-    # The limit was hit in the first drop; its provider stays off in the second.
-    land(landing, "b.json", rows[3:])
+    for at in range(0, len(rows), cut):
+        land(landing, f"{at}.json", rows[at : at + cut])
+    (tmp_path / "runs").mkdir()
+    assert run("c1") == []
+    manifest(tmp_path / "runs", "r1", 10, landing)
     want = sorted(EXPECTED + [("u5", "WMT", "Old", YFINANCE)])
     assert run("c1") == want
     assert run("c1") == want
@@ -183,6 +190,68 @@ def test_stream_equals_batch_and_replays_add_nothing(spark, stocks, tmp_path):
     assert stored(spark, batch, "url", "symbol", "title", "source_api") == want
 
 
+@pytest.mark.parametrize("runs_per_batch", [None, 1])
+def test_runs_are_stored_in_order_of_their_start(spark, stocks, tmp_path, runs_per_batch):
+    """The later run-10 keeps its article only because run-9 could not link it."""
+    articles = str(tmp_path / "articles")
+    runs = {
+        "run-9": (9, [feed(FINNHUB, "", 0, [{"headline": "x", "url": "u1", "summary": "rain"}], run="run-9"),
+                      feed(FINNHUB, "AMD", 1, [{"headline": "early", "url": "u2", "summary": ""}], run="run-9")]),
+        "run-10": (10, [feed(ALPHA_VANTAGE, "NVDA", 0, [{"title": "late", "url": "u2"}, {"title": "linked", "url": "u1"}], run="run-10")]),
+    }
+    for name, (hour, rows) in runs.items():
+        land(tmp_path / name, "a.json", rows)
+        manifest(tmp_path / "runs", name, hour, tmp_path / name)
+        os.utime(tmp_path / "runs" / f"{name}.json", (hour, hour))
+    stream = ingest.run_stream(spark, str(tmp_path / "runs"), runs_per_batch)
+    ingest.start_ingest(stream, str(tmp_path / "c"), ingest.batch_loader(articles, stocks)).awaitTermination()
+    assert stored(spark, articles, "url", "symbol", "title") == [("u1", "NVDA", "linked"), ("u2", "AMD", "early")]
+
+
+def test_collector_reports_its_run(spark, stocks, tmp_path):
+    payloads = spark.createDataFrame(run_one(), schemas.LANDED_PAYLOAD)
+    path = str(tmp_path / "articles")
+    report = collector.run_collector(spark, payloads, path, stocks, dt.datetime(2024, 1, 15, 12))
+    assert (report.raw, report.unique, report.new, report.inserted) == (8, 5, 5, 4)
+    assert report.per_provider == {ALPHA_VANTAGE: 4, FINNHUB: 2, MARKETAUX: 1, YFINANCE: 1}
+    assert [report.status[p][:5] for p in (ALPHA_VANTAGE, FINNHUB)] == ["LIMIT", "ACTIV"]
+    again = collector.run_collector(spark, payloads, path, stocks, dt.datetime(2024, 1, 15, 12))
+    assert (again.raw, again.new, again.inserted) == (8, 1, 0)
+
+
+def test_repeated_captures_do_not_multiply_articles(spark, stocks, tmp_path):
+    path = str(tmp_path / "articles")
+    rows = spark.createDataFrame([("u1", "A"), ("u2", "B")], "url string, title string")
+    writers.append_new(spark, path, rows, schemas.NEWS_ARTICLES, partition=schemas.ARTICLE_DAY)
+    tag = '<meta property="og:image" content="https://i.example.com/{}.png">'
+    pages = spark.createDataFrame(
+        [("u1", 3, tag.format(3)), ("u1", 2, tag.format(2)), ("u1", 1, ""), ("u2", 1, "")],
+        "url string, at int, html string")
+    report = image_backfill.run_backfill(spark, path, pages, order=["at"]).first()
+    assert (report["updated"], report["not_found"]) == (1, 1)
+    assert stored(spark, path, "url", "image_url") == [("u1", "https://i.example.com/2.png"), ("u2", None)]
+
+
+def test_a_stopped_swap_is_finished_by_the_next_writer(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "daily")
+    keys, schema = ["stock_id", "sentiment_date"], schemas.DAILY_SENTIMENT
+
+    def upsert(*rows):
+        df = spark.createDataFrame([(s, dt.date(2024, 1, d), n) for s, d, n in rows],
+                                   "stock_id bigint, sentiment_date date, article_count bigint")
+        writers.upsert_partitions(spark, path, df, schema, keys, ["article_count"], "sentiment_date")
+
+    upsert((1, 1, 10), (2, 1, 20))
+    finish = writers.finish_replacement
+    with monkeypatch.context() as patch:
+        calls = []
+        patch.setattr(writers, "finish_replacement", lambda *a: finish(*a) if not calls.append(a) and len(calls) == 1 else None)
+        upsert((1, 1, 11))
+    upsert((3, 2, 30))
+    table = writers.read_table(spark, path, schema)
+    assert sorted((r["stock_id"], r["article_count"]) for r in table.collect()) == [(1, 11), (2, 20), (3, 30)]
+
+
 def test_recent_repeats_are_dropped_from_a_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     moment = dt.datetime(2024, 1, 15, 12)

@@ -56,7 +56,7 @@ def _shown_articles() -> str:
 
 def _feed(provider: str, rank: int) -> str:
     """Both items of every response; the second has a bad time."""
-    common = f"""'run' AS run_id, {rank} AS provider_rank, CAST(doc_id AS INT) AS seq"""
+    common = f"""'run' AS run_id, {rank} AS provider_rank, doc_id AS seq"""
     rest = f"""'{provider}' AS source_api, source AS symbol, 'Story ' || doc_id AS title,
       text AS description, source"""
     url = "'https://news.example.com/a/' || md5(text)"
@@ -251,7 +251,7 @@ FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('refund'
 LEFT JOIN events e ON e.event_type = p.source_api GROUP BY 1""",
         "provider_status": f"""SELECT event_type AS provider,
   CASE WHEN max({_LIMIT}) THEN 'LIMIT HIT - DISABLED THIS RUN' ELSE 'ACTIVE' END AS status
-FROM events GROUP BY 1""",
+FROM events GROUP BY 1 UNION ALL SELECT 'refund', 'ACTIVE'""",
         "run_funnel": base
         + """SELECT 'raw' AS step, count(*) AS rows FROM articles
 UNION ALL SELECT 'unique', count(*) FROM uniq
@@ -351,7 +351,10 @@ UNION ALL SELECT * EXCLUDE (event_id) FROM daily_last""",
 FROM assigned GROUP BY ALL""",
         "stream_ingest": _with(
             _ARTICLES,
-            _DELIVERED,
+            """cutoffs AS (
+  SELECT source_api AS api, min(doc_id) AS cutoff FROM articles
+  WHERE doc_id % 389 = 388 AND source_api <> 'yfinance' GROUP BY 1)""",
+            _DELIVERED.replace("FROM articles", "FROM articles LEFT JOIN cutoffs ON api = source_api\n  WHERE cutoff IS NULL OR doc_id < cutoff"),
             "fresh AS (SELECT * FROM uniq)",
             _ASSIGNED,
         )

@@ -336,7 +336,8 @@ def provider_counts(spark, d):
 
 
 def provider_status(spark, d):
-    return reports.provider_status(roles.requests(table(spark, d, "events")), _limit())
+    providers = provider_table(spark, ("click", "error", "purchase", "signup", "view", "refund"))
+    return reports.provider_status(roles.requests(table(spark, d, "events")), _limit(), providers)
 
 
 def run_funnel(spark, d):
@@ -539,15 +540,17 @@ def collector_run(spark, d):
 
 
 def stream_ingest(spark, d):
-    """The collector as a stream over the documents, into a fresh table."""
+    """The documents land as the files of one run, which the stream stores in a fresh table.
+
+    Some responses signal a limit, so their provider's later ones do not count.
+    """
     docs = _docs(spark, d)
     home = shared_path(spark, "stream")
-    loader = ingest.batch_loader(
-        f"{home}/articles", f"{home}/cutoffs", roles.stocks(docs), roles.ALIASES, roles.landed
-    )
-    stream = (
-        spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    )
+    roles.with_limits(roles.landed(docs)).repartition(12, "seq").write.json(f"{home}/landing")
+    manifest = spark.createDataFrame([("run", AS_OF, f"{home}/landing")], "run_id string, started_at string, path string")
+    manifest.coalesce(1).write.json(f"{home}/runs")
+    loader = ingest.batch_loader(f"{home}/articles", roles.stocks(docs), roles.ALIASES)
+    stream = ingest.run_stream(spark, f"{home}/runs")
     ingest.start_ingest(stream, f"{home}/checkpoint", loader).awaitTermination()
     stored = read_table(spark, f"{home}/articles", schemas.NEWS_ARTICLES)
     return _shown(stored.drop("id", "text", "image_url", "published_day"))

@@ -238,12 +238,18 @@ def landed(documents: DataFrame, provider: str | None = None) -> DataFrame:
         F.lit("run").alias("run_id"),
         name.alias("provider"),
         F.col("source").alias("symbol"),
-        F.col("doc_id").cast("int").alias("seq"),
+        F.col("doc_id").alias("seq"),
         F.lit(200).alias("status"),
         body.alias("body"),
     )
 
 
+def with_limits(payloads: DataFrame) -> DataFrame:
+    """Responses of which every 389th signals that its provider's limit is reached."""
+    hit = F.col("seq") % 389 == 388
+    return payloads.withColumn("status", F.when(hit, 429).otherwise(F.col("status")))
+
+
 def tagged_pages(pages: DataFrame) -> DataFrame:
     """Pages with a social image tag whose form depends on the shape of the URL.
 
