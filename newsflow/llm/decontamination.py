@@ -116,7 +116,9 @@ def exact_hits(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     per_doc = candidates.groupBy("id", "version").agg(F.collect_set(F.struct("start", "window")).alias("starts"))
     per_doc = settled(per_doc, "starts").withColumnsRenamed({"id": "_id", "version": "_version"})
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    read = docs.join(per_doc, same).select("id", "version", words_of(F.col("text")).alias("w"), "starts")
+    # Written, so that each of these texts is cut into words once.
+    read = settled(
+        docs.join(per_doc, same).select("id", "version", words_of(F.col("text")).alias("w"), "starts"), "read")
     true = F.filter(
         "starts", lambda s: F.slice(F.col("w"), s["start"] + 1, F.size(s["window"])) == s["window"])
     hits = read.select("id", "version", true.alias("hits")).filter("size(hits) > 0")
