@@ -222,6 +222,7 @@ def test_collector_reports_its_run(spark, stocks, tmp_path):
 def test_repeated_captures_do_not_multiply_articles(spark, stocks, tmp_path):
     path = str(tmp_path / "articles")
     rows = spark.createDataFrame([("u1", "A"), ("u2", "B")], "url string, title string")
+    rows = rows.withColumn(schemas.ARTICLE_DAY, F.lit("2024-01-15").cast("date"))
     writers.append_new(spark, path, rows, schemas.NEWS_ARTICLES, partition=schemas.ARTICLE_DAY)
     tag = '<meta property="og:image" content="https://i.example.com/{}.png">'
     pages = spark.createDataFrame(
