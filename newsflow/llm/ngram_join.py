@@ -517,7 +517,7 @@ def near_duplicates(
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("component_id"),
+            F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("label")).otherwise(F.col("id")).alias("component_id"),
         )
     )
 
