@@ -20,6 +20,7 @@ from newsflow.operators.articles import (
     mark_stored,
     require_symbols,
 )
+from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import with_url
 from newsflow.operators.reports import load_summary, table_counts
 from newsflow.operators.sentiment import (
@@ -50,15 +51,14 @@ class Tables:
 def first_per_url(rows: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """One row per URL, first in symbol order, with all symbols that carry the URL.
 
-    ``symbols`` holds each configured symbol at most once. One partially
-    aggregated shuffle does the in-file and the cross-file deduplication.
+    ``symbols`` holds each configured symbol at most once. The winner is a limited
+    row number and the copies are narrow distinct pairs, so only one wide row per URL
+    leaves a task, and both sides are partitioned by URL.
     """
-    rest = [c for c in rows.columns if c != "url"]
-    picked = with_url(rows).groupBy("url").agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"),
-        F.collect_set("symbol").alias("symbols"),
-    )
-    return picked.select("url", "_row.*", "symbols")
+    usable = with_url(rows)
+    copies = usable.select("url", "symbol").distinct().groupBy("url").agg(
+        F.collect_list("symbol").alias("symbols"))
+    return first_seen(usable, ["url"], order).join(copies, "url")
 
 
 def news_outcome(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def kind_counts(events: DataFrame) -> DataFrame:
 
 
 def _with_errors(counts: DataFrame, scan: CsvScan) -> DataFrame:
-    """Add the number of unreadable files to the grand total."""
-    unreadable = F.lit(len(scan.unreadable)).cast("bigint")
+    """Add the number of files that were unreadable or passed over to the grand total."""
+    unreadable = F.lit(len(scan.unreadable) + len(scan.passed_over)).cast("bigint")
     errors = F.col("errors") + F.when(F.col("symbol").isNull(), unreadable).otherwise(0)
     return counts.withColumn("errors", errors)
 

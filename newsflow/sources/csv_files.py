@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +27,15 @@ _HEADER_READERS = 16
 
 @dataclass(frozen=True)
 class CsvScan:
-    """Rows of all readable files, and the files that could not be read."""
+    """Rows of all readable files, the files that could not be read, and those passed over.
+
+    Passed over are files of the configured symbols that are not plain CSV files,
+    such as compressed ones.
+    """
 
     rows: DataFrame
     unreadable: tuple[str, ...]
+    passed_over: tuple[str, ...] = ()
 
 
 def _symbol_pattern(suffix: str) -> str:
@@ -47,24 +53,32 @@ def _symbol_of_file(path: str, suffix: str) -> str | None:
 
 
 def _list_files(spark: SparkSession, path: str) -> list[str]:
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(path)
-    )
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return sorted(listing.inputFiles())
 
 
 def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
-    """Column names of a file, None when it is empty or cannot be read."""
+    """Header cells of a file, None when it is empty or no CSV.
+
+    A cell may be empty: that is how an index column is written. Anything but a
+    parse error is raised, so a passing storage error never drops a symbol.
+    """
     try:
         rows = spark.read.csv(file, header=False, multiLine=True, escape='"').take(1)
-    except Exception:
+    except PySparkException as error:
+        if "TextParsingException" in str(error) or "MALFORMED" in (error.getCondition() or ""):
+            return None
+        raise
+    if not rows or all(cell is None for cell in rows[0]):
         return None
-    if not rows or rows[0][0] is None:
-        return None
-    return tuple(str(cell).strip() for cell in rows[0])
+    return tuple("" if cell is None else str(cell).strip() for cell in rows[0])
+
+
+def _fields(header: tuple[str, ...]) -> list[str]:
+    """One name per position: the header's, unless it is empty or was there before."""
+    return [
+        name if name and name not in header[:i] else f"_unnamed_{i}" for i, name in enumerate(header)
+    ]
 
 
 def read_symbol_csv(
@@ -76,36 +90,39 @@ def read_symbol_csv(
 ) -> CsvScan:
     """Read the CSVs of the given symbols as text columns plus symbol, rank and row order.
 
-    Files of other symbols are left alone. Files are grouped by their header and
-    each group is one scan, so files with another column order are read by name,
-    and the plan grows with the number of layouts, not of files. The part files
-    of a folder share one header; one that differs fails the scan instead of
-    swapping columns. Cells that spell a missing value become NULL; columns a
-    file lacks are NULL. ``row_pos`` grows with the position in a file.
+    Files of other symbols are left alone. Every file's header is read, part files
+    too. Files are grouped by their header and each group is one scan, so files with
+    another column order are read by name, and the plan grows with the number of
+    layouts, not of files. Names are taken without the blanks around them; unnamed
+    columns are ignored. Cells that spell a missing value become NULL; columns a file
+    lacks are NULL. ``row_pos`` grows with the position in a file.
     """
-    units: dict[str, list[str]] = defaultdict(list)
+    files, passed_over = [], []
     for file in _list_files(spark, path):
-        if _symbol_of_file(file, suffix) not in symbols:
+        name = file.rsplit("/", 1)[1]
+        if name.startswith(("_", ".")):
             continue
-        folder = file.rsplit("/", 1)[0]
-        in_parts = folder.endswith(".csv") or "/symbol=" in folder
-        units[folder if in_parts else file].append(file)
+        plain = _symbol_of_file(file, suffix)
+        if name.endswith(".csv") and plain in symbols:
+            files.append(file)
+        elif not name.endswith(".csv"):
+            stem = re.sub(r"\.csv\.[^./]+$", ".csv", file)
+            if (_symbol_of_file(stem, suffix) or plain) in symbols:
+                passed_over.append(file)
     with ThreadPoolExecutor(_HEADER_READERS) as readers:
-        headers = list(readers.map(lambda u: _header(spark, u[0]), units.values()))
+        headers = list(readers.map(lambda f: _header(spark, f), files))
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for unit, header in zip(units, headers):
+    for file, header in zip(files, headers):
         if header:
-            layouts[header].append(unit)
-    unreadable = tuple(u for u, h in zip(units, headers) if not h)
+            layouts[header].append(file)
+    unreadable = tuple(f for f, h in zip(files, headers) if not h)
 
     rows = None
     for header, members in layouts.items():
         if columns[0] not in header:
             raise ValueError(f"column {columns[0]} is missing from {members[0]}")
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        scan = spark.read.csv(
-            members, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=False
-        )
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in _fields(header)])
+        scan = spark.read.csv(members, schema=schema, header=True, multiLine=True, escape='"')
         file = F.col("_metadata.file_path")
         layout = scan.select(
             _symbol_from_path(file, suffix).alias("symbol"),
@@ -126,4 +143,4 @@ def read_symbol_csv(
             *[nothing.alias(c) for c in columns],
         )
     rank = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol")) - 1
-    return CsvScan(rows.withColumn("symbol_rank", rank.cast("int")), unreadable)
+    return CsvScan(rows.withColumn("symbol_rank", rank.cast("int")), unreadable, tuple(passed_over))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow import schemas
 from newsflow.plans import csv_load
+from newsflow.sources import csv_files
 from newsflow.sources.csv_files import read_symbol_csv
 
 HEADER = "url,title,description,source,published_at,source_api\n"
@@ -65,11 +66,28 @@ def test_folders_of_part_files(spark, tmp_path):
     ]
 
 
-def test_a_part_file_with_another_layout_fails_loudly(spark, tmp_path):
+def test_a_part_file_with_another_layout_is_read_by_name(spark, tmp_path):
     write(tmp_path, "NVDA.csv/part-0.csv", HEADER + "u1,T,D,S,t,a\n")
     write(tmp_path, "NVDA.csv/part-1.csv", "title,url,description,source,published_at,source_api\nT,u2,D,S,t,a\n")
-    with pytest.raises(Exception, match="header"):
-        read(spark, tmp_path).rows.collect()
+    assert sorted(r["url"] for r in read(spark, tmp_path).rows.collect()) == ["u1", "u2"]
+
+
+def test_index_column_padded_names_and_passed_over_files(spark, tmp_path):
+    write(tmp_path, "NVDA.csv", ",url, title ,url\n0,u1,T1,x\n1,u2,T2,x\n")
+    write(tmp_path, "AMD.csv.gz", b"\x1f\x8b")
+    write(tmp_path, "XYZ.csv.gz", b"\x1f\x8b")
+    write(tmp_path, "_SUCCESS", "")
+    scan = read(spark, tmp_path)
+    assert sorted((r["url"], r["title"]) for r in scan.rows.collect()) == [("u1", "T1"), ("u2", "T2")]
+    assert [f.rsplit("/", 1)[1] for f in scan.passed_over] == ["AMD.csv.gz"] and scan.unreadable == ()
+
+
+def test_storage_errors_are_raised(spark, tmp_path, monkeypatch):
+    write(tmp_path, "NVDA.csv", HEADER + "u1,T,D,S,t,a\n")
+    real = csv_files._list_files
+    monkeypatch.setattr(csv_files, "_list_files", lambda *a: [*real(*a), f"file:{tmp_path}/AMD.csv"])
+    with pytest.raises(Exception, match="AMD"):
+        read(spark, tmp_path)
 
 
 def test_unreadable_files_are_reported_and_skipped(spark, tmp_path):
