@@ -14,9 +14,10 @@ LATEST = 6
 # Fixed value: where the feed's image links point.
 IMAGE_PROXY = "/api/news-image?url="
 
-# Beyond this many rows before the page, the page is sought by time first.
-SEEK_AFTER = 100_000
+# A page is sought until the span that holds it has at most so many rows to sort.
+SORTED_ROWS = 10_000
 SEEK_UNITS = ("DAY", "HOUR", "MINUTE", "SECOND")
+SEEK_PREFIXES = (12, 24, 48, 96)
 
 
 def page_bounds(page: object = 1, limit: object = MAX_PAGE_SIZE) -> tuple[int, int]:
@@ -29,52 +30,59 @@ def page_bounds(page: object = 1, limit: object = MAX_PAGE_SIZE) -> tuple[int, i
 
 
 def _holding(
-    articles: DataFrame, group: Column, offset: int, size: int
-) -> tuple[list, int]:
-    """Newest-first groups that overlap the page, and the rows before the first of them.
+    articles: DataFrame, keys: list[Column], order: list[Column], offset: int, size: int
+) -> tuple[list, int, int]:
+    """Groups in page order that overlap the page, the rows before them and in them.
 
     Brings back one small row per group, never articles.
     """
-    counts = articles.groupBy(group.alias("start")).count().orderBy(F.desc_nulls_first("start"))
-    held, before, seen = [], 0, 0
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    counts = articles.groupBy(*named).count().orderBy(*order)
+    held, before, inside, seen = [], 0, 0, 0
     for row in counts.toLocalIterator():
         if seen >= offset + size:
             break
         if seen + row["count"] > offset:
-            held.append(row["start"])
+            held.append(tuple(row)[:-1])
+            inside += row["count"]
         else:
             before += row["count"]
         seen += row["count"]
-    return held, before
+    return held, before, inside
 
 
-def _seek_day(articles: DataFrame, day: str, offset: int, size: int) -> tuple[DataFrame, int]:
-    """Keep the partitions that hold the page. Counting them reads no column."""
-    held, before = _holding(articles, F.col(day), offset, size)
-    keep = F.col(day).isin([d for d in held if d is not None])
-    if None in held:
-        keep = keep | F.col(day).isNull()
-    return articles.filter(keep), max(offset - before, 0)
+def _among(keys: list[Column], held: list) -> Column:
+    """True in the held groups: at most one more than a page has rows."""
+    keep = F.lit(False)
+    for group in held:
+        same = F.lit(True)
+        for key, value in zip(keys, group):
+            same = same & key.eqNullSafe(F.lit(value))
+        keep = keep | same
+    return keep
 
 
-def _seek_time(
-    articles: DataFrame, time: str, offset: int, size: int, seek_after: int
+def _seek(
+    articles: DataFrame, time: str, tie: str, day: str | None, offset: int, size: int, sorted_rows: int
 ) -> tuple[DataFrame, int]:
-    """Narrow the table to the time span that holds the page.
+    """Narrow the table to groups that hold the page, and the rows to skip in them.
 
-    Counts rows per day, then per hour, minute and second of the span found so
-    far, until little enough lies before the page.
+    Counts rows per day, hour, minute, second and instant, then per beginning of the
+    tie column, in what has been found so far, until little is left to sort. So the
+    group of rows without a time, which comes first, is narrowed like any other.
     """
-    for unit in SEEK_UNITS:
-        if offset <= seek_after:
+    levels: list[list[Column]] = [[F.col(day)]] if day else []
+    levels += [[F.date_trunc(unit, time)] for unit in SEEK_UNITS] + [[F.col(time)]]
+    tied = F.col(tie).cast("string")
+    ascending = dict(articles.dtypes)[tie] == "string"
+    prefixes = [F.substring(tied, 1, n) for n in SEEK_PREFIXES] if ascending else []
+    levels += [[F.col(time), part] for part in (*prefixes, F.col(tie))]
+    for keys in levels:
+        order = [F.desc_nulls_first("k0"), *([F.asc("k1")] if len(keys) > 1 else [])]
+        held, before, inside = _holding(articles, keys, order, offset, size)
+        articles, offset = articles.filter(_among(keys, held)), max(offset - before, 0)
+        if inside <= sorted_rows:
             break
-        held, before = _holding(articles, F.date_trunc(unit, time), offset, size)
-        dated = [t for t in held if t is not None]
-        keep = F.col(time).isNull() if None in held else F.lit(False)
-        if dated:
-            after = F.lit(max(dated)) + F.expr(f"INTERVAL 1 {unit}")
-            keep = keep | ((F.col(time) >= F.lit(min(dated))) & (F.col(time) < after))
-        articles, offset = articles.filter(keep), max(offset - before, 0)
     return articles, offset
 
 
@@ -85,21 +93,18 @@ def news_page(
     time: str = "published_at",
     tie: str = "url",
     day: str | None = None,
-    seek_after: int = SEEK_AFTER,
+    sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
     """One page of the newest articles; rows without a time come first.
 
-    ``day`` names the column the table is partitioned by, if it is; then only
-    the days that hold the page are read. A page near the top is a top-k: each
-    task keeps its own best rows and only those travel. A page far down would
-    make every task keep everything above it, so its time span is located by
-    counting first and only that is sorted.
+    ``day`` names the column the table is partitioned by, if it is; then only the
+    days that hold the page are read, and counting them reads no column. Every page
+    is found in the same way, see :func:`_seek`; only the small span that holds it is
+    sorted, as a top-k.
     """
     number, size = page_bounds(page, limit)
     offset = (number - 1) * size
-    if day:
-        articles, offset = _seek_day(articles, day, offset, size)
-    articles, offset = _seek_time(articles, time, offset, size, seek_after)
+    articles, offset = _seek(articles, time, tie, day, offset, size, sorted_rows)
     newest_first = articles.orderBy(F.desc_nulls_first(time), F.asc(tie))
     return newest_first.offset(offset).limit(size)
 

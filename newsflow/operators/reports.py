@@ -12,6 +12,7 @@ from newsflow.operators.articles import mark_stored
 from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import valid_articles
 from newsflow.operators.stock_match import stock_symbol, with_match_text
+from newsflow.session import exists
 from newsflow.stocks import ALIASES
 
 
@@ -103,6 +104,16 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_counts(spark: SparkSession, paths: Mapping[str, str | None]) -> DataFrame:
+    """Row count per stored table; a table that is not there, or named, gets NULL."""
+    nothing = spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
+    counts = [
+        spark.read.parquet(p).agg(F.count("*").alias("rows")) if p and exists(spark, p) else nothing
+        for p in paths.values()
+    ]
+    return _union([c.select(F.lit(n).alias("table_name"), "rows") for n, c in zip(paths, counts)])
+
+
 def catalog_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Row count per catalog table; a table that does not exist gets NULL."""
     nothing = spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))

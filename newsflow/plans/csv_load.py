@@ -22,7 +22,7 @@ from newsflow.operators.articles import (
 )
 from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import with_url
-from newsflow.operators.reports import load_summary, table_counts
+from newsflow.operators.reports import load_summary, stored_counts, table_counts
 from newsflow.operators.sentiment import (
     attach_news_id,
     daily_date,
@@ -41,11 +41,12 @@ ROW, INSERTED, SKIPPED, MISSING, ERROR = "row", "inserted", "skipped", "missing"
 
 @dataclass(frozen=True)
 class Tables:
-    """Paths of the stored tables."""
+    """Paths of the stored tables. The price table is only counted."""
 
     news_articles: str
     news_sentiment: str
     daily_sentiment: str
+    stock_prices: str | None = None
 
 
 def first_per_url(rows: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
@@ -209,12 +210,7 @@ def run_load(
         "sentiment": load_sentiment(spark, sentiment_path, tables),
         "daily": load_daily(spark, daily_path, tables, stocks),
     }
-    reports["tables"] = table_counts(
-        {
-            "stocks": stocks,
-            "news_articles": read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES),
-            "news_sentiment": read_table(spark, tables.news_sentiment, schemas.NEWS_SENTIMENT),
-            "daily_sentiment": read_table(spark, tables.daily_sentiment, schemas.DAILY_SENTIMENT),
-        }
-    )
+    names = ("stock_prices", "news_articles", "news_sentiment", "daily_sentiment")
+    stored = stored_counts(spark, {name: getattr(tables, name) for name in names})
+    reports["tables"] = table_counts({"stocks": stocks}).unionByName(stored)
     return reports

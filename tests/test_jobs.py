@@ -305,7 +305,7 @@ def test_csv_load_is_resumable_and_images_are_filled(spark, stocks, tmp_path):
     assert counts["news"] == {"NVDA": (3, 1, 0, 0, 0), "AMD": (2, 1, 1, 0, 0), None: (5, 2, 1, 0, 1)}
     assert counts["sentiment"] == {"NVDA": (2, 1, 0, 1, 0), "AMD": (1, 0, 1, 0, 0), None: (3, 1, 1, 1, 0)}
     assert counts["daily"] == {"NVDA": (4, 2, 0, 0, 1), None: (4, 2, 0, 0, 1)}
-    want = {"stocks": 20, "news_articles": 2, "news_sentiment": 1, "daily_sentiment": 1}
+    want = {"stocks": 20, "stock_prices": None, "news_articles": 2, "news_sentiment": 1, "daily_sentiment": 1}
     assert sizes == want
     moment = dt.datetime(2024, 1, 15, 9)
     assert stored(spark, tables.news_articles, "url", "symbol", "title", "published_at") == [

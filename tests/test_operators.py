@@ -231,10 +231,10 @@ def timeline(spark, n=1000, seed=1):
 
 
 @pytest.mark.parametrize("page,limit", [(1, 100), (2, 7), (10, 100), (11, 100), (50, 100), (3, 6)])
-@pytest.mark.parametrize("seek_after", [0, 50, 100_000])
-def test_pages_equal_brute_force(spark, page, limit, seek_after):
+@pytest.mark.parametrize("sorted_rows", [0, 50, 100_000])
+def test_pages_equal_brute_force(spark, page, limit, sorted_rows):
     df, newest = timeline(spark)
-    got = feed.news_page(df.repartition(5), page, limit, seek_after=seek_after).collect()
+    got = feed.news_page(df.repartition(5), page, limit, sorted_rows=sorted_rows).collect()
     assert [r["url"] for r in got] == newest[(page - 1) * limit : page * limit]
 
 
@@ -243,7 +243,7 @@ def test_pages_of_a_table_laid_out_by_day(spark, tmp_path, page, limit):
     df, newest = timeline(spark)
     path = str(tmp_path / "t")
     df.withColumn("published_day", F.to_date("published_at")).write.partitionBy("published_day").parquet(path)
-    got = feed.news_page(spark.read.parquet(path), page, limit, day="published_day", seek_after=150)
+    got = feed.news_page(spark.read.parquet(path), page, limit, day="published_day", sorted_rows=50)
     assert [r["url"] for r in got.collect()] == newest[(page - 1) * limit : page * limit]
     if page == 3:
         text = got._jdf.queryExecution().executedPlan().toString()

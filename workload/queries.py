@@ -383,7 +383,7 @@ def news_page(spark, d):
 
 
 def news_page_deep(spark, d):
-    return _page(spark, d, page=120, limit=100, seek_after=0)
+    return _page(spark, d, page=120, limit=100)
 
 
 def news_page_meta(spark, d):
