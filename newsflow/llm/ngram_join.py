@@ -147,8 +147,13 @@ def group_counts(s: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _groups_of(n: int) -> int:
-    """Groups of the count vector that stands for a set of n shingles."""
-    return 1 << max(4, min(16, (int(n) // 4).bit_length()))
+    """Groups of the count vector that stands for a set of n shingles.
+
+    Small sets get about two groups a shingle, large ones one: there the bound is
+    tight enough with less. Sets that link differ by one doubling at most.
+    """
+    n = int(n)
+    return 1 << max(5, min(16, (n if n <= 512 else n // 2).bit_length()))
 
 
 class CountTree:
@@ -484,7 +489,8 @@ def near_duplicates(
     # Round 1: every representative in its most frequented bucket.
     first = settled(_one_bucket(buckets, F.struct("k", "key"), 1), "blocks")
     # An id that stands on several rows has all its texts judged.
-    held = settled(docs.join(first, "id"), "texts")
+    # The ids may outgrow a broadcast, so the texts are always shuffled to meet them.
+    held = settled(docs.hint("merge").join(first, "id"), "texts")
     edges = _linked_in(held.withColumn("label", F.col("id")), match, "links")
     # Every id is in one block, so the stars are the components already.
     rounds = [edges.withColumnsRenamed({"a": "vertex", "b": "component"})]
