@@ -50,11 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[application]
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+def shared_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A fresh path below the shared folder.
+
+    An open :func:`scratch` block removes it when it ends; one that ``outlives`` the
+    block belongs to the block around it, if there is one.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _open_blocks:
-        _open_blocks[-1].append(path)
+    owners = _open_blocks[:-1] if outlives else _open_blocks
+    if owners:
+        owners[-1].append(path)
     return path
 
 
@@ -79,7 +84,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the intermediate tables written inside the block when it ends.
 
-    What the block returns must not read them any more, see :func:`kept`.
+    What the block returns must not read them any more: it is :func:`settled` as
+    something that outlives the block, or :func:`kept`.
     """
     paths: list[str] = []
     _open_blocks.append(paths)
@@ -96,13 +102,13 @@ def kept(report: DataFrame) -> DataFrame:
     return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
     It is then computed once, survives the loss of executors, and has a known
     size, so Spark broadcasts it when it is small enough and joins it by shuffle
     when it is not. Meant for narrow tables that a wide one is joined with.
     """
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, outlives)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
