@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.session import settled
+from newsflow.session import scratch, settled
 
 WINDOW = 10
 RAREST = 3
@@ -138,11 +138,28 @@ def contamination(
     item_text_col: str = "text",
     width: int = WINDOW,
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (their ids as text, sorted)."""
+    """One row per document: id, n_words, n_hit, items (their ids as text, sorted).
+
+    What was found is written; all other tables on the way to it are removed.
+    """
     docs = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("version", F.xxhash64("text"))
-    windows = settled(windows_of(items, item_col, item_text_col, width), "windows")
+    with scratch(docs.sparkSession):
+        windows = windows_of(items, item_col, item_text_col, width)
+        found = settled(_found(docs, windows), "found", outlives=True)
+    found = found.withColumnsRenamed({"id": "_id", "version": "_version"})
+    counted = docs.select("id", "version", count_words(F.col("text")).alias("n_words"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    none = F.array().cast("array<string>")
+    return counted.join(found, same, "left").select(
+        F.col("id").alias(id_col), "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def _found(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Documents with occurrences: id, version, n_hit and the items' ids."""
+    windows = settled(windows, "windows")
     anchors = settled(anchors_of(windows, term_counts(docs, windows)), "lists")
     candidates = occurrences(postings_of(docs, anchors), anchors)
     hits = settled(exact_hits(docs, candidates).dropDuplicates(["id", "version"]), "hits")
@@ -152,17 +169,10 @@ def contamination(
         .groupBy("id", "version")
         .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     )
-    found = hits.select("id", "version", "n_hit").join(
+    return hits.select("id", "version", "n_hit").join(
         owners.withColumnsRenamed({"id": "_id", "version": "_version"}),
         F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left",
     ).select("id", "version", "n_hit", "items")
-    found = settled(found, "found").withColumnsRenamed({"id": "_id", "version": "_version"})
-    counted = docs.select("id", "version", count_words(F.col("text")).alias("n_words"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    none = F.array().cast("array<string>")
-    return counted.join(found, same, "left").select(
-        F.col("id").alias(id_col), "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from newsflow.llm.graph import components
 from newsflow.llm.tokens import column, mixed, shingle_sets, sliced
-from newsflow.session import settled
+from newsflow.session import scratch, settled
 
 _MISS = 1e-15
 _SHARED = 4  # prefix shingles a linked pair shares at least, set size permitting
@@ -459,10 +459,18 @@ def near_duplicates(
     """One row per document: id, ``n_shingles`` and ``component_id``.
 
     ``component_id`` is the smallest id reachable by links, the own one included.
-    ``threshold`` is the similarity as a fraction of whole numbers.
+    ``threshold`` is the similarity as a fraction of whole numbers. The result is
+    written; all tables on the way to it are removed.
     """
-    num, den = threshold
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        texts = docs.select(
+            F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        found = settled(_components_of(texts, width, *threshold), "near-duplicates", outlives=True)
+    return found.withColumnRenamed("id", id_col)
+
+
+def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Id, ``n_shingles`` and ``component_id`` from (id, text)."""
     sketch = settled(docs.mapInArrow(partial(_sketch, width=width), _SKETCH), "sketch")
     sizes = sketch.filter("not common").select("id", "n", "high", "low")
     usable = sizes.filter("id IS NOT NULL AND n > 0")
@@ -521,7 +529,7 @@ def near_duplicates(
     return (
         sizes.join(grouped.select("high", "low", "label"), ["high", "low"], "left")
         .select(
-            F.col("id").alias(id_col),
+            "id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("label")).otherwise(F.col("id")).alias("component_id"),
         )
