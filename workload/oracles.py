@@ -178,6 +178,15 @@ WHERE source_api = 'yfinance'""",
   round(value, 9) AS sentiment_score, 'ProsusAI/finbert' AS model
 FROM matched WHERE news_id IS NOT NULL""",
         "daily_record": _with(_DAILY_SOURCE) + "SELECT * FROM daily_source",
+        "csv_scan_daily": _with(_DAILY_SOURCE) + "SELECT * EXCLUDE (event_id) FROM daily_source",
+        "csv_scan_sentiment": """SELECT 'src' || (event_id % 20) AS symbol,
+  CAST(event_id % 20 AS INT) AS symbol_rank, 'https://news.example.com/d/' || event_id AS url,
+  CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative'
+    WHEN 'view' THEN NULL ELSE 'neutral' END AS sentiment_label,
+  round(value, 9) AS positive_score,
+  CASE WHEN event_type <> 'click' THEN round(value, 9) END AS neutral_score,
+  CASE WHEN event_type <> 'signup' THEN round(value, 9) END AS negative_score,
+  round(value, 9) AS sentiment_score FROM events""",
         "feed_projection": """SELECT CAST(NULL AS VARCHAR) AS symbol, 'Page ' || page_id AS title,
   '' AS description, 'crawl' AS source, url, page_id AS published_at, 'pages' AS source_api,
   CASE WHEN url LIKE '%/' THEN '' ELSE url || ' ~*é%+' END AS image_url,
@@ -285,6 +294,10 @@ UNION ALL SELECT 'inserted', count(*) FROM fresh""",
             f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES
         ),
         "daily_sentiment": f"SELECT * FROM ({_rollup(20)})",
+        "daily_rollup": f"""SELECT r.* REPLACE (n.symbol AS symbol) FROM ({_rollup(20)}) r JOIN (
+  SELECT user_id % 20 AS stock_id, strftime(ts, '%Y-%m-%d') AS sentiment_date,
+    arg_max('src' || (user_id % 20) || CASE WHEN hour(ts) >= 12 THEN 'x' ELSE '' END, ts) AS symbol
+  FROM events GROUP BY 1, 2) n USING (stock_id, sentiment_date)""",
         "news_page": f"""SELECT o_orderkey, strftime(o_orderdate, {_TIME}) AS o_orderdate FROM orders
 ORDER BY orders.o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 100 OFFSET 200""",
         "news_page_deep": f"""SELECT o_orderkey, strftime(o_orderdate, {_TIME}) AS o_orderdate FROM orders

@@ -12,9 +12,10 @@ from newsflow.functions import clean, text, times, urls
 from newsflow.operators import articles as art
 from newsflow.operators import dedup, feed, filters, images, reports, sentiment, stock_match
 from newsflow.plans import collector, csv_load
+from newsflow.plans import daily_rollup as rollup_job
 from newsflow.session import shared_path
 from newsflow.sinks import merge
-from newsflow.sinks.writers import read_table
+from newsflow.sinks.writers import append_new, read_table
 from newsflow.sources import csv_files, payloads
 from newsflow.stocks import ALPHA_VANTAGE, FINNHUB, MARKETAUX, YFINANCE, provider_table
 from newsflow.streaming import ingest
@@ -133,6 +134,31 @@ def csv_scan(spark, d):
     )
 
 
+def _landed_csv(spark, rows, columns):
+    """Rows written per symbol, half with an unnamed index column, half in another column order."""
+    path = shared_path(spark, "csv")
+    even, layouts = F.col("event_id") % 2 == 0, []
+    layouts.append(rows.filter(even).select("symbol", F.col("event_id").alias(""), *columns))
+    layouts.append(rows.filter(~even).select("symbol", *reversed(columns)))
+    for layout in layouts:
+        layout.write.mode("append").partitionBy("symbol").csv(path, header=True, escape='"')
+    return csv_files.read_symbol_csv(spark, path, columns, roles.SYMBOLS).rows
+
+
+def csv_scan_sentiment(spark, d):
+    rows = roles.sentiment_rows(table(spark, d, "events"))
+    symbol = F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string"))
+    read = _landed_csv(spark, rows.withColumn("symbol", symbol), schemas.SENTIMENT_CSV)
+    scores = [F.round(clean.to_double(F.col(c)), 9).alias(c) for c in schemas.SENTIMENT_CSV[2:]]
+    return read.select("symbol", "symbol_rank", "url", "sentiment_label", *scores)
+
+
+def csv_scan_daily(spark, d):
+    rows = roles.daily_rows(table(spark, d, "events")).drop("stock_id")
+    read = _landed_csv(spark, rows, schemas.DAILY_CSV)
+    return _shown(sentiment.daily_record(art.attach_stock_id(read, roles.stocks(_docs(spark, d)))))
+
+
 # --- records and projections ---------------------------------------------------
 
 
@@ -370,6 +396,22 @@ def daily_sentiment(spark, d):
     return _shown(sentiment.daily_sentiment(roles.scored_articles(table(spark, d, "events"))))
 
 
+def daily_rollup(spark, d):
+    """The rollup job, run twice, over stocks that change their symbol at noon."""
+    scored = roles.scored_articles(table(spark, d, "events"))
+    later = F.when(F.hour("published_at") >= 12, F.concat("symbol", F.lit("x"))).otherwise(F.col("symbol"))
+    rows = scored.withColumns({
+        "symbol": later, "id": F.col("event_id") + 1, "news_id": F.col("event_id") + 1,
+        "published_at": F.col("published_at").cast("timestamp"),
+    })
+    home = shared_path(spark, "rollup")
+    for name, schema, key in (("articles", schemas.NEWS_ARTICLES, "id"), ("sentiment", schemas.NEWS_SENTIMENT, "news_id")):
+        append_new(spark, f"{home}/{name}", rows, schema, key=key, id_col=None, known_new=True)
+    for _ in range(2):
+        rollup_job.run_daily_rollup(spark, f"{home}/articles", f"{home}/sentiment", f"{home}/daily")
+    return _shown(read_table(spark, f"{home}/daily", schemas.DAILY_SENTIMENT))
+
+
 # --- feed ---------------------------------------------------------------------------
 
 
@@ -568,7 +610,7 @@ def queries() -> dict:
         daily_sentiment, news_page, news_page_deep, news_page_meta, latest_six, union_providers,
         clean_values, parse_times, request_window, url_parts, resolve_url, short_title,
         image_extract, backfill_counts, fill_missing_image, insert_if_absent, upsert_daily,
-        collector_run, stream_ingest,
+        collector_run, stream_ingest, csv_scan_sentiment, csv_scan_daily, daily_rollup,
     ]
     named = {q.__name__: q for q in found}
     named["normalize_feed_compact_ts"] = partial(_normalized, ALPHA_VANTAGE)
