@@ -34,3 +34,15 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_streamed_runs_grow_with_the_table(spark):
+    """A limit cuts a provider in its own run only; the next runs are stored whole."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = connect(folder)
+    got, want, difference = compare(spark, con, "stream_ingest_runs", folder)
+    assert difference is None and got == want
+    texts, = con.execute("SELECT count(DISTINCT text) FROM documents").fetchone()
+    assert 0.8 * texts < got / 2 < texts

@@ -372,6 +372,26 @@ FROM assigned GROUP BY ALL""",
             _ASSIGNED,
         )
         + f"SELECT CAST(substr(symbol, 4) AS BIGINT) AS stock_id, {_shown_articles()} FROM assigned",
+        "stream_ingest_runs": _with(
+            _ARTICLES,
+            """in_runs AS (SELECT *, doc_id // 1000 AS run FROM articles),
+cutoffs AS (
+  SELECT run, source_api, min(doc_id) AS cutoff FROM in_runs
+  WHERE run % 4 = 0 AND doc_id % 389 = 388 AND source_api <> 'yfinance' GROUP BY ALL),
+open AS (
+  SELECT a.* FROM in_runs a LEFT JOIN cutoffs c ON c.run = a.run AND c.source_api = a.source_api
+  WHERE cutoff IS NULL OR doc_id < cutoff),
+delivered AS (
+  SELECT *, 0 AS pos FROM open
+  UNION ALL
+  SELECT * REPLACE (url || '/b' AS url, NULL AS published_at), 1 AS pos FROM open),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY run, provider_rank, doc_id, pos) AS rn
+  FROM delivered),
+fresh AS (SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1)""",
+            _ASSIGNED,
+        )
+        + f"SELECT CAST(substr(symbol, 4) AS BIGINT) AS stock_id, {_shown_articles()} FROM assigned",
         "normalize_feed_compact_ts": _feed("Alpha Vantage", 0),
         "normalize_feed_epoch": _feed("Finnhub", 1),
         "normalize_feed_plain": _feed("Marketaux", 2),

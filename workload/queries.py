@@ -598,6 +598,22 @@ def stream_ingest(spark, d):
     return _shown(stored.drop("id", "text", "image_url", "published_day"))
 
 
+def stream_ingest_runs(spark, d):
+    """The documents land as the responses of many runs, which the stream stores in a fresh table.
+
+    A limit ends its provider's share of its run only, so what is stored grows with the table.
+    """
+    docs = _docs(spark, d)
+    home = shared_path(spark, "stream")
+    roles.in_runs(docs).repartition("run").write.partitionBy("run").json(f"{home}/landing")
+    roles.run_manifests(docs, f"{home}/landing").coalesce(1).write.json(f"{home}/runs")
+    loader = ingest.batch_loader(f"{home}/articles", roles.stocks(docs), roles.ALIASES)
+    stream = ingest.run_stream(spark, f"{home}/runs")
+    ingest.start_ingest(stream, f"{home}/checkpoint", loader).awaitTermination()
+    stored = read_table(spark, f"{home}/articles", schemas.NEWS_ARTICLES)
+    return _shown(stored.drop("id", "text", "image_url", "published_day"))
+
+
 def queries() -> dict:
     found = [
         stock_dim, stock_lookup, null_image_rows, payload_parse, csv_scan,
@@ -610,7 +626,8 @@ def queries() -> dict:
         daily_sentiment, news_page, news_page_deep, news_page_meta, latest_six, union_providers,
         clean_values, parse_times, request_window, url_parts, resolve_url, short_title,
         image_extract, backfill_counts, fill_missing_image, insert_if_absent, upsert_daily,
-        collector_run, stream_ingest, csv_scan_sentiment, csv_scan_daily, daily_rollup,
+        collector_run, stream_ingest, stream_ingest_runs, csv_scan_sentiment, csv_scan_daily,
+        daily_rollup,
     ]
     named = {q.__name__: q for q in found}
     named["normalize_feed_compact_ts"] = partial(_normalized, ALPHA_VANTAGE)

@@ -30,6 +30,8 @@ ALIASES = {
 ARTICLE_URL = "https://news.example.com/a/"
 DOC_URL = "https://news.example.com/d/"
 ORDER = ("provider_rank", "symbol_rank", "doc_id")
+RUN_DOCUMENTS = 1000
+LIMITED_RUN = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,10 @@ def time_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+def _run_of(doc_id: Column) -> Column:
+    return F.floor(doc_id / RUN_DOCUMENTS).cast("bigint")
+
+
 def source_number(source: Column) -> Column:
     return F.substr(source, F.lit(4)).cast("int")
 
@@ -250,6 +256,30 @@ def with_limits(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("status", F.when(hit, 429).otherwise(F.col("status")))
 
 
+def in_runs(documents: DataFrame) -> DataFrame:
+    """Documents as landed responses of many runs, ``RUN_DOCUMENTS`` ids each, with their number.
+
+    In every fourth run a response whose id is 388 in a cycle of 389 signals a limit.
+    """
+    payloads = landed(documents).withColumn("run", _run_of(F.col("seq")))
+    limited = (F.col("run") % LIMITED_RUN == 0) & (F.col("seq") % 389 == 388)
+    return payloads.withColumns({
+        "run_id": F.concat(F.lit("run-"), F.col("run").cast("string")),
+        "status": F.when(limited, 429).otherwise(F.col("status")),
+    })
+
+
+def run_manifests(documents: DataFrame, landing: str) -> DataFrame:
+    """A manifest per run of :func:`in_runs`, whose responses land in a folder of their own."""
+    run = F.col("run").cast("string")
+    began = F.date_format(doc_time(F.col("run") * RUN_DOCUMENTS), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return documents.select(_run_of(F.col("doc_id")).alias("run")).distinct().select(
+        F.concat(F.lit("run-"), run).alias("run_id"),
+        began.alias("started_at"),
+        F.concat(F.lit(f"{landing}/run="), run).alias("path"),
+    )
+
+
 def tagged_pages(pages: DataFrame) -> DataFrame:
     """Pages with a social image tag whose form depends on the shape of the URL.
 
