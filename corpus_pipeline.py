@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm import decontamination, mixing, ngram_join, packing, quality_model
+from newsflow.llm.prefix_sums import running_sums
 from newsflow.session import settled
 
 
@@ -33,14 +34,29 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it does not take go.
 
     The mix cuts a source's last block, so one document per source may be taken in
-    part; it stays whole.
+    part; it stays whole. Rows are told apart by id, source and text. Of rows equal in
+    all three, some may be taken once more than the others: they are numbered for it.
     """
+    key = ["_id", "_source", "_version"]
     _, totals = mixing.mix(docs)
-    copies = totals.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = settled(copies.filter("_copies > 0"), "copies")
+    copies = totals.groupBy(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "version"), key)]).agg(
+        F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    taken = settled(copies.filter("_sum > 0").select(
+        *key, F.expr("_sum div _rows").alias("_copies"), (F.col("_sum") % F.col("_rows")).alias("_more")), "copies")
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (mixing.version_of(F.col("text")) == F.col("_version"))
+    )
+    even = docs.join(taken.filter("_more = 0"), same)
+    # Where the mix ends inside a group of equal rows: one group per source at most.
+    split = docs.join(taken.filter("_more > 0"), same).withColumns(
+        {"_at": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    split = running_sums(split, ["_at"], {"_rank": "_one"}, by=key, name="equal-rows")
+    more = F.when(F.col("_rank") <= F.col("_more"), 1).otherwise(0)
+    split = split.withColumn("_copies", F.col("_copies") + more).filter("_copies > 0")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return joined.select(*[docs[c] for c in docs.columns], each).drop("_copy")
+    both = even.select(*docs.columns, "_copies").unionByName(split.select(*docs.columns, "_copies"))
+    return both.select(*docs.columns, each).drop("_copy")
 
 
 def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,12 +142,7 @@ def contamination(
 
     What was found is written; all other tables on the way to it are removed.
     """
-    docs = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("version", F.xxhash64("text"))
-    with scratch(docs.sparkSession):
-        windows = windows_of(items, item_col, item_text_col, width)
-        found = settled(_found(docs, windows), "found", outlives=True)
+    docs, found = _judged(docs, items, id_col, text_col, item_col, item_text_col, width)
     found = found.withColumnsRenamed({"id": "_id", "version": "_version"})
     counted = docs.select("id", "version", count_words(F.col("text")).alias("n_words"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
@@ -157,6 +152,18 @@ def contamination(
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
+def _judged(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int
+) -> tuple[DataFrame, DataFrame]:
+    """The documents as (id, text, version) and what was found in them, written."""
+    docs = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("version", F.xxhash64("text"))
+    with scratch(docs.sparkSession):
+        windows = windows_of(items, item_col, item_text_col, width)
+        return docs, settled(_found(docs, windows), "found", outlives=True)
+
+
 def _found(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Documents with occurrences: id, version, n_hit and the items' ids."""
     windows = settled(windows, "windows")
@@ -176,7 +183,12 @@ def _found(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that no benchmark window occurs in, with their columns as they are."""
-    found = contamination(docs, items, id_col, text_col)
-    hit = settled(found.filter("n_hit > 0").select(F.col(id_col).alias("_hit_id")).distinct(), "contaminated")
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")
+    """The documents that no benchmark window occurs in, with their columns as they are.
+
+    A row goes for its own text only, whatever else stands under its id.
+    """
+    _, found = _judged(docs, items, id_col, text_col, "item_id", "text", WINDOW)
+    hit = found.select(F.col("id").alias("_hit_id"), F.col("version").alias("_hit_version"))
+    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (
+        F.xxhash64(F.col(text_col).cast("string")) == F.col("_hit_version"))
+    return docs.join(hit, same, "left_anti")

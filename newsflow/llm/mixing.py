@@ -18,7 +18,7 @@ ids are laid side by side, each with its own share. Empty tables give empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsflow.llm.prefix_sums import running_sums
@@ -92,11 +92,16 @@ def slots_of(spark: SparkSession, sources: DataFrame, total: int, block: int) ->
     return ranked.select("slot", "number", (F.col("rank") - 1).alias("block"))
 
 
+def version_of(text: Column) -> Column:
+    """What tells documents of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Id, source and number of words of each document."""
+    """Id, source, number of words and version (a hash of the text) of each document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), version_of(F.col(text_col)).alias("version"))
 
 
 def mix(
@@ -106,8 +111,8 @@ def mix(
 
     Pieces: slot, source, id, epoch, and the words [first_word, first_word + words)
     of the document that the slot takes; within a slot by ``place``. Totals: id,
-    size, source, source_size, target, taken (words over all epochs) and copies
-    (epochs that take any of it).
+    size, source, source_size, target, taken (words over all epochs), copies
+    (epochs that take any of it) and version (:func:`version_of` its text).
     """
     spark = docs.sparkSession
     narrow = settled(measured(docs, id_col, text_col, source_col), "sizes")
@@ -117,9 +122,9 @@ def mix(
     block = max(1, min(_MOST_BLOCK, total // _SLOTS))
 
     numbered = narrow.join(sources, narrow["source"].eqNullSafe(sources["source"])).select(
-        "id", "size", "number", F.md5(F.col("id").cast("string")).alias("shuffled"))
+        "id", "size", "version", "number", F.md5(F.col("id").cast("string")).alias("shuffled"))
     laid = settled(running_sums(
-        numbered.filter("size > 0"), ["shuffled", "id", "size"], {"end": "size"}, by=["number"], name="laid"), "laid")
+        numbered.filter("size > 0"), ["shuffled", "id", "size", "version"], {"end": "size"}, by=["number"], name="laid"), "laid")
 
     slots = settled(slots_of(spark, sources, total, block), "schedule")
     taken_blocks = slots.groupBy("number").agg(F.max("block").alias("last_block"))
@@ -138,19 +143,20 @@ def mix(
     low = F.greatest(F.col("block") * block, F.col("place"))
     high = F.least((F.col("block") + 1) * block, F.col("place") + F.col("size"))
     pieces = cut.join(slots, ["number", "block"]).select(
-        "slot", "number", "id", "end", "size", "epoch", low.alias("place"),
+        "slot", "number", "id", "end", "size", "version", "epoch", low.alias("place"),
         (low - F.col("place")).alias("first_word"), (high - low).alias("words"))
     pieces = settled(pieces, "pieces")
 
-    per_doc = pieces.groupBy("number", "end", "id", "size").agg(
+    per_doc = pieces.groupBy("number", "end", "id", "size", "version").agg(
         F.sum("words").alias("taken"), (F.max("epoch") + 1).alias("copies"))
-    own = laid.select("number", "end", "id", "size")
+    own = laid.select("number", "end", "id", "size", "version")
     untaken = own.join(per_doc.select("number", "end"), ["number", "end"], "left_anti").unionByName(
-        numbered.filter("size = 0").select("number", F.lit(0).cast("long").alias("end"), "id", "size"))
+        numbered.filter("size = 0").select("number", F.lit(0).cast("long").alias("end"), "id", "size", "version"))
     none = F.lit(0).cast("long")
     everything = per_doc.unionByName(untaken.withColumns({"taken": none, "copies": none}))
     totals = everything.join(sources, "number").select(
-        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies")
+        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies",
+        "version")
     named = pieces.join(sources.select("number", F.col("source").alias(source_col)), "number").select(
         "slot", source_col, F.col("id").alias(id_col), "epoch", "place", "first_word", "words")
     return named, totals

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from newsflow.llm import decontamination, graph, mixing, ngram_join, sharding
 from newsflow.llm.prefix_sums import running_sums
 from tests.llm.brute import SPACED, ascii_lower, near_duplicate_components, shingles
@@ -154,6 +155,16 @@ def test_contamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7]
 
 
+def test_clean_documents_judges_each_text_of_an_id(spark):
+    phrase = " ".join(f"q{i}" for i in range(12))
+    docs = [(None, f"x {phrase}", "s"), (None, "clean one", "s"), (None, "clean two", "s"), (None, None, "s"),
+            (1, phrase, "s"), (1, "another clean text", "s"), (2, phrase, "s")]
+    items = spark.createDataFrame([(1, phrase)], "item_id long, text string")
+    kept = decontamination.clean_documents(rows_of(spark, docs), items).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [
+        ("1", "another clean text"), ("None", "None"), ("None", "clean one"), ("None", "clean two")]
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = rows_of(spark, [(1, "a b", "s"), (None, None, None)])
@@ -220,6 +231,20 @@ def test_mix(spark):
     assert set(by_slot.values()) == {1}
 
 
+def test_source_mix_takes_each_row_as_often_as_the_mix(spark):
+    docs = [(None, f"w{i} " * (1 + i % 7), "abc"[i % 3]) for i in range(120)]
+    docs += [(1, "one text", "b"), (1, "another text of it", "a"), *[(2, "equal rows", "c")] * 40, (None, None, "a")]
+    frame = rows_of(spark, docs)
+    _, totals = mixing.mix(frame)
+    wanted, hashed = Counter(), {r.v: r.text for r in frame.select("text", F.xxhash64("text").alias("v")).collect()}
+    for r in totals.collect():
+        wanted[r.doc_id, hashed[r.version], r.source] += r.copies
+    mixed = corpus_pipeline.source_mix(spark, frame, FOLDER)
+    assert mixed.columns == frame.columns
+    assert Counter((r.doc_id, r.text, r.source) for r in mixed.collect()) == +wanted
+    assert len(set(wanted.values())) > 2
+
+
 def test_mix_is_even_along_the_way_and_repeats(spark):
     docs = rows_of(spark, [(i, "w " * 50, "abc"[i % 3]) for i in range(90)])
     first, totals = mixing.mix(docs)
