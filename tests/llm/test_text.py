@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -98,6 +99,23 @@ def test_bands_catch_repetition_and_noise():
     assert not compression_rules.in_band(20000, 19900)
 
 
+def test_base64_is_rejected_alone_and_inside_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1")
+    good = docs.join(labels, "doc_id", "left_semi").select("text").distinct().orderBy("text").collect()
+    prose = "\n".join(r.text for r in good)[:60_000]
+    assert len(prose) == 60_000
+    noise = base64.encodebytes(np.random.default_rng(2).bytes(60_000)).decode()
+    # At least 20 lines, so the base rules count enough words.
+    alone = {n: noise[:n] for n in (1_600, 2_500, 4_096, 8_000, 16_000, 40_000)}
+    inside = {100 + p: prose[:20_000] + noise[: 400 * p] + prose[20_000 : 60_000 - 400 * p] for p in (30, 50, 70)}
+    rows = [*alone.items(), *inside.items(), (1, prose), (2, prose[:5_000]), (3, prose[:1_500])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in compression_rules.compression_rules(frame).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sorted(i for i, r in got.items() if r.kept) == [1, 2, 3]
+
+
 def test_rules_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in compression_rules.compression_rules(docs).collect()}
