@@ -90,7 +90,7 @@ def occurrences(postings: DataFrame, anchors: DataFrame, rarest: int = RAREST, s
     lists = anchors.select("window", "anchors", anchor["term"].alias("term"), anchor["offset"].alias("offset"))
     found = postings.join(lists, "term").select(
         "id", "version", (F.col("pos") - F.col("offset")).alias("start"), "window", "anchors"
-    ).filter("start >= 0")
+    ).filter(F.col("start") >= -slop)
     for k in range(1, rarest):
         anchor = F.col("anchors")[k]
         wanted = found.filter(F.size("anchors") > k).withColumns(
@@ -102,11 +102,10 @@ def occurrences(postings: DataFrame, anchors: DataFrame, rarest: int = RAREST, s
             F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
             & (F.col("_term") == F.col("_other"))
         )
-        near = (
-            F.col("_pos") == F.col("_at") if slop == 0
-            else F.abs(F.col("_pos") - F.col("_at")) <= slop
-        )
-        kept = wanted.join(other, here & near, "left_semi").drop("_term", "_pos")
+        if slop:  # each place the term may stand at, so that lists meet by equality
+            wanted = wanted.withColumn("_pos", F.explode(F.sequence(F.col("_pos") - slop, F.col("_pos") + slop)))
+        kept = wanted.join(other, here & (F.col("_pos") == F.col("_at")), "left_semi").drop("_term", "_pos")
+        kept = kept.distinct() if slop else kept
         found = kept.unionByName(found.filter(F.size("anchors") <= k))
     return found.select("id", "version", "start", "window")
 
@@ -129,6 +128,29 @@ def exact_hits(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         F.array_distinct(F.col("hits.window")).alias("windows"))
 
 
+def near_hits(docs: DataFrame, candidates: DataFrame, slop: int) -> DataFrame:
+    """As :func:`exact_hits`, for windows all of whose words stand within ``slop`` words of their place.
+
+    Places are counted from the window's rarest term; n_hit counts the words that match.
+    """
+    per_doc = candidates.groupBy("id", "version").agg(F.collect_set(F.struct("start", "window")).alias("starts"))
+    per_doc = settled(per_doc, "near-starts").withColumnsRenamed({"id": "_id", "version": "_version"})
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    read = settled(
+        docs.join(per_doc, same).select("id", "version", words_of(F.col("text")).alias("w"), "starts"), "near-read")
+
+    def places(start: Column, window: Column) -> Column:
+        return F.transform(window, lambda term, k: F.filter(
+            F.sequence(start + k - slop, start + k + slop), lambda at: F.get(F.col("w"), at) == term))
+
+    placed = F.transform("starts", lambda s: F.struct(s["window"].alias("window"), places(s["start"], s["window"]).alias("at")))
+    true = F.filter(placed, lambda s: F.forall(s["at"], lambda at: F.size(at) > 0))
+    hits = read.select("id", "version", true.alias("hits")).filter("size(hits) > 0")
+    return hits.select(
+        "id", "version", F.size(F.array_distinct(F.flatten(F.flatten(F.col("hits.at"))))).cast("long").alias("n_hit"),
+        F.array_distinct(F.col("hits.window")).alias("windows"))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -137,23 +159,30 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = WINDOW,
+    slop: int = 0,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (their ids as text, sorted).
 
+    With ``slop``, also n_near and items_near: the same for windows all of whose words
+    stand within ``slop`` words of their place, the exact ones among them.
     What was found is written; all other tables on the way to it are removed.
     """
-    docs, found = _judged(docs, items, id_col, text_col, item_col, item_text_col, width)
+    docs, found = _judged(docs, items, id_col, text_col, item_col, item_text_col, width, slop)
     found = found.withColumnsRenamed({"id": "_id", "version": "_version"})
     counted = docs.select("id", "version", count_words(F.col("text")).alias("n_words"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
     none = F.array().cast("array<string>")
-    return counted.join(found, same, "left").select(
-        F.col("id").alias(id_col), "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    ends = ("", "hit"), ("_near", "near")
+    columns = [
+        c for end, n in ends[: 2 if slop else 1]
+        for c in (F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}"), F.coalesce(f"items{end}", none).alias(f"items{end}"))
+    ]
+    return counted.join(found, same, "left").select(F.col("id").alias(id_col), "n_words", *columns)
 
 
 def _judged(
-    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int,
+    slop: int,
 ) -> tuple[DataFrame, DataFrame]:
     """The documents as (id, text, version) and what was found in them, written."""
     docs = docs.select(
@@ -161,15 +190,27 @@ def _judged(
     docs = docs.withColumn("version", F.xxhash64("text"))
     with scratch(docs.sparkSession):
         windows = windows_of(items, item_col, item_text_col, width)
-        return docs, settled(_found(docs, windows), "found", outlives=True)
+        return docs, settled(_found(docs, windows, slop), "found", outlives=True)
 
 
-def _found(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Documents with occurrences: id, version, n_hit and the items' ids."""
+def _found(docs: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """Documents with occurrences: id, version, n_hit and the items' ids; with ``slop`` also near ones."""
     windows = settled(windows, "windows")
     anchors = settled(anchors_of(windows, term_counts(docs, windows)), "lists")
-    candidates = occurrences(postings_of(docs, anchors), anchors)
-    hits = settled(exact_hits(docs, candidates).dropDuplicates(["id", "version"]), "hits")
+    postings = postings_of(docs, anchors)
+    found = _owned(exact_hits(docs, occurrences(postings, anchors)), windows)
+    if not slop:
+        return found
+    near = _owned(near_hits(docs, occurrences(postings, anchors, slop=slop), slop), windows)
+    near = near.withColumnsRenamed({"n_hit": "n_near", "items": "items_near"})
+    found = found.withColumnsRenamed({"id": "_id", "version": "_version"})
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    return near.join(found, same, "left").drop("_id", "_version")
+
+
+def _owned(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """Hits with the ids of the items that have their windows."""
+    hits = settled(hits.dropDuplicates(["id", "version"]), "hits")
     owners = (
         hits.select("id", "version", F.explode("windows").alias("window"))
         .join(windows, "window")
@@ -182,12 +223,15 @@ def _found(docs: DataFrame, windows: DataFrame) -> DataFrame:
     ).select("id", "version", "n_hit", "items")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_documents(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int = 0
+) -> DataFrame:
     """The documents that no benchmark window occurs in, with their columns as they are.
 
-    A row goes for its own text only, whatever else stands under its id.
+    A row goes for its own text only, whatever else stands under its id. With ``slop``,
+    proximity matches count too.
     """
-    _, found = _judged(docs, items, id_col, text_col, "item_id", "text", WINDOW)
+    _, found = _judged(docs, items, id_col, text_col, "item_id", "text", WINDOW, slop)
     hit = found.select(F.col("id").alias("_hit_id"), F.col("version").alias("_hit_version"))
     same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (
         F.xxhash64(F.col(text_col).cast("string")) == F.col("_hit_version"))

@@ -173,6 +173,24 @@ def test_contamination_empty(spark):
     assert decontamination.contamination(docs.limit(0), none).count() == 0
 
 
+def test_contamination_by_proximity(spark):
+    """All ten words count, not the rarest three; an inserted word is found, a foreign one is not."""
+    q = [f"q{i}" for i in range(10)]
+    docs = [(1, " ".join(q), "s"), (2, " ".join([*q[:4], "x", *q[4:]]), "s"), (3, " ".join([*q[:4], "x", *q[5:]]), "s"),
+            (4, " ".join(q[3:] + q[:3]), "s"), (None, " ".join(["y", *q[:9], "x", q[9]]), "s"), (None, None, "s"),
+            (5, " ".join([q[1], q[0], *q[2:]]), "s"), (6, " ".join(["z", *q[:2], "x", "x", "x", *q[2:]]), "s")]
+    items = spark.createDataFrame([(1, " ".join(q)), (2, " ".join(q[:9]))], "item_id long, text string")
+    got = decontamination.contamination(rows_of(spark, docs), items, slop=1).collect()
+    seen = {r.doc_id if r.n_words or r.doc_id else "none": (r.n_hit, r["items"], r.n_near, r.items_near) for r in got}
+    assert seen == {
+        1: (10, ["1", "2"], 10, ["1", "2"]), 2: (0, [], 10, ["1", "2"]), 3: (0, [], 0, []), 4: (0, [], 0, []),
+        None: (9, ["2"], 10, ["1", "2"]), "none": (0, [], 0, []), 5: (0, [], 10, ["1", "2"]), 6: (0, [], 0, [])}
+    exact = decontamination.contamination(rows_of(spark, docs), items)
+    assert exact.columns == ["doc_id", "n_words", "n_hit", "items"]
+    kept = decontamination.clean_documents(rows_of(spark, docs), items, slop=1).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "6", "None"]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "gamma alpha")], "id long, text string")
     docs = docs.withColumn("version", F.lit(0).cast("long"))
