@@ -1,9 +1,10 @@
 """Operator 5: secret scan with assignment-aware lexing.
 
 Three base patterns find assignments, access keys and long hexadecimal runs. The
-method reads each line that holds ``=`` or ``:`` as source or configuration text:
-a lexer yields names, operators and literals, the parser turns them into
-name-literal pairs, names bound to a literal are propagated to names bound to
+method reads a text that holds ``=`` or ``:`` as source or configuration text:
+a lexer yields names, operators and literals over the whole text, the parser turns
+them into name-literal pairs; a type between name and ``=`` is passed over, and a value
+may stand on the next line, in brackets or in triple quotes. Then names bound to a literal are propagated to names bound to
 those names, adjacent literals joined by ``+`` count as one, and a literal is
 scored by how sensitive its names are and how random it looks. Spans are code
 points, end exclusive.
@@ -49,12 +50,21 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+# Quotes are possessive, so an open one costs no second look at what follows it.
 _TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
+    r"""(?P<triple>(?:(?<![A-Za-z0-9_])[rRbBuUfF]{1,2})?(?:\"{3}(?s:(?:(?!\"{3})[^\\]|\\.)*+)\"{3}|'{3}(?s:(?:(?!'{3})[^\\]|\\.)*+)'{3}))"""
+    r"""|(?P<string>(?:(?<![A-Za-z0-9_])[rRbBuUfF]{1,2})?(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`))"""
     r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+])"""
     r"""|(?P<word>[A-Za-z0-9_$@./~-]+(?:=+(?=[\s,;)\]}]|$))?)"""
+    r"""|(?P<end>\n)"""
     r"""|(?P<other>[^\s])"""
 )
+# An unquoted value goes on to white space, a delimiter or the next parameter.
+_BARE = re.compile(r"(?:[^\s,;\"'`()\[\]{}<>&]|&(?![A-Za-z_]\w*=))+")
+_OPENING = {"(", "[", "{"}
+_MOST_INSIDE = 16
+_TYPE = re.compile(
+    r"\s*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]*\]|<[^\n=]*>)?(?:\s*[|?]\s*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]*\])?)*\??\s*")
 _NAME = re.compile(r"[A-Za-z_$@][A-Za-z0-9_$@.-]*")
 _DECLARES = {"export", "set", "let", "const", "var", "val", "final", "static", "public", "private", "env"}
 _BINDS = {"=", ":", ":=", "=>"}
@@ -63,13 +73,14 @@ _BINDS = {"=", ":", ":=", "=>"}
 _SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 1.0,
     "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0,
-    "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "signature": 0.5, "salt": 0.5,
-    "key": 0.5, "pin": 0.4, "session": 0.4, "cookie": 0.4,
+    "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "signature": 0.58, "salt": 0.58,
+    "key": 0.58, "pin": 0.7, "session": 0.58, "cookie": 0.58,
 }
 _PLACEHOLDER = re.compile(
     r"(?i)example|changeme|placeholder|your[_-]|dummy|x{4,}|\*{3,}|^(?:true|false|null|none)$"
 )
-_LEAST_LITERAL = 8
+_LEAST_LITERAL = 4
+_LEAST_OF_LETTERS = 8
 _REPORT_FROM = 0.5
 
 
@@ -83,35 +94,98 @@ def sensitivity(name: str) -> float:
 
 def randomness(literal: str) -> float:
     """0 to 1: character entropy against that of a random literal of the same length."""
-    if len(literal) < _LEAST_LITERAL or _PLACEHOLDER.search(literal) or any(c.isspace() for c in literal):
+    least = _LEAST_OF_LETTERS if literal.isalpha() else _LEAST_LITERAL
+    if len(literal) < least or _PLACEHOLDER.search(literal) or any(c.isspace() for c in literal):
         return 0.0
     size = len(literal)
     bits = -sum(c / size * math.log2(c / size) for c in Counter(literal).values())
     return min(1.0, bits / min(math.log2(size), 4.0))
 
 
-def bindings(line: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    """Names a line binds, each with the terms of its value: (kind, text, start, end)."""
+Token = tuple[str, str, int, int]
+
+
+def tokens_of(text: str) -> list[Token]:
+    """(kind, value, start, end) of the names, operators, literals and line ends of a text."""
     tokens = []
-    for m in _TOKEN.finditer(line):
+    for m in _TOKEN.finditer(text):
         kind, value, (start, end) = m.lastgroup, m[0], m.span()
-        if kind == "string":
-            value, start, end = value[1:-1], start + 1, end - 1
+        if kind in ("string", "triple"):
+            prefix = len(value) - len(value.lstrip("rRbBuUfF"))
+            quotes = 3 if kind == "triple" else 1
+            start, end = start + prefix + quotes, end - quotes
+            if kind == "triple":  # without the white space inside its quotes
+                start += len(text[start:end]) - len(text[start:end].lstrip())
+                end = start + len(text[start:end].rstrip())
+            kind, value = "string", text[start:end]
         elif kind == "word" and value.endswith(":"):
             value, end = value[:-1], end - 1
         tokens.append((kind, value, start, end))
-    for i, (kind, value, _, _) in enumerate(tokens):
-        if kind != "op" or value not in _BINDS or i == 0 or tokens[i - 1][0] not in ("word", "string"):
-            continue
-        name = tokens[i - 1][1]
-        if not _NAME.fullmatch(name) or name in _DECLARES:
+    return tokens
+
+
+def _names_bound(text: str, tokens: list[Token]) -> dict[int, str]:
+    """The name each operator binds. Where a type stands before ``=``, its colon binds nothing."""
+    names: dict[int, str] = {}
+    colon = None
+    for i, (kind, value, start, end) in enumerate(tokens):
+        if kind == "end":
+            colon = None
+        if kind != "op" or value not in _BINDS or i == 0:
             continue
-        terms, j = [], i + 1
-        while j < len(tokens) and tokens[j][0] in ("word", "string"):
-            terms.append(tokens[j])
-            if j + 1 < len(tokens) and tokens[j + 1][1] == "+":
-                j += 2
+        name, before = tokens[i - 1][1], tokens[i - 1][0]
+        if value == "=" and colon in names and start - tokens[colon][3] < 200 and _TYPE.fullmatch(text, tokens[colon][3], start):
+            names[i] = names.pop(colon)
+        elif before in ("word", "string") and _NAME.fullmatch(name) and name not in _DECLARES:
+            names[i] = name
+        colon = i if value == ":" else None
+    return names
+
+
+def bindings(text: str) -> Iterator[tuple[str, list[Token]]]:
+    """Names a text binds, each with the terms of its value: (kind, text, start, end)."""
+    tokens = tokens_of(text)
+    reach, inside = -1, 0
+    for i, name in _names_bound(text, tokens).items():
+        # Operators inside an unquoted value have values too, which end with a word from the 16th on.
+        inside = inside + 1 if tokens[i][3] <= reach else 0
+        terms, j, brackets = [], i + 1, 0
+        while j < len(tokens) and (tokens[j][0] == "end" or tokens[j][1] in _OPENING and tokens[j][0] == "other"):
+            brackets += tokens[j][0] != "end"
+            j += 1
+        lines = any(t[0] == "end" for t in tokens[i + 1 : j])
+        while j < len(tokens) and tokens[j][0] in ("word", "string", "other"):
+            term = tokens[j]
+            if term[0] != "string" and not (term[0] == "word" and inside >= _MOST_INSIDE):
+                m = _BARE.match(text, term[2])
+                joined = j + 1 < len(tokens) and tokens[j + 1][1] == "+" and (
+                    term[0] == "word" and (brackets or text[term[3] : term[3] + 1] != "+"))
+                if m and m.end() > term[3] and not joined:
+                    if term[3] < len(text) and text[term[3]] in ":=" and term[0] == "word" and (lines or brackets):
+                        break  # the next line or the bracket binds a name of its own
+                    term = ("word", m[0], m.start(), m.end())
+                    reach = max(reach, m.end())
+                elif not m:
+                    break
+            terms.append(term)
+            j += 1
+            while j < len(tokens) and tokens[j][2] < term[3]:
+                j += 1
+            k = j
+            while k < len(tokens) and tokens[k][0] == "end":
+                k += 1
+            if k < len(tokens) and tokens[k][1] == "+":
+                j = k + 1
+                while j < len(tokens) and tokens[j][0] == "end":
+                    j += 1
+            elif brackets and term[0] == "string" and k < len(tokens) and tokens[k][0] == "string":
+                j = k  # literals side by side in brackets are one
             else:
+                # After a line end or a bracket, what stands before = or : is a name, not a value,
+                # and a bare word of letters is prose or code.
+                names_next = k == j and k < len(tokens) and tokens[k][0] == "op" and tokens[k][1] in _BINDS
+                if (lines or brackets) and (names_next or term[0] == "word" and term[1].isalpha()):
+                    terms = []
                 break
         if terms:
             yield name, terms
@@ -121,26 +195,22 @@ def lexed_spans(text: str) -> list[Span]:
     """Literals whose names, directly or through other names, are sensitive."""
     constants: dict[str, tuple[str, int, int]] = {}
     found: dict[Span, None] = {}
-    offset = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for name, terms in bindings(line):
-                weight = sensitivity(name)
-                kind, value, start, end = terms[0]
-                if len(terms) == 1 and kind == "word" and value in constants:
-                    literal, start, end = constants[value]
-                    constants[name] = literal, start, end
-                    if weight * randomness(literal) >= _REPORT_FROM:
-                        found["constant", start, end] = None
-                    continue
-                literal = "".join(
-                    constants[t[1]][0] if t[0] == "word" and t[1] in constants else t[1] for t in terms
-                )
-                start, end = start + offset, terms[-1][3] + offset
-                constants[name] = literal, start, end
-                if weight * randomness(literal) >= _REPORT_FROM:
-                    found["literal", start, end] = None
-        offset += len(line) + 1
+    for name, terms in bindings(text):
+        weight = sensitivity(name)
+        kind, value, start, end = terms[0]
+        if len(terms) == 1 and kind == "word" and value in constants:
+            literal, start, end = constants[value]
+            constants[name] = literal, start, end
+            if weight * randomness(literal) >= _REPORT_FROM:
+                found["constant", start, end] = None
+            continue
+        literal = "".join(
+            constants[t[1]][0] if t[0] == "word" and t[1] in constants else t[1] for t in terms
+        )
+        end = terms[-1][3]
+        constants[name] = literal, start, end
+        if weight * randomness(literal) >= _REPORT_FROM:
+            found["literal", start, end] = None
     return list(found)
 
 
