@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm import (
+    byte_bpe,
     compression_rules,
     decontamination,
     language_id,
@@ -101,11 +102,22 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "reliable")
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests."""
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_ngram_join, op2_quality_classifier, op3_token_packing, op4_compression_rules,
         op5_secret_scan, op6_decontamination, op7_token_counts, op8_mixing, op9_sharding,
-        op10_language_id,
+        op10_language_id, op12_byte_bpe,
     ]
     return {query.__name__: query for query in found}
 
