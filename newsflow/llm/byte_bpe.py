@@ -222,7 +222,8 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("id"), lists, decoded.cast(pa.binary())], ["id", "ids", "decoded"])
 
 
-def _type(df: DataFrame, column: str) -> str:
+def column_type(df: DataFrame, column: str) -> str:
+    """Spark's name of the type of a column."""
     return df.select(F.col(column)).schema[0].dataType.simpleString()
 
 
@@ -232,12 +233,12 @@ def encode(
     """``ids`` of every document."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     job = partial(_encode, path=f"{folder}/{RANKS}", pattern=pattern)
-    return texts.mapInArrow(job, f"id {_type(docs, id_col)}, ids array<int>").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(job, f"id {column_type(docs, id_col)}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", folder: str = TOKENIZERS) -> DataFrame:
     """``decoded`` bytes of every row of ids, beside the ids."""
     lists = coded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     job = partial(_decode, path=f"{folder}/{RANKS}")
-    schema = f"id {_type(coded, id_col)}, ids array<int>, decoded binary"
+    schema = f"id {column_type(coded, id_col)}, ids array<int>, decoded binary"
     return lists.mapInArrow(job, schema).withColumnsRenamed({"id": id_col, "ids": ids_col})

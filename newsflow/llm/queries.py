@@ -23,6 +23,7 @@ from newsflow.llm import (
     quality_model,
     secret_scan,
     sharding,
+    token_alignment,
     token_counts,
 )
 
@@ -113,11 +114,19 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenizers in every document."""
+    docs = table(spark, folder, "documents")
+    found = token_alignment.align(docs, token_alignment.pair_counts(docs))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_ngram_join, op2_quality_classifier, op3_token_packing, op4_compression_rules,
         op5_secret_scan, op6_decontamination, op7_token_counts, op8_mixing, op9_sharding,
-        op10_language_id, op12_byte_bpe,
+        op10_language_id, op12_byte_bpe, op13_token_alignment,
     ]
     return {query.__name__: query for query in found}
 
