@@ -121,6 +121,51 @@ SELECT doc_id, size, source_size, target,
 FROM laid LEFT JOIN owned USING (number), total
 """
 
+OP11 = rf"""
+WITH
+pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS f
+  FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+  )
+  GROUP BY lang, m, phrase
+),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
+    ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) AS c
+  JOIN grams AS l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN grams AS r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, k + 1, c.m), ' ')
+),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, max(a) AS longer
+  FROM (
+    SELECT lang, w, a, size, unnest(range(1, m - size + 2)) AS i
+    FROM candidates, (SELECT unnest([2, 3]) AS size) WHERE size < m
+  )
+  GROUP BY 1, 2
+),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op6_decontamination": OP6, "op8_mixing": OP8}
+    return {"op1_ngram_join": OP1, "op6_decontamination": OP6, "op8_mixing": OP8, "op11_collocations": OP11}

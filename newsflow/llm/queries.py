@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsflow.llm import (
     byte_bpe,
+    collocations,
     compression_rules,
     decontamination,
     language_id,
@@ -103,6 +104,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "reliable")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.mine_phrases(table(spark, folder, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents")))
@@ -126,7 +132,7 @@ def queries() -> dict[str, Query]:
     found = [
         op1_ngram_join, op2_quality_classifier, op3_token_packing, op4_compression_rules,
         op5_secret_scan, op6_decontamination, op7_token_counts, op8_mixing, op9_sharding,
-        op10_language_id, op12_byte_bpe, op13_token_alignment,
+        op10_language_id, op11_collocations, op12_byte_bpe, op13_token_alignment,
     ]
     return {query.__name__: query for query in found}
 
