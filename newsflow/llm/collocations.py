@@ -10,20 +10,21 @@ candidate that holds its words has ``covered`` percent of its occurrences or mor
 occurrences than what lies between). Of each language the ``top`` best remain.
 
 The search is best-first branch and bound, in rounds. Words and word pairs are counted
-in full. A phrase grown from the prefix p has at most f(p) occurrences, and its first
+in full. A phrase grown from the pair p has at most f(p) occurrences, and its first
 word has l = f(first), so it scores at most floor(2000000 f(p) / (f(first) + f(p))).
-A round supposes a lowest score t for each language, first that of its ``top``-th best
-pair. The prefixes whose bound reaches t are the frontier: only they are grown, word by
-word, and only candidates with a score of t are checked for longer ones. If ``top``
-candidates survive, no phrase outside the frontier can be among them and the language
-is settled, ties included. Otherwise t sinks to the score of a pair four times further
-down, in the end to 0, where every candidate is looked at.
+A round supposes a lowest score t for each language, first that of its pair at
+one and a half times ``top``. The pairs whose bound reaches t are the frontier (every pair that scores t is
+one of them): only they are grown, to full length, and one word to the left to see
+what covers them. If ``top`` candidates with a score of t survive, no phrase outside
+the frontier can be among the best and the language is settled, ties included.
+Otherwise t sinks to the score of a pair four times further down, in the end to 0,
+where every candidate is looked at.
 
 Phrases are counted next to the scan: a task counts the windows of its texts that pass
 a filter, Spark adds them up. A filter is a table of ``2 ** FILTER_BITS`` bits set by
-hashes of the phrases to grow or to check, of one size whatever the corpus. A phrase
-that passes by chance is counted exactly too, which changes nothing. Words are told
-apart by 64-bit hashes; two words of a language with one hash would raise an error.
+hashes of phrases, of one size whatever the corpus. A phrase that passes by chance is
+counted exactly too, which changes nothing. Words are told apart by 64-bit hashes of
+language and word; two with one hash would raise an error.
 
 NULL and empty texts have no words; a NULL language is ``und``. Repeated rows count
 each. Bytes that are not UTF-8 belong to words and are shown as U+FFFD. Without
@@ -33,7 +34,7 @@ candidates the result is empty. Texts of any length are read whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -64,7 +65,7 @@ def _names(width: int, first: int = 1) -> list[str]:
 
 
 def _key(parts: list[np.ndarray]) -> np.ndarray:
-    """One hash of a language and a row of words."""
+    """One hash of a row of hashes."""
     return reduce(lambda whole, part: mixed(whole * _STEP + part), parts)
 
 
@@ -75,7 +76,7 @@ def _language_hashes(names: list[str]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class _Slice:
-    """Words of some rows: place, hash, number of piece and of language."""
+    """Words of some rows: place, hash of language and word, number of piece and of language."""
 
     rows: Texts
     found: Words
@@ -84,13 +85,22 @@ class _Slice:
     lang: np.ndarray
     languages: list[str]
 
-    @property
-    def lang_hash(self) -> np.ndarray:
-        return _language_hashes(self.languages)[self.lang]
+    def windows(self, width: int) -> np.ndarray:
+        """First words of all windows inside a piece."""
+        count = max(len(self.hashes) - width + 1, 0)
+        last, row = slice(width - 1, width - 1 + count), self.found.row
+        return np.flatnonzero((row[:count] == row[last]) & (self.piece[:count] == self.piece[last]))
 
-    def language_column(self, at: np.ndarray) -> pa.Array:
-        numbers = pa.array(self.lang[at], pa.int32())
-        return pa.DictionaryArray.from_arrays(numbers, pa.array(self.languages, pa.string())).cast(pa.string())
+    def parts(self, at: np.ndarray, width: int) -> list[np.ndarray]:
+        return [self.hashes[at + i] for i in range(width)]
+
+    def counted(self, at: np.ndarray, width: int, longest: int) -> pa.RecordBatch:
+        """How often each window occurs; words beyond ``width`` are NULL."""
+        _, chosen, counts = np.unique(_key(self.parts(at, width)), return_index=True, return_counts=True)
+        more = [pa.nulls(len(chosen), pa.int64())] * (longest - width)
+        return pa.RecordBatch.from_arrays(
+            [*[column(part) for part in self.parts(at[chosen], width)], *more, pa.array(counts.astype(np.int64))],
+            [*_names(longest), "n"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
@@ -99,58 +109,55 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
         if not len(found.start):
             continue
         coded = pc.fill_null(batch.column("lang"), UNKNOWN).dictionary_encode()
+        names = coded.dictionary.to_pylist()
         lang = coded.indices.to_numpy(zero_copy_only=False)[found.row]
-        piece = np.cumsum(_IS_END[rows.data])[found.start]
-        yield _Slice(rows, found, word_hashes(rows, found, lower=True), piece, lang, coded.dictionary.to_pylist())
+        hashes = _key([_language_hashes(names)[lang], word_hashes(rows, found, lower=True)])
+        yield _Slice(rows, found, hashes, np.cumsum(_IS_END[rows.data])[found.start], lang, names)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for own in _read(batches):
-        _, at, counts = np.unique(_key([own.lang_hash, own.hashes]), return_index=True, return_counts=True)
+        hashes, at, counts = np.unique(own.hashes, return_index=True, return_counts=True)
         lower, found = _LOWER[own.rows.data], own.found
         spelled = [lower[found.start[i] : found.end[i]].tobytes().decode("utf-8", "replace") for i in at]
+        numbers = pa.array(own.lang[at], pa.int32())
+        lang = pa.DictionaryArray.from_arrays(numbers, pa.array(own.languages, pa.string())).cast(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [own.language_column(at), column(own.hashes[at]), pa.array(spelled, pa.string()),
-             pa.array(counts.astype(np.int64))],
+            [lang, column(hashes), pa.array(spelled, pa.string()), pa.array(counts.astype(np.int64))],
             ["lang", "w1", "word", "n"])
 
 
-@dataclass(frozen=True)
-class Passing:
-    """Which windows to count: ``head`` is without the last word, ``tail`` without the first.
-
-    One filter that lets a window pass is enough, or ``every`` one must.
-    """
-
-    head: np.ndarray | None = None
-    tail: np.ndarray | None = None
-    whole: np.ndarray | None = None
-    every: bool = False
+def _count_pairs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of words that pass the filter."""
+    for own in _read(batches):
+        good = _holds(frequent, _key([own.hashes]))
+        at = own.windows(2)
+        yield own.counted(at[good[at] & good[at + 1]], 2, 2)
 
-    def __call__(self, lang_hash: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
-        checks = []
-        for bits, own in ((self.head, parts[:-1]), (self.tail, parts[1:]), (self.whole, parts)):
-            if bits is not None:
-                checks.append(_holds(bits, _key([lang_hash, *own])))
-        if not checks:
-            return np.zeros(len(lang_hash), bool)
-        return np.logical_and.reduce(checks) if self.every else np.logical_or.reduce(checks)
 
+def _grow(
+    batches: Iterator[pa.RecordBatch], longest: int, frequent: np.ndarray, frontier: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Windows of 3 to ``longest`` words all of whose pairs are frequent.
 
-def _count_windows(batches: Iterator[pa.RecordBatch], width: int, passing: Passing) -> Iterator[pa.RecordBatch]:
+    Their first pair is of the frontier, or the second, seen from one word further left.
+    """
     for own in _read(batches):
-        count = max(len(own.hashes) - width + 1, 0)
-        last, row = slice(width - 1, width - 1 + count), own.found.row
-        at = np.flatnonzero((row[:count] == row[last]) & (own.piece[:count] == own.piece[last]))
-        lang_hash = own.lang_hash
-        at = at[passing(lang_hash[at], [own.hashes[at + i] for i in range(width)])]
-        whole = _key([lang_hash[at], *[own.hashes[at + i] for i in range(width)]])
-        _, chosen, counts = np.unique(whole, return_index=True, return_counts=True)
-        at = at[chosen]
-        yield pa.RecordBatch.from_arrays(
-            [own.language_column(at), *[column(own.hashes[at + i]) for i in range(width)],
-             pa.array(counts.astype(np.int64))],
-            ["lang", *_names(width), "n"])
+        pair = np.zeros(len(own.hashes) + 1, bool)
+        grown = pair.copy()
+        at = own.windows(2)
+        keys = _key(own.parts(at, 2))
+        pair[at], grown[at] = _holds(frequent, keys), _holds(frontier, keys)
+        for width in range(3, longest + 1):
+            at = own.windows(width)
+            good = np.logical_and.reduce([pair[at + i] for i in range(width - 1)])
+            yield own.counted(at[good & (grown[at] | grown[at + 1])], width, longest)
+
+
+def _count_given(batches: Iterator[pa.RecordBatch], width: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for own in _read(batches):
+        at = own.windows(width)
+        yield own.counted(at[_holds(wanted, _key(own.parts(at, width)))], width, width)
 
 
 def _spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,24 +178,20 @@ def _cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     for batch in batches:
         if not len(batch):
             continue
-        coded = batch.column("lang").dictionary_encode()
-        lang = _language_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        keys = _key([lang, *[batch.column(n).to_numpy().view(np.uint64) for n in _names(width)]])
+        keys = _key([batch.column(n).to_numpy().view(np.uint64) for n in _names(width)])
         spots = np.unique(np.concatenate(_spots(keys)))
         cell, first = np.unique(spots >> np.uint64(6), return_index=True)
         bits = np.bitwise_or.reduceat(np.uint64(1) << (spots & np.uint64(63)), first)
         yield pa.RecordBatch.from_arrays([column(cell), column(bits)], ["cell", "bits"])
 
 
-def phrase_filter(phrases: DataFrame, width: int) -> np.ndarray | None:
-    """Bit table of phrases (lang, w1, ...); None without any.
+def phrase_filter(phrases: DataFrame, width: int) -> np.ndarray:
+    """Bit table of phrases (w1, ...).
 
     At most ``2 ** (FILTER_BITS - 6)`` rows reach the driver.
     """
-    cells = phrases.select("lang", *_names(width)).mapInArrow(partial(_cells, width=width), "cell long, bits long")
+    cells = phrases.select(*_names(width)).mapInArrow(partial(_cells, width=width), "cell long, bits long")
     rows = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    if not rows.num_rows:
-        return None
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[rows["cell"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return bits
@@ -206,24 +209,25 @@ class Corpus:
         """All words: lang, w1 (hash), word, n."""
         found = self.texts.mapInArrow(_count_words, "lang string, w1 long, word string, n long")
         total = settled(found.groupBy("lang", "w1", "word").agg(F.sum("n").alias("n")), "phrase-words")
-        clash = total.groupBy("lang", "w1").count().filter("count > 1").head(1)
+        clash = total.groupBy("w1").count().filter("count > 1").head(1)
         if clash:
-            raise ValueError(f"two words of language {clash[0].lang!r} share the hash {clash[0].w1}")
+            raise ValueError(f"two words share the hash {clash[0].w1}")
         return total
 
-    def windows(self, width: int, passing: Passing) -> DataFrame:
-        """Windows that pass and occur often enough: lang, w1, ..., n."""
-        schema = ", ".join(["lang string", *[f"{name} long" for name in [*_names(width), "n"]]])
-        found = self.texts.mapInArrow(partial(_count_windows, width=width, passing=passing), schema)
-        total = found.groupBy("lang", *_names(width)).agg(F.sum("n").alias("n"))
-        return settled(total.filter(F.col("n") >= self.least), f"phrases-{width}")
+    def windows(self, count: Callable, width: int, name: str) -> DataFrame:
+        """Windows that ``count`` finds and that occur often enough: w1, ..., n."""
+        names = _names(width)
+        found = self.texts.mapInArrow(count, ", ".join(f"{n} long" for n in [*names, "n"]))
+        total = found.groupBy(*names).agg(F.sum("n").alias("n"))
+        return settled(total.filter(F.col("n") >= self.least), name)
 
 
-def _joined(rows: DataFrame, counts: DataFrame, width: int, first: int, name: str, how: str = "inner") -> DataFrame:
+def _joined(rows: DataFrame, counts: DataFrame, width: int, first: int, name: str, *more: str) -> DataFrame:
     """Add the count of the ``width`` words from ``first`` on as ``name``."""
-    renamed = counts.select("lang", *[F.col(a).alias(b) for a, b in zip(_names(width), _names(width, first))],
-                            F.col("n").alias(name))
-    return rows.join(renamed, ["lang", *_names(width, first)], how)
+    names = _names(width, first)
+    renamed = counts.select(
+        *[F.col(a).alias(b) for a, b in zip(_names(width), names)], F.col("n").alias(name), *more)
+    return rows.join(renamed, names)
 
 
 def _ratio(a: str, total: str) -> str:
@@ -238,7 +242,7 @@ def _wide(*counts: str) -> str:
 def scored(tables: dict[int, DataFrame], width: int, cuts: list[int] | None = None) -> DataFrame:
     """Phrases with score, l and r of the lowest-scoring cut, and the bound of what grows from them."""
     cuts = cuts or list(range(1, width))
-    rows = _joined(tables[width], tables[1], 1, 1, "first")
+    rows = _joined(tables[width], tables[1], 1, 1, "first", "lang")
     for k in cuts:
         rows = _joined(rows, tables[k], k, 1, f"l{k}")
         rows = _joined(rows, tables[width - k], width - k, k + 1, f"r{k}")
@@ -252,10 +256,10 @@ def scored(tables: dict[int, DataFrame], width: int, cuts: list[int] | None = No
 def _uncovered(rows: DataFrame, longer: DataFrame, width: int, covered: int) -> DataFrame:
     """Phrases that no phrase of one word more covers."""
     names = _names(width)
-    sides = [longer.select("lang", *[F.col(f"w{i + s}").alias(f"w{i}") for i in range(1, width + 1)], "n") for s in (0, 1)]
-    most = sides[0].unionByName(sides[1]).groupBy("lang", *names).agg(F.max("n").alias("most"))
+    sides = [longer.select(*[F.col(f"w{i + s}").alias(f"w{i}") for i in range(1, width + 1)], "n") for s in (0, 1)]
+    most = sides[0].unionByName(sides[1]).groupBy(*names).agg(F.max("n").alias("most"))
     kept = f"most IS NULL OR 100 * cast(most AS DECIMAL(20,0)) < {covered} * cast(n AS DECIMAL(20,0))"
-    return rows.join(most, ["lang", *names], "left").filter(kept).drop("most")
+    return rows.join(most, names, "left").filter(kept).drop("most")
 
 
 def _score_at(scores: DataFrame, place: int) -> DataFrame:
@@ -275,21 +279,28 @@ def _padded(rows: DataFrame, width: int, longest: int) -> DataFrame:
     return rows.select("lang", *_names(width), *more, "n", "score", "l", "r")
 
 
-def _round(corpus: Corpus, tables: dict[int, DataFrame], pairs: DataFrame, longest: int, covered: int) -> DataFrame:
+def _round(
+    corpus: Corpus, tables: dict[int, DataFrame], frequent: np.ndarray, pairs: DataFrame, longest: int, covered: int
+) -> DataFrame:
     """Surviving candidates with at least the supposed ``least_score`` of their language."""
-    tables, level, found = dict(tables), pairs, []
-    lowest = pairs.select("lang", "least_score").distinct()
+    tables, lowest = dict(tables), pairs.select("lang", "least_score").distinct()
+    if longest > 2:
+        frontier = phrase_filter(pairs.filter("bound >= least_score"), 2)
+        grow = partial(_grow, longest=longest, frequent=frequent, frontier=frontier)
+        grown = corpus.windows(grow, longest, "phrases-grown")
+        for width in range(3, longest + 1):
+            own = grown.filter(f"w{width} IS NOT NULL")
+            own = own if width == longest else own.filter(f"w{width + 1} IS NULL")
+            tables[width] = own.select(*_names(width), "n")
+    level, found = pairs, []
     for width in range(2, longest + 1):
+        if width > 2:
+            _count_rests(corpus, tables, lowest, width)
+            level = scored(tables, width).join(lowest, "lang")
         checked = level.filter("score >= least_score")
-        if width == longest:
-            found.append(_padded(checked, width, longest))
-            break
-        grown = level.filter("bound >= least_score OR score >= least_score")
-        passing = Passing(head=phrase_filter(grown, width), tail=phrase_filter(checked, width))
-        tables[width + 1] = corpus.windows(width + 1, passing)
-        found.append(_padded(_uncovered(checked, tables[width + 1], width, covered), width, longest))
-        _count_rests(corpus, tables, lowest, width + 1)
-        level = settled(scored(tables, width + 1).join(lowest, "lang"), f"phrases-{width + 1}-scored")
+        if width < longest:
+            checked = _uncovered(checked, tables[width + 1], width, covered)
+        found.append(_padded(checked, width, longest))
     return settled(reduce(DataFrame.unionByName, found), "phrases-surviving")
 
 
@@ -302,13 +313,13 @@ def _count_rests(corpus: Corpus, tables: dict[int, DataFrame], lowest: DataFrame
     known = [k for k in range(1, width) if width - k <= 2]
     for size in range(3, width):
         open_ = scored(tables, width, known).join(lowest, "lang").filter("score >= least_score")
-        rest = open_.select("lang", *[F.col(f"w{i + width - size}").alias(f"w{i}") for i in range(1, size + 1)])
-        missing = rest.distinct().join(tables[size], ["lang", *_names(size)], "left_anti")
-        wanted = phrase_filter(missing, size)
-        if wanted is not None:
-            more = corpus.windows(size, Passing(whole=wanted))
-            more = more.join(tables[size], ["lang", *_names(size)], "left_anti")
-            tables[size] = settled(tables[size].unionByName(more), f"phrases-{size}")
+        rest = open_.select(*[F.col(f"w{i + width - size}").alias(f"w{i}") for i in range(1, size + 1)])
+        missing = settled(rest.distinct().join(tables[size], _names(size), "left_anti"), "phrases-wanted")
+        if missing.isEmpty():
+            continue
+        count = partial(_count_given, width=size, wanted=phrase_filter(missing, size))
+        more = corpus.windows(count, size, f"phrases-{size}").join(tables[size], _names(size), "left_anti")
+        tables[size] = settled(tables[size].unionByName(more), f"phrases-{size}")
 
 
 def mine_phrases(
@@ -323,15 +334,17 @@ def mine_phrases(
     """The best phrases of every language: lang, rank, phrase, a, l, r, n, score."""
     corpus = Corpus(docs, text_col, lang_col, least)
     vocabulary = corpus.words()
-    frequent = settled(vocabulary.filter(F.col("n") >= least).select("lang", "w1", "n"), "phrases-1")
-    bits = phrase_filter(frequent, 1)
-    tables = {1: frequent, 2: corpus.windows(2, Passing(head=bits, tail=bits, every=True))}
+    words_ = settled(vocabulary.filter(F.col("n") >= least).select("lang", "w1", "n"), "phrases-1")
+    count = partial(_count_pairs, frequent=phrase_filter(words_, 1))
+    tables = {1: words_, 2: corpus.windows(count, 2, "phrases-2")}
     pairs = settled(scored(tables, 2), "phrases-2-scored")
+    frequent = phrase_filter(pairs, 2)
 
-    place, waiting, surviving = top, pairs, []
+    # Half as many pairs again as asked for, since longer phrases cover some.
+    place, waiting, surviving = top * 3 // 2, pairs, []
     while True:
         supposed = settled(_score_at(waiting, place), "phrase-scores")
-        found = _round(corpus, tables, waiting.join(supposed, "lang"), longest, covered)
+        found = _round(corpus, tables, frequent, waiting.join(supposed, "lang"), longest, covered)
         survivors = found.groupBy("lang").agg(F.count("*").alias("survivors"))
         state = supposed.join(survivors, "lang", "left")
         state = settled(state.select(
@@ -345,8 +358,8 @@ def mine_phrases(
     rows = settled(reduce(DataFrame.unionByName, surviving), "phrases-found")
     rows = rows.join(_score_at(rows, top), "lang").filter("score >= least_score")
     for i in range(1, longest + 1):
-        spelled = vocabulary.select("lang", F.col("w1").alias(f"w{i}"), F.col("word").alias(f"word{i}"))
-        rows = rows.join(spelled, ["lang", f"w{i}"], "left")
+        spelled = vocabulary.select(F.col("w1").alias(f"w{i}"), F.col("word").alias(f"word{i}"))
+        rows = rows.join(spelled, f"w{i}", "left")
     rows = rows.withColumn("phrase", F.concat_ws(" ", *[f"word{i}" for i in range(1, longest + 1)]))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
