@@ -39,9 +39,13 @@ RANKS = "byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are cut into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Distinct pre-tokens, and bytes of them, that a task keeps.
-_MOST_KNOWN, _MOST_BYTES = 300_000, 16 << 20
-_SLICE_BYTES = 4 << 20
-_SHIFT = 32
+_MOST_KNOWN, _MOST_BYTES = 200_000, 8 << 20
+# Bytes of text encoded, and ids decoded, at once.
+_SLICE_BYTES, _SLICE_IDS = 6 << 20, 1 << 19
+# A pair of tokens as one number. Above every rank, so a place without token makes no pair.
+_RADIX = 1 << 24
+# Up to so many places are merged one by one.
+_FEW = 8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,82 +67,134 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.pairs: dict[int, int] = {}
+        self.makers: dict[int, list[int]] = {}
+        # Tokens that can make a pair of a lower rank than their own.
+        self.unordered: set[int] = set()
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << _SHIFT | right] = rank
+                    pair = left * _RADIX + right
+                    self.pairs[pair] = rank
+                    self.makers.setdefault(rank, []).append(pair)
+                    self.unordered.update(part for part in (left, right) if part > rank)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self._pairs = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
+        self._made = np.array([self.pairs[p] for p in self._pairs.tolist()], np.int64)
 
-    def _index(self, tokens: np.ndarray, last: np.ndarray) -> dict[int, list[int]]:
-        """Places of all pairs that have a merge, by the rank of the merge."""
-        inside = np.ones(len(tokens), bool)
-        inside[last] = False
-        at = np.flatnonzero(inside)
-        pairs, which = np.unique(tokens[at] << _SHIFT | tokens[at + 1], return_inverse=True)
-        rank = np.array([self.pairs.get(p, -1) for p in pairs.tolist()], np.int64)[which]
-        at, rank = at[rank >= 0], rank[rank >= 0]
-        order = np.argsort(rank, kind="stable")
-        found, first = np.unique(rank[order], return_index=True)
-        return dict(zip(found.tolist(), (part.tolist() for part in np.split(at[order], first[1:]))))
+    def made(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs make, -1 where they make none."""
+        if not len(self._pairs):
+            return np.full(len(pairs), -1)
+        at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pairs, self._made[at], -1)
 
     def replay(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each word has."""
         sizes = np.array([len(w) for w in words], np.int64)
         if not sizes.sum():
             return np.zeros(0, np.int32), sizes
-        start = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        ends = np.cumsum(sizes)
-        index = self._index(start, ends[sizes > 0] - 1)
-        after, before = np.arange(1, len(start) + 1), np.arange(-1, len(start) - 1)
-        after[ends[sizes > 0] - 1] = -1
-        before[(ends - sizes)[sizes > 0]] = -1
-        tokens, after, before = start.tolist(), after.tolist(), before.tolist()
-        self._merge_all(tokens, after, before, index)
-        merged = np.array(tokens, np.int64)
-        kept = np.concatenate(([0], np.cumsum(merged >= 0)))
+        line = _Line(self, np.frombuffer(b"".join(words), np.uint8), sizes)
+        line.merge_all()
+        merged = line.tokens[:-1]
+        ends, kept = np.cumsum(sizes), np.concatenate(([0], np.cumsum(merged >= 0)))
         return merged[merged >= 0].astype(np.int32), kept[ends] - kept[ends - sizes]
 
-    def _merge_all(self, tokens: list, after: list, before: list, index: dict[int, list[int]]) -> None:
-        """Apply every merge in rank order; a place that was merged away becomes -1."""
-        made = self.pairs.get
-        waiting = list(index)
-        heapify(waiting)
-
-        def enter(rank: int, place: int) -> None:
-            if rank in index:
-                index[rank].append(place)
-            else:
-                index[rank] = [place]
-                heappush(waiting, rank)
-
-        while waiting:
-            rank = heappop(waiting)
-            places = index.pop(rank)
-            places.sort()
-            for done, place in enumerate(places, 1):
-                right = after[place]
-                if right < 0 or tokens[place] < 0 or made(tokens[place] << _SHIFT | tokens[right]) != rank:
-                    continue
-                tokens[place], tokens[right] = rank, -1
-                behind, ahead, lowest = before[place], after[right], rank
-                after[place] = ahead
-                if ahead >= 0:
-                    before[ahead] = place
-                    new = made(rank << _SHIFT | tokens[ahead])
-                    if new is not None:
-                        enter(new, place)
-                        lowest = min(lowest, new)
-                if behind >= 0:
-                    new = made(tokens[behind] << _SHIFT | rank)
-                    if new is not None:
-                        enter(new, behind)
-                        lowest = min(lowest, new)
-                if lowest < rank:
-                    # A lower rank came up: it goes first, the rest of this one waits.
-                    for place in places[done:]:
-                        enter(rank, place)
-                    break
+
+class _Line:
+    """Words laid end to end, their places linked, and the index of their pairs.
+
+    A place holds the token that begins there, -1 once it was merged into another.
+    One more place, whose token makes no pair, stands beyond both ends of every word.
+    """
+
+    def __init__(self, merges: Merges, data: np.ndarray, sizes: np.ndarray):
+        self.merges = merges
+        beyond, ends = len(data), np.cumsum(sizes)
+        self.tokens = np.append(merges.of_byte[data], -1)
+        self.after, self.before = np.arange(1, beyond + 2), np.arange(-1, beyond)
+        self.after[ends[sizes > 0] - 1] = beyond
+        self.before[(ends - sizes)[sizes > 0]] = beyond
+        self.index: dict[int, list[int]] = {}
+        self.waiting: list[int] = []
+        places = np.arange(beyond)
+        self._enter(places, self.tokens[:-1] * _RADIX + self.tokens[self.after[:-1]])
+
+    def _enter(self, places: np.ndarray, pairs: np.ndarray) -> None:
+        """Put places whose pairs have a merge into the index."""
+        ranks = self.merges.made(pairs)
+        some = ranks >= 0
+        for rank, place in zip(ranks[some].tolist(), places[some].tolist()):
+            self._enter_one(rank, place)
+
+    def _enter_one(self, rank: int, place: int) -> None:
+        own = self.index.get(rank)
+        if own is None:
+            self.index[rank] = [place]
+            heappush(self.waiting, rank)
+        else:
+            own.append(place)
+
+    def merge_all(self) -> None:
+        """Apply every merge in the order of the ranks."""
+        while self.waiting:
+            rank = heappop(self.waiting)
+            places = self.index.pop(rank)
+            if len(places) <= _FEW or not self._merge_together(rank, np.unique(places)):
+                self._merge_one_by_one(rank, sorted(places))
+
+    def _merge_together(self, rank: int, places: np.ndarray) -> bool:
+        """Merge all places of a rank at once; false, and nothing done, if a lower rank would come up."""
+        pairs = self.tokens[places] * _RADIX + self.tokens[self.after[places]]
+        places = places[np.logical_or.reduce([pairs == own for own in self.merges.makers[rank]])]
+        right = self.after[places]
+        linked = right[:-1] == places[1:]
+        if linked.any():
+            # Of places that share a token, the first, third, ... are merged.
+            number = np.arange(len(places))
+            run = np.maximum.accumulate(np.where(np.append(True, ~linked), number, 0))
+            places = places[(number - run) % 2 == 0]
+            right = self.after[places]
+        if not len(places):
+            return True
+        ahead = self.after[right]
+        if rank in self.merges.unordered:
+            beside = np.concatenate((
+                rank * _RADIX + self.tokens[ahead], self.tokens[self.before[places]] * _RADIX + rank,
+                [rank * _RADIX + rank]))
+            new = self.merges.made(beside)
+            if ((new >= 0) & (new < rank)).any():
+                return False
+        self.tokens[places], self.tokens[right] = rank, -1
+        self.after[places], self.before[ahead] = ahead, places
+        behind = self.before[places]
+        self._enter(
+            np.concatenate((places, behind)),
+            np.concatenate((rank * _RADIX + self.tokens[ahead], self.tokens[behind] * _RADIX + rank)))
+        return True
+
+    def _merge_one_by_one(self, rank: int, places: list[int]) -> None:
+        tokens, made = self.tokens, self.merges.pairs.get
+        for done, place in enumerate(places, 1):
+            right = int(self.after[place])
+            if made(int(tokens[place]) * _RADIX + int(tokens[right])) != rank:
+                continue
+            tokens[place], tokens[right] = rank, -1
+            ahead, behind = int(self.after[right]), int(self.before[place])
+            self.after[place], self.before[ahead] = ahead, place
+            lower = False
+            for new, at in (
+                (made(rank * _RADIX + int(tokens[ahead])), place),
+                (made(int(tokens[behind]) * _RADIX + rank), behind),
+            ):
+                if new is not None:
+                    self._enter_one(new, at)
+                    lower = lower or new < rank
+            if lower:
+                # A lower rank came up: it goes first, the rest of this one waits.
+                for other in places[done:]:
+                    self._enter_one(rank, other)
+                return
 
 
 class _Numbers(dict):
@@ -208,7 +264,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     # One more token without bytes stands for all ids outside the vocabulary.
     size = np.array([len(t) for t in ordered] + [0], np.int64)
     first = np.cumsum(size) - size
-    for batch in batches:
+    for batch in _id_slices(batches):
         lists = batch.column("ids")
         counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -222,6 +278,18 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("id"), lists, decoded.cast(pa.binary())], ["id", "ids", "decoded"])
 
 
+def _id_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches between rows so that their lists have about ``_SLICE_IDS`` ids."""
+    for batch in batches:
+        counts = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(counts), 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            end = max(int(np.searchsorted(ends, before + _SLICE_IDS, "right")), start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def column_type(df: DataFrame, column: str) -> str:
     """Spark's name of the type of a column."""
     return df.select(F.col(column)).schema[0].dataType.simpleString()
