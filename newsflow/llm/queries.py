@@ -27,6 +27,7 @@ from newsflow.llm import (
     token_alignment,
     token_counts,
 )
+from newsflow.session import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,10 +123,10 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links between two tokenizers in every document."""
-    docs = table(spark, folder, "documents")
-    found = token_alignment.align(docs, token_alignment.pair_counts(docs))
+    aligned = token_alignment.align(table(spark, folder, "documents"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    return found.withColumn("groups_sha256", digest).drop("groups")
+    aligned = settled(aligned.withColumn("groups_sha256", digest).drop("groups"), "token-alignments")
+    return token_alignment.judge(aligned, token_alignment.pair_counts(aligned))
 
 
 def queries() -> dict[str, Query]:
