@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import ipaddress
+import warnings
 from urllib.parse import quote, urljoin
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,34 @@ def test_loose_time(spark):
     ]
 
 
+SPELLINGS = [
+    "Jan 15, 2024 9:30 AM", "15-Jan-2024", "2024-01-15 9:30", "2024-1-5", "Jan 15 2024", "1/15/2024 9:30 PM",
+    "2024.01.15", "Mon Jan 15 09:30:00 2024", "2024-01-15 09:30:00 EST", "15 January 2024",
+    "January 15, 2024 9:30 PM", "13/01/2024", "2024-15-01", "15.01.2024", "Jan 2024", "2024-01", "2024",
+    "2024-01-15T9:30:00+0530", "Jan 15th, 2024", "Sept 5, 2024", "Monday, January 15, 2024 at 9:30 AM",
+    "12:30 AM Jan 15 2024", "12 PM 5 May 2024", "2024/1/5 9 PM", "13:30 PM Jan 15 2024",
+    "2024-01-15 09:30:00.5 UTC", "Mon, 15 Jan 2024 09:30:00 -0500", "2024-01-15 24:00", "2024 Jan 15",
+    "Jan-15-2024", "2024-Jan-15", "15/Jan/2024 10:00", "2024-01-15 09:30:00 -05:00", "20240115093000",
+    "JAN 15, 2024", "2024-02-30", "Feb 30 2024", "Jan Feb 2024", "99/99/2024", "garbage", "may 5 2024",
+    "  Jan 15, 2024  ", "29 Feb 2023", "2024-01-15 9:30:15.25 PM +02",
+]
+
+
+def test_spellings_parse_as_a_data_library_does(spark):
+    """Every spelling is read as the data library reads it, or as unreadable like there."""
+    got = apply(spark, SPELLINGS, as_text(times.loose_utc))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = [pd.to_datetime(text, errors="coerce", utc=True) for text in SPELLINGS]
+    assert got == [None if t is pd.NaT else t.strftime("%Y-%m-%d %H:%M:%S.%f") for t in want]
+
+
+def test_ambiguous_dates_are_null(spark):
+    """No year, a year of two digits, two clocks, or a word that means nothing here."""
+    raw = ["9:30 AM", "1/15/24", "10:00 11:00 Jan 1 2024", "2024-01-15 noon", "Jan 15", "1 2 3 2024", "", None]
+    assert apply(spark, raw, as_text(times.loose_utc)) == [None] * len(raw)
+
+
 def test_age_label_limits(spark):
     now = dt.datetime(2024, 1, 15, 12)
     ages = [0, 59, 60, 3599, 3600, 86399, 86400, 200000, -500]
