@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,9 @@ SETTINGS = {
 
 # Scratch folders of local sessions that name no shared folder.
 _scratch: dict[str, str] = {}
-# Paths handed out inside each open :func:`scratch` block.
-_open_blocks: list[list[str]] = []
+# Paths handed out inside each open :func:`scratch` block, the innermost last. A thread
+# has blocks of its own, so a stream's batches and other jobs never share one.
+_open_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -57,7 +59,8 @@ def shared_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
     block belongs to the block around it, if there is one.
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    owners = _open_blocks[:-1] if outlives else _open_blocks
+    blocks = _open_blocks.get()
+    owners = blocks[:-1] if outlives else blocks
     if owners:
         owners[-1].append(path)
     return path
@@ -88,11 +91,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     something that outlives the block, or :func:`kept`.
     """
     paths: list[str] = []
-    _open_blocks.append(paths)
+    around = _open_blocks.set((*_open_blocks.get(), paths))
     try:
         yield
     finally:
-        _open_blocks.remove(paths)
+        _open_blocks.reset(around)
         for path in paths:
             remove(spark, path)
 
