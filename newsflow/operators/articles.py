@@ -37,10 +37,17 @@ def mark_stored(
     return candidates.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def attach_stock_id(articles: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Add ``stock_id`` by symbol; articles of unknown symbols are dropped."""
-    ids = stocks.select(F.col("id").alias("stock_id"), "symbol")
-    return articles.join(ids, "symbol")
+def stock_ids(stocks: DataFrame) -> DataFrame:
+    """One ``stock_id`` per symbol, the largest of a repeated one."""
+    return stocks.groupBy("symbol").agg(F.max("id").alias("stock_id"))
+
+
+def attach_stock_id(articles: DataFrame, stocks: DataFrame, how: str = "inner") -> DataFrame:
+    """Add ``stock_id`` by symbol; articles of unknown symbols are dropped, or kept by a left join.
+
+    A symbol that stands in ``stocks`` several times never multiplies an article.
+    """
+    return articles.join(stock_ids(stocks), "symbol", how)
 
 
 def missing_symbols(required: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Resumable load of CSV history into the stored tables.
 
-Each load decides the fate of every row once, keeps that decision as a written
-table in the shared folder, and then appends and reports from it.
+Each load parses its files once, decides the fate of every row once, keeps both as
+written tables in the shared folder, and then appends and reports from them. The
+tables are removed when the load ends; reports are small local tables.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from newsflow.operators.articles import (
     attach_stock_id,
     mark_stored,
     require_symbols,
+    stock_ids,
 )
 from newsflow.operators.dedup import first_seen
 from newsflow.operators.filters import with_url
@@ -30,7 +32,7 @@ from newsflow.operators.sentiment import (
     sentiment_record,
 )
 from newsflow.plans.collector import store_articles
-from newsflow.session import settled
+from newsflow.session import kept, scratch, settled
 from newsflow.sinks.writers import append_new, read_table, upsert_partitions
 from newsflow.sources.csv_files import CsvScan, read_symbol_csv
 from newsflow.stocks import SYMBOLS, stock_master
@@ -62,15 +64,24 @@ def first_per_url(rows: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFram
     return first_seen(usable, ["url"], order).join(copies, "url")
 
 
-def news_outcome(rows: DataFrame, stored: DataFrame) -> DataFrame:
+def news_outcome(rows: DataFrame, stored: DataFrame, stocks: DataFrame | None = None) -> DataFrame:
     """First row per URL with the fate of every symbol's copy.
 
     A copy is inserted when the URL is not stored and its symbol comes first;
-    every other symbol's copy is skipped.
+    every other symbol's copy is skipped. With ``stocks``, rows of symbols that have no
+    stock are left out before the first row is chosen, so what counts as inserted is
+    what is stored; each URL without a known symbol is an error.
     """
-    marked = mark_stored(first_per_url(rows), stored, "url")
-    status = F.when(F.col("is_stored"), SKIPPED).otherwise(INSERTED)
-    return marked.withColumn("status", status).drop("is_stored")
+    if stocks is None:
+        marked = mark_stored(first_per_url(rows), stored, "url")
+        status = F.when(F.col("is_stored"), SKIPPED).otherwise(INSERTED)
+        return marked.withColumn("status", status).drop("is_stored")
+    known = rows.join(stock_ids(stocks).select("symbol", F.lit(False).alias("unknown")), "symbol", "left")
+    known = known.withColumn("unknown", F.coalesce("unknown", F.lit(True)))
+    order = ("unknown", *ROW_ORDER)
+    marked = mark_stored(first_per_url(known, order), stored, "url")
+    status = F.when(F.col("is_stored"), SKIPPED).when(F.col("unknown"), ERROR).otherwise(INSERTED)
+    return marked.withColumn("status", status).drop("is_stored", "unknown")
 
 
 def sentiment_outcome(rows: DataFrame, articles: DataFrame, stored: DataFrame) -> DataFrame:
@@ -130,35 +141,35 @@ def load_news(
     symbols: Sequence[str] = SYMBOLS,
 ) -> DataFrame:
     """Load the news CSVs; returns the counts."""
-    scan = read_symbol_csv(spark, path, schemas.NEWS_CSV, symbols)
-    rows = scan.rows
-    stored = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
-    outcome = settled(news_outcome(rows, stored), "news-load")
-    records = news_records(outcome.filter(F.col("status") == INSERTED), stocks)
-    store_articles(spark, tables.news_articles, records)
-    return _with_errors(outcome_counts(rows, outcome), scan)
+    with scratch(spark):
+        scan = read_symbol_csv(spark, path, schemas.NEWS_CSV, symbols)
+        stored = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
+        outcome = settled(news_outcome(scan.rows, stored, stocks), "news-load")
+        records = news_records(outcome.filter(F.col("status") == INSERTED), stocks)
+        store_articles(spark, tables.news_articles, records)
+        return kept(_with_errors(outcome_counts(scan.rows, outcome), scan))
 
 
 def load_sentiment(
     spark: SparkSession, path: str, tables: Tables, symbols: Sequence[str] = SYMBOLS
 ) -> DataFrame:
     """Load the article sentiment CSVs; returns the counts."""
-    scan = read_symbol_csv(spark, path, schemas.SENTIMENT_CSV, symbols, "_sentiment")
-    rows = scan.rows
-    articles = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
-    stored = read_table(spark, tables.news_sentiment, schemas.NEWS_SENTIMENT)
-    outcome = settled(sentiment_outcome(rows, articles, stored), "sentiment-load")
-    records = sentiment_record(outcome.filter(F.col("status") == INSERTED))
-    append_new(
-        spark,
-        tables.news_sentiment,
-        records,
-        schemas.NEWS_SENTIMENT,
-        key="news_id",
-        id_col=None,
-        known_new=True,
-    )
-    return _with_errors(outcome_counts(rows, outcome), scan)
+    with scratch(spark):
+        scan = read_symbol_csv(spark, path, schemas.SENTIMENT_CSV, symbols, "_sentiment")
+        articles = read_table(spark, tables.news_articles, schemas.NEWS_ARTICLES)
+        stored = read_table(spark, tables.news_sentiment, schemas.NEWS_SENTIMENT)
+        outcome = settled(sentiment_outcome(scan.rows, articles, stored), "sentiment-load")
+        records = sentiment_record(outcome.filter(F.col("status") == INSERTED))
+        append_new(
+            spark,
+            tables.news_sentiment,
+            records,
+            schemas.NEWS_SENTIMENT,
+            key="news_id",
+            id_col=None,
+            known_new=True,
+        )
+        return kept(_with_errors(outcome_counts(scan.rows, outcome), scan))
 
 
 def load_daily(
@@ -172,24 +183,24 @@ def load_daily(
 
     A row with an unreadable date is an error, one without a date is ignored.
     """
-    scan = read_symbol_csv(spark, path, schemas.DAILY_CSV, symbols, "_daily_sentiment")
-    rows = scan.rows
-    linked = attach_stock_id(rows, stocks)
-    order = ("file_path", "row_pos")
-    records = settled(daily_record(linked, carried=order), "daily-load")
-    upsert_partitions(
-        spark,
-        tables.daily_sentiment,
-        records,
-        schemas.DAILY_SENTIMENT,
-        keys=("stock_id", "sentiment_date"),
-        order=order,
-        partition="sentiment_date",
-    )
-    date = F.col("published_date")
-    fate = F.when(daily_date(date).isNotNull(), INSERTED).when(date.isNotNull(), ERROR)
-    events = rows.select("symbol", F.explode(F.array(F.lit(ROW), fate)).alias("kind"))
-    return _with_errors(kind_counts(events), scan)
+    with scratch(spark):
+        scan = read_symbol_csv(spark, path, schemas.DAILY_CSV, symbols, "_daily_sentiment")
+        linked = attach_stock_id(scan.rows, stocks)
+        order = ("file_path", "row_pos")
+        records = settled(daily_record(linked, carried=order), "daily-load")
+        upsert_partitions(
+            spark,
+            tables.daily_sentiment,
+            records,
+            schemas.DAILY_SENTIMENT,
+            keys=("stock_id", "sentiment_date"),
+            order=order,
+            partition="sentiment_date",
+        )
+        date = F.col("published_date")
+        fate = F.when(daily_date(date).isNotNull(), INSERTED).when(date.isNotNull(), ERROR)
+        events = scan.rows.select("symbol", F.explode(F.array(F.lit(ROW), fate)).alias("kind"))
+        return kept(_with_errors(kind_counts(events), scan))
 
 
 def run_load(

@@ -3,6 +3,11 @@
 The symbol comes from the path: ``NVDA.csv``, ``NVDA.csv/part-0001.csv`` or
 ``symbol=NVDA/part-0001.csv``. A quoted cell may span lines, so a file is read
 by one task; a large symbol should be a folder of part files.
+
+Files are parsed once, into a table in the shared folder. A file with a row of more
+cells than its header, or with a quote that is never closed, gives no rows at all and
+counts as unreadable: nobody can tell which of its cells shifted. A row with fewer
+cells is complete, the missing ones are NULL.
 """
 
 from __future__ import annotations
@@ -20,16 +25,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.functions.clean import null_if_na
+from newsflow.session import settled
 from newsflow.stocks import SYMBOLS
 
 _HEADER_READERS = 16
+# A cell in quotes, and a cell that begins with one.
+_QUOTED = r'(?:(?<=^)|(?<=[,\n]))"(?:[^"]|"")*"(?=[,\n]|$)'
+_OPENED = r'(?:^|[,\n])"'
 
 
 @dataclass(frozen=True)
 class CsvScan:
     """Rows of all readable files, the files that could not be read, and those passed over.
 
-    Passed over are files of the configured symbols that are not plain CSV files,
+    Unreadable are files that are empty, lack the key column or are malformed. Passed over are files of the configured symbols that are not plain CSV files,
     such as compressed ones.
     """
 
@@ -81,6 +90,41 @@ def _fields(header: tuple[str, ...]) -> list[str]:
     ]
 
 
+def _cells_too_many(record: Column, cells: int) -> Column:
+    """Whether a record that does not fit the header has more cells than it."""
+    return F.size(F.split(F.regexp_replace(record, _QUOTED, ""), ",", -1)) > cells
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], members: list[str]) -> tuple[DataFrame, str, str]:
+    """Rows of files of one layout, and the names of the columns for malformed records and the last cell."""
+    names = _fields(header)
+    malformed = "_malformed"
+    while malformed in names:
+        malformed += "_"
+    fields = [T.StructField(name, T.StringType()) for name in [*names, malformed]]
+    scan = spark.read.csv(
+        members, schema=T.StructType(fields), header=True, multiLine=True, escape='"', columnNameOfCorruptRecord=malformed)
+    return scan, malformed, names[-1]
+
+
+def _malformed_files(spark: SparkSession, rows: DataFrame) -> list[str]:
+    """Files of the scan that cannot be trusted, at most one row per file on the driver."""
+    judged = rows.groupBy("file_path").agg(
+        F.bool_or("broken").alias("broken"), F.max_by("open_end", "row_pos").alias("open_end"))
+    found = judged.filter("broken OR open_end").collect()
+    # A last cell with line breaks is closed if the file's last line ends with a quote.
+    doubtful = [r.file_path for r in found if not r.broken]
+    closed = set()
+    if doubtful:
+        lines = spark.read.text(doubtful).filter(F.trim("value") != "").select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+            F.rtrim("value").endswith('"').alias("closed"))
+        ends = lines.groupBy("file").agg(F.max_by("closed", "at").alias("closed"))
+        closed = {r.file for r in ends.filter("closed").collect()}
+    return sorted(r.file_path for r in found if r.broken or r.file_path not in closed)
+
+
 def read_symbol_csv(
     spark: SparkSession,
     path: str,
@@ -115,15 +159,17 @@ def read_symbol_csv(
     for file, header in zip(files, headers):
         if header:
             layouts[header].append(file)
-    unreadable = tuple(f for f, h in zip(files, headers) if not h)
+    unreadable = [f for f, h in zip(files, headers) if not h]
 
     rows = None
     for header, members in layouts.items():
         if columns[0] not in header:
-            raise ValueError(f"column {columns[0]} is missing from {members[0]}")
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in _fields(header)])
-        scan = spark.read.csv(members, schema=schema, header=True, multiLine=True, escape='"')
-        file = F.col("_metadata.file_path")
+            unreadable += members
+            continue
+        scan, malformed, last = _scan(spark, header, members)
+        file, record = F.col("_metadata.file_path"), F.col(malformed)
+        broken = record.isNotNull() & (
+            _cells_too_many(record, len(header)) | F.regexp_replace(record, _QUOTED, "").rlike(_OPENED))
         layout = scan.select(
             _symbol_from_path(file, suffix).alias("symbol"),
             file.alias("file_path"),
@@ -132,6 +178,8 @@ def read_symbol_csv(
                 (null_if_na(F.col(c)) if c in header else F.lit(None).cast("string")).alias(c)
                 for c in columns
             ],
+            broken.alias("broken"),
+            F.coalesce(F.col(last).contains("\n"), F.lit(False)).alias("open_end"),
         )
         rows = layout if rows is None else rows.unionByName(layout)
     if rows is None:
@@ -142,5 +190,12 @@ def read_symbol_csv(
             F.col("id").alias("row_pos"),
             *[nothing.alias(c) for c in columns],
         )
+    else:
+        rows = settled(rows, "csv-scan")
+        malformed_files = _malformed_files(spark, rows)
+        if malformed_files:
+            unreadable += malformed_files
+            rows = rows.filter(~F.col("file_path").isin(malformed_files))
+        rows = rows.drop("broken", "open_end")
     rank = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol")) - 1
-    return CsvScan(rows.withColumn("symbol_rank", rank.cast("int")), unreadable, tuple(passed_over))
+    return CsvScan(rows.withColumn("symbol_rank", rank.cast("int")), tuple(unreadable), tuple(passed_over))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from newsflow import schemas
 from newsflow.plans import csv_load
+from newsflow.session import shared_dir
 from newsflow.sources import csv_files
 from newsflow.sources.csv_files import read_symbol_csv
 
@@ -102,8 +107,65 @@ def test_no_files_and_missing_url_column(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     assert read(spark, tmp_path / "empty").rows.count() == 0
     write(tmp_path / "bad", "NVDA.csv", "title\nT\n")
-    with pytest.raises(ValueError, match="url"):
-        read(spark, tmp_path / "bad")
+    write(tmp_path / "bad", "AMD.csv", HEADER + "u,T,D,S,t,a\n")
+    scan = read(spark, tmp_path / "bad")
+    assert [f.rsplit("/", 1)[1] for f in scan.unreadable] == ["NVDA.csv"]
+    assert [r["url"] for r in scan.rows.collect()] == ["u"]
+
+
+# Body of a file, and whether a CSV library reads it.
+BODIES = {
+    "too many cells": ("u1,T,D,S,t,a\nu2,T,with, comma,S,t,a\n", False),
+    "empty cell too many": ("u1,T,D,S,t,a,\nu2,T,D,S,t,a,\nu3,T,D,S,t,a,,\n", False),
+    "open quote in the middle": ('u1,T,D,S,t,a\nu2,T,"open,S,t,a\nu3,T,D,S,t,a\n', False),
+    "open quote in the last cell": ('u1,T,D,S,t,a\nu2,T,D,S,t,"open\nu3,T,D,S,t,a\n', False),
+    "open quote in the last cell of the last row": ('u1,T,D,S,t,a\nu2,T,D,S,t,"open\n', False),
+    "too few cells": ("u1,T\nu2,T,D,S,t,a\n", True),
+    "line break in the last cell": ('u1,T,D,S,t,a\nu2,T,D,S,t,"two\nlines"\n', True),
+    "line break in the last cell, more rows": ('u1,T,D,S,t,"two\nlines\n"\nu2,T,D,S,t,a\n', True),
+    "commas and doubled quotes": ('u1,"T, ""x"", y","D\nE",S,t,a\nu2,T\n', True),
+    "a quote inside a cell": ('u1,5" disc,6" disc,S,t,a\nu2,5" disc,6" disc\n', True),
+}
+
+
+@pytest.mark.parametrize("name", BODIES)
+def test_malformed_files(spark, tmp_path, name):
+    body, readable = BODIES[name]
+    write(tmp_path, "NVDA.csv", HEADER + body)
+    write(tmp_path, "AMD.csv", HEADER + "good,T,D,S,t,a\n")
+    scan = read(spark, tmp_path)
+    assert [f.rsplit("/", 1)[1] for f in scan.unreadable] == ([] if readable else ["NVDA.csv"])
+    got = scan.rows.filter("symbol = 'NVDA'").count()
+    if not readable:
+        assert got == 0
+    elif name != "a quote inside a cell":
+        assert got == len(list(csv.reader(io.StringIO(body))))
+    else:
+        assert got == 2
+    assert [r["url"] for r in scan.rows.filter("symbol = 'AMD'").collect()] == ["good"]
+
+
+def test_load_leaves_no_tables_and_stores_each_url_once(spark, tmp_path):
+    """A repeated stock symbol, an unknown symbol and a broken file: report and table agree."""
+    write(tmp_path / "csv", "NVDA.csv", HEADER + "u1,T,D,S,2024-01-15,a\nu2,T,D,S,Jan 15 2024 9:30 PM,a\n")
+    write(tmp_path / "csv", "AMD.csv", HEADER + "u1,T,D,S,t,a\nu3,T,D,S,t,a\n")
+    write(tmp_path / "csv", "XYZ.csv", HEADER + "u3,T,D,S,t,a\nu4,T,D,S,t,a\n")
+    write(tmp_path / "csv", "TSLA.csv", HEADER + "u5,T,D,S,t,a,b\n")
+    stocks = spark.createDataFrame([(1, "NVDA"), (9, "NVDA"), (2, "AMD"), (3, "TSLA")], "id bigint, symbol string")
+    tables = csv_load.Tables(*[str(tmp_path / n) for n in ("news", "sentiment", "daily")])
+    before = set(os.listdir(shared_dir(spark)))
+    report = csv_load.load_news(spark, str(tmp_path / "csv"), tables, stocks, ["XYZ", "NVDA", "AMD", "TSLA"])
+    assert set(os.listdir(shared_dir(spark))) == before
+    got = {r["symbol"]: (r["inserted"], r["skipped"], r["errors"]) for r in report.collect()}
+    assert got["NVDA"] == (2, 0, 0) and got["AMD"] == (1, 1, 0)
+    # u3 in XYZ is skipped for AMD's, u4 has no stock at all, and one file is broken.
+    assert got["XYZ"] == (0, 1, 1) and got[None] == (3, 2, 2)
+    stored = spark.read.parquet(tables.news_articles).select(
+        "url", "stock_id", F.col("published_at").cast("string").alias("at")).collect()
+    assert sorted(map(tuple, stored), key=str) == [
+        ("u1", 9, "2024-01-15 00:00:00"), ("u2", 9, "2024-01-15 21:30:00"), ("u3", 2, None)]
+    again = csv_load.load_news(spark, str(tmp_path / "csv"), tables, stocks, ["XYZ", "NVDA", "AMD", "TSLA"])
+    assert again.filter("symbol IS NULL").first()["inserted"] == 0
 
 
 def test_suffix_and_symbol_rank(spark, tmp_path):

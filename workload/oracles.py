@@ -165,6 +165,13 @@ UNION ALL SELECT source_api, symbol, CAST(doc_id AS INT), 2, 200, '' FROM articl
 WHERE source_api = 'yfinance'""",
         "csv_scan": _with(_ARTICLES)
         + f"SELECT symbol_rank, {_shown_articles()} FROM articles",
+        "csv_scan_broken": _with(_ARTICLES)
+        + "SELECT doc_id, symbol, symbol_rank, url FROM articles WHERE doc_id % 3 = 0",
+        "load_news_job": _with(_ARTICLES)
+        + """SELECT symbol, count(*) AS inserted, count(*) AS stored, count(*) AS urls FROM (
+  SELECT url, arg_min(symbol, symbol_rank) AS symbol FROM articles
+  WHERE url <> '' AND symbol <> 'src19' GROUP BY url)
+GROUP BY symbol""",
         "article_record": _with(_ARTICLES)
         + f"""SELECT CAST(symbol_rank AS BIGINT) AS stock_id, CAST(NULL AS VARCHAR) AS text,
   {_shown_articles()}, substr(published_at, 1, 10) AS published_day FROM articles""",
@@ -362,22 +369,12 @@ UNION ALL SELECT * EXCLUDE (event_id) FROM daily_last""",
         + """SELECT CAST(substr(symbol, 4) AS BIGINT) AS stock_id, symbol, source_api,
   count(*) AS articles, min(published_at) AS first_published, max(published_at) AS last_published
 FROM assigned GROUP BY ALL""",
-        "stream_ingest": _with(
-            _ARTICLES,
-            """cutoffs AS (
-  SELECT source_api AS api, min(doc_id) AS cutoff FROM articles
-  WHERE doc_id % 389 = 388 AND source_api <> 'yfinance' GROUP BY 1)""",
-            _DELIVERED.replace("FROM articles", "FROM articles LEFT JOIN cutoffs ON api = source_api\n  WHERE cutoff IS NULL OR doc_id < cutoff"),
-            "fresh AS (SELECT * FROM uniq)",
-            _ASSIGNED,
-        )
-        + f"SELECT CAST(substr(symbol, 4) AS BIGINT) AS stock_id, {_shown_articles()} FROM assigned",
         "stream_ingest_runs": _with(
             _ARTICLES,
-            """in_runs AS (SELECT *, doc_id // 1000 AS run FROM articles),
+            """in_runs AS (SELECT *, doc_id // 50 AS run FROM articles),
 cutoffs AS (
   SELECT run, source_api, min(doc_id) AS cutoff FROM in_runs
-  WHERE run % 4 = 0 AND doc_id % 389 = 388 AND source_api <> 'yfinance' GROUP BY ALL),
+  WHERE run % 4 = 0 AND doc_id % 50 = 13 AND source_api <> 'yfinance' GROUP BY ALL),
 open AS (
   SELECT a.* FROM in_runs a LEFT JOIN cutoffs c ON c.run = a.run AND c.source_api = a.source_api
   WHERE cutoff IS NULL OR doc_id < cutoff),

@@ -30,8 +30,9 @@ ALIASES = {
 ARTICLE_URL = "https://news.example.com/a/"
 DOC_URL = "https://news.example.com/d/"
 ORDER = ("provider_rank", "symbol_rank", "doc_id")
-RUN_DOCUMENTS = 1000
+RUN_DOCUMENTS = 50
 LIMITED_RUN = 4
+LIMITED_PLACE = 13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -250,19 +251,14 @@ def landed(documents: DataFrame, provider: str | None = None) -> DataFrame:
     )
 
 
-def with_limits(payloads: DataFrame) -> DataFrame:
-    """Responses of which every 389th signals that its provider's limit is reached."""
-    hit = F.col("seq") % 389 == 388
-    return payloads.withColumn("status", F.when(hit, 429).otherwise(F.col("status")))
-
-
 def in_runs(documents: DataFrame) -> DataFrame:
     """Documents as landed responses of many runs, ``RUN_DOCUMENTS`` ids each, with their number.
 
-    In every fourth run a response whose id is 388 in a cycle of 389 signals a limit.
+    In every fourth run the response in place 13 signals a limit. Copies of a text stand
+    in several runs, under one URL.
     """
     payloads = landed(documents).withColumn("run", _run_of(F.col("seq")))
-    limited = (F.col("run") % LIMITED_RUN == 0) & (F.col("seq") % 389 == 388)
+    limited = (F.col("run") % LIMITED_RUN == 0) & (F.col("seq") % RUN_DOCUMENTS == LIMITED_PLACE)
     return payloads.withColumns({
         "run_id": F.concat(F.lit("run-"), F.col("run").cast("string")),
         "status": F.when(limited, 429).otherwise(F.col("status")),
