@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.clean import first_present, null_if_blank
 from newsflow.functions.times import age_label
 from newsflow.functions.urls import percent_encode
+from newsflow.session import scratch, settled
 
 MAX_PAGE_SIZE = 100
 LATEST = 6
@@ -16,6 +17,8 @@ IMAGE_PROXY = "/api/news-image?url="
 
 # A page is sought until the span that holds it has at most so many rows to sort.
 SORTED_ROWS = 10_000
+# So many groups are looked at before a page is sought by rank.
+FIRST_GROUPS = 1_000
 SEEK_UNITS = ("DAY", "HOUR", "MINUTE", "SECOND")
 SEEK_PREFIXES = (12, 24, 48, 96)
 
@@ -34,20 +37,55 @@ def _holding(
 ) -> tuple[list, int, int]:
     """Groups in page order that overlap the page, the rows before them and in them.
 
-    Brings back one small row per group, never articles.
+    The first ``FIRST_GROUPS`` groups usually hold the page. If not, the page is
+    sought by rank: groups are dealt by ranges of their order and written, rows are
+    counted per range, and only groups of ranges that overlap the page are summed up.
+    So the driver sees ``FIRST_GROUPS`` groups, one row per range, and the groups of
+    the page, each of which has a row on it.
     """
     named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    counts = articles.groupBy(*named).count().orderBy(*order)
-    held, before, inside, seen = [], 0, 0, 0
-    for row in counts.toLocalIterator():
+    counts = articles.groupBy(*named).count()
+    first = counts.orderBy(*order).limit(FIRST_GROUPS).collect()
+    if len(first) < FIRST_GROUPS or sum(row["count"] for row in first) >= offset + size:
+        return _overlapping([(tuple(row)[:-1], row["count"]) for row in first], 0, offset, size)
+    with scratch(articles.sparkSession):
+        ranged = counts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+        ranged = settled(ranged, "page-groups")
+        ranges = ranged.groupBy("_range").agg(F.sum("count").alias("rows")).orderBy("_range").collect()
+        held, start, seen = [], 0, 0
+        for row in ranges:
+            if seen < offset + size and seen + row["rows"] > offset:
+                start = start if held else seen
+                held.append(row["_range"])
+            seen += row["rows"]
+        before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = {row["_range"]: row["rows"] for row in ranges}
+        bases, base = [], start
+        for number in held:
+            bases += [F.lit(number), F.lit(base)]
+            base += earlier[number]
+        if not held:
+            return [], seen, 0
+        reached = F.element_at(F.create_map(*bases), F.col("_range")) + F.sum("count").over(before)
+        summed = ranged.filter(F.col("_range").isin(held)).withColumn("_reached", reached)
+        found = summed.filter((F.col("_reached") > offset) & (F.col("_reached") - F.col("count") < offset + size))
+        rows = found.orderBy("_reached").collect()
+        groups = [(tuple(row)[: len(keys)], row["count"]) for row in rows]
+        return _overlapping(groups, rows[0]["_reached"] - rows[0]["count"] if rows else seen, offset, size)
+
+
+def _overlapping(groups: list, start: int, offset: int, size: int) -> tuple[list, int, int]:
+    """Of (group, rows) in order, those that overlap the page; ``start`` rows come before them."""
+    held, before, inside, seen = [], start, 0, start
+    for group, rows in groups:
         if seen >= offset + size:
             break
-        if seen + row["count"] > offset:
-            held.append(tuple(row)[:-1])
-            inside += row["count"]
+        if seen + rows > offset:
+            held.append(group)
+            inside += rows
         else:
-            before += row["count"]
-        seen += row["count"]
+            before += rows
+        seen += rows
     return held, before, inside
 
 

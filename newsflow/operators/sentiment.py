@@ -62,6 +62,15 @@ def _share(label: str) -> Column:
     return F.count_if(F.lower("sentiment_label") == label)
 
 
+# Sums and counts of the averaged scores.
+_AVERAGED = {
+    "average_positive": "positive_score",
+    "average_neutral": "neutral_score",
+    "average_negative": "negative_score",
+    "average_sentiment": "sentiment_score",
+}
+
+
 def daily_sentiment(scored: DataFrame) -> DataFrame:
     """Roll scored articles up to one row per stock and day.
 
@@ -70,19 +79,28 @@ def daily_sentiment(scored: DataFrame) -> DataFrame:
     Expects ``stock_id, symbol, published_at, sentiment_label`` and the four
     scores. ``sentiment_balance`` is (positive - negative) / all articles;
     ``sentiment_score`` is always an input. Articles without a time belong to no
-    day and are left out. The aggregation is partial before its one shuffle.
+    day and are left out. Articles are aggregated by hash, per symbol too, before they
+    are shuffled; only the few symbols of a stock and day are then compared in order.
     """
     dated = scored.filter(F.col("published_at").isNotNull())
-    rolled = dated.groupBy("stock_id", F.to_date("published_at").alias("sentiment_date")).agg(
-        F.max(F.struct("published_at", "symbol"))["symbol"].alias("symbol"),
+    keys = ["stock_id", "sentiment_date"]
+    counts = ("article_count", "positive_articles", "neutral_articles", "negative_articles")
+    by_symbol = dated.groupBy("stock_id", F.to_date("published_at").alias("sentiment_date"), "symbol").agg(
+        F.max("published_at").alias("latest"),
         F.count("*").alias("article_count"),
         _share("positive").alias("positive_articles"),
         _share("neutral").alias("neutral_articles"),
         _share("negative").alias("negative_articles"),
-        F.avg("positive_score").alias("average_positive"),
-        F.avg("neutral_score").alias("average_neutral"),
-        F.avg("negative_score").alias("average_negative"),
-        F.avg("sentiment_score").alias("average_sentiment"),
+        *[F.sum(score).alias(f"{name}_sum") for name, score in _AVERAGED.items()],
+        *[F.count(score).alias(f"{name}_count") for name, score in _AVERAGED.items()],
+    )
+    rolled = by_symbol.groupBy(*keys).agg(
+        F.max(F.struct("latest", "symbol"))["symbol"].alias("symbol"),
+        *[F.sum(name).alias(name) for name in counts],
+        *[
+            F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_count")).alias(name)
+            for name in _AVERAGED
+        ],
     )
     balance = (F.col("positive_articles") - F.col("negative_articles")) / F.col("article_count")
     return rolled.withColumn("sentiment_balance", balance)

@@ -336,3 +336,48 @@ def test_leaving_out_implied_aliases_changes_nothing(spark):
         first = {int(r["url"]): r["symbol"] for r in stock_match.assign_stock(df, aliases).collect()}
         every = {int(r["url"]): r["count"] for r in stock_match.all_stock_matches(df, aliases).groupBy("url").count().collect()}
         assert [(first[i], every.get(i, 0)) for i in range(len(texts))] == want
+
+
+def test_page_among_many_undated_rows(spark, monkeypatch):
+    """40,000 rows without a time and with URLs alike: the driver sees the page's groups and a constant."""
+    rows = spark.range(40_000).select(
+        F.lit(None).cast("timestamp").alias("published_at"),
+        F.format_string("https://news.example.com/the-same-beginning/%06d", (F.col("id") * 7919) % 40_000).alias("url"),
+    ).repartition(8)
+    seen, collect = [], type(rows).collect
+
+    def counted(df):
+        found = collect(df)
+        seen.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(rows), "collect", counted)
+    page = feed.news_page(rows, 350, 100, sorted_rows=50)
+    monkeypatch.undo()
+    want = [f"https://news.example.com/the-same-beginning/{n:06d}" for n in range(34_900, 35_000)]
+    assert [r["url"] for r in page.collect()] == want
+    assert max(seen) <= feed.FIRST_GROUPS
+
+
+def test_page_past_the_groups_looked_at_first(spark, monkeypatch):
+    """Whatever the number of groups looked at first, the page is the same."""
+    rows = spark.range(3000).select(
+        F.timestamp_seconds((F.col("id") * 31) % 700 * 3600).alias("published_at"),
+        F.format_string("u%05d", "id").alias("url"))
+    pages = {(n, k): None for n in (1, 7, 60) for k in (1, 5)}
+    for first in (1, 3, 1000):
+        monkeypatch.setattr(feed, "FIRST_GROUPS", first)
+        for number, size in pages:
+            got = [r["url"] for r in feed.news_page(rows, number, 10 * size, sorted_rows=20).collect()]
+            assert pages[number, size] in (None, got)
+            pages[number, size] = got
+    everything = [r["url"] for r in rows.orderBy(F.desc("published_at"), "url").collect()]
+    for (number, size), got in pages.items():
+        assert got == everything[(number - 1) * 10 * size : number * 10 * size]
+
+
+def test_a_repeated_symbol_multiplies_no_article(spark):
+    articles = spark.createDataFrame([("NVDA", "u1"), ("AMD", "u2"), ("XYZ", "u3")], "symbol string, url string")
+    stocks = spark.createDataFrame([(1, "NVDA"), (7, "NVDA"), (2, "AMD")], "id bigint, symbol string")
+    got = sorted((r["url"], r["stock_id"]) for r in art.attach_stock_id(articles, stocks).collect())
+    assert got == [("u1", 7), ("u2", 2)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from workload.queries import queries
 from newsflow.operators import articles as art
-from newsflow.operators import dedup, feed, images
+from newsflow.operators import dedup, feed, images, sentiment
 from newsflow.sources import payloads
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def big(spark, tmp_path):
 
 
 # Their work is done when the plan of their result is made.
-JOBS = {"stream_ingest", "csv_scan", "csv_scan_sentiment", "csv_scan_daily", "daily_rollup", "news_page_deep"}
+JOBS = {"stream_ingest_runs", "csv_scan_broken", "load_news_job", "csv_scan", "csv_scan_sentiment", "csv_scan_daily", "daily_rollup", "news_page_deep"}
 
 
 @needs_tables
@@ -90,3 +90,14 @@ def test_payloads_are_scanned_once_per_use(spark, tmp_path):
     text = plan(payloads.normalize(landed))
     assert text.count("Scan parquet") // 2 == 1 and "Exchange" not in text
     assert "PushedFilters: [In(provider" in text
+
+
+def test_articles_are_rolled_up_by_hash(big):
+    """Only the few rows per stock, symbol and day are compared in order."""
+    scored = big.select(
+        F.lit(1).cast("bigint").alias("stock_id"), F.col("url").alias("symbol"), F.timestamp_seconds("n").alias("published_at"),
+        F.lit("positive").alias("sentiment_label"),
+        *[F.lit(0.5).alias(c) for c in ("positive_score", "neutral_score", "negative_score", "sentiment_score")])
+    tree = sentiment.daily_sentiment(scored)._jdf.queryExecution().executedPlan().toString()
+    by_hash = tree[tree.index("HashAggregate"):]
+    assert by_hash.count("HashAggregate") == 2 and "Sort" not in by_hash
