@@ -232,7 +232,9 @@ def clean_documents(
     proximity matches count too.
     """
     _, found = _judged(docs, items, id_col, text_col, "item_id", "text", WINDOW, slop)
-    hit = found.select(F.col("id").alias("_hit_id"), F.col("version").alias("_hit_version"))
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (
-        F.xxhash64(F.col(text_col).cast("string")) == F.col("_hit_version"))
-    return docs.join(hit, same, "left_anti")
+    # Columns of any name are kept apart from those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumns({
+        "id": F.col("row")[id_col], "version": F.xxhash64(F.col("row")[text_col].cast("string"))})
+    hit = found.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version"))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version"))
+    return rows.join(hit, same, "left_anti").select("row.*")

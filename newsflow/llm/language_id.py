@@ -6,9 +6,12 @@ its weight in long texts, and the language with the smallest total wins. Letters
 are lower-cased (ASCII and Latin-1) and everything else in ASCII becomes a blank
 on both sides, so case, markup and digits do not decide.
 
-Dictionaries are made from at most ``SAMPLE_DOCS`` documents per language, those
-with the smallest hash of the id, and ``SAMPLE_CHARS`` characters of each. All
-texts are then judged whole. ``score`` grows with the margin to the second
+Dictionaries are made from at most ``SAMPLE_DOCS`` rows per language, those with the
+smallest hashes of id and text, long texts before short ones, and one stretch of
+``SAMPLE_CHARS`` characters of each, taken anywhere in the text by a hash. So at most
+``SAMPLE_DOCS`` rows of a language reach the driver, whatever ids repeat; more than
+``MOST_LANGUAGES`` languages are an error. All texts are then judged whole. Bytes that
+are not UTF-8 are compressed as they are. ``score`` grows with the margin to the second
 language, ``reliable`` is false where the margin is narrow. A NULL text, or one
 without a letter, is ``und`` with score 0, and so is every text if no language
 could be learned. Equal totals go to the language that sorts first.
@@ -25,18 +28,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsflow.llm.byte_bpe import column_type
 from newsflow.llm.tokens import Texts, sliced
+from newsflow.session import settled
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 48
 SAMPLE_CHARS = 2000
 SHORT_CHARS = 200
+MOST_LANGUAGES = 1000
 REPETITIVE = 2.6  # a sample that compresses better says little about a language
 CHUNK_BYTES = 2048
 LEVEL = 6
 NARROW = 0.01
 
-_RESULT = "id long, lang_pred string, score double, reliable boolean"
+_RESULT = "lang_pred string, score double, reliable boolean"
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -108,17 +114,19 @@ def learn(
         F.col(lang_col).cast("string").alias("lang"),
     )
     rows = rows.filter("lang IS NOT NULL AND id IS NOT NULL").filter(~held_out(F.col("id")))
+    # Any stretch of a text may be its sample, the last one too, which is as long as the others.
+    size = F.length("text")
+    place = F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(size - SAMPLE_CHARS, F.lit(0)) + 1)
+    stretch = F.substring("text", (place + 1).cast("int"), F.lit(SAMPLE_CHARS))
     # Longer texts first: they fill a dictionary with few documents.
-    narrow = rows.filter(F.length("text") > 0).select(
-        "id", "lang", (F.length("text") < SHORT_CHARS).alias("short"))
-    order = Window.partitionBy("lang").orderBy("short", F.xxhash64("id"), "id")
+    narrow = rows.filter(size > 0).select(
+        "id", "lang", (size < SHORT_CHARS).alias("short"), F.xxhash64("text").alias("version"), stretch.alias("text"))
+    order = Window.partitionBy("lang").orderBy("short", F.xxhash64("id"), "id", "version")
     chosen = narrow.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS rows per language are broadcast and collected.
-    found = (
-        rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"])
-        .select("lang", "id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .collect()
-    )
+    chosen = settled(chosen, "language-samples")
+    if chosen.filter("row = 1").count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = chosen.select("lang", "id", "text").collect()
     samples: dict[str, list[bytes]] = {}
     for row in sorted(found, key=lambda r: (r.lang, r.id, r.text)):
         data = np.frombuffer(row.text.encode("utf-8", "replace"), np.uint8)
@@ -138,5 +146,6 @@ def identify(
     docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Language, score and reliability of every document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(partial(_judge, samples=samples), _RESULT).withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {column_type(docs, id_col)}, {_RESULT}"
+    return texts.mapInArrow(partial(_judge, samples=samples), schema).withColumnRenamed("id", id_col)

@@ -26,7 +26,8 @@ lie closer together than the threshold. The buckets are what makes it scale.
 
 Rows with a NULL or empty text, or without words, have an empty set and link with
 nothing. Rows with a NULL id link with nothing. Repeated rows are copies of each
-other. Other columns, whatever their names, are left alone.
+other; different texts under one id are linked each for itself. Bytes that are not
+UTF-8 belong to words. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ _BLOCK_SHINGLES = 2_000_000
 _LEAF = 16
 _POINTS = 8_000_000  # most coordinates of one tree
 
-_SKETCH = "id long, n long, high long, low long, common boolean"
+_SKETCH = "id long, version long, n long, high long, low long, common boolean"
 _KEYS = "id long, n long, high long, low long, need long, keys array<long>"
 _EDGES = "a long, b long"
 
@@ -89,7 +90,7 @@ def _sets(batches, width) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Size and fingerprint of each set, and the shingles that repeat among some thousand rows."""
-    names = ["id", "n", "high", "low", "common"]
+    names = ["id", "version", "n", "high", "low", "common"]
     seen: list[np.ndarray] = []
 
     def repeated() -> pa.RecordBatch:
@@ -98,7 +99,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         keys, counts = keys[often], counts[often]
         nothing = np.zeros(len(keys), np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(keys), pa.int64()), pa.array(counts), column(keys), pa.array(nothing),
+            [*[pa.nulls(len(keys), pa.int64())] * 2, pa.array(counts), column(keys), pa.array(nothing),
              pa.array(nothing == 0)], names)
 
     for batch, sets in _sets(batches, width):
@@ -106,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         low = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
         n = np.array([len(s) for s in sets], np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n), column(high), column(low), pa.array(n < 0)], names)
+            [batch.column("id"), batch.column("version"), pa.array(n), column(high), column(low), pa.array(n < 0)], names)
         seen += sets
         if len(seen) >= 4096 or sum(map(len, seen)) >= _BLOCK_SHINGLES:
             yield repeated()
@@ -463,16 +464,25 @@ def near_duplicates(
     written; all tables on the way to it are removed.
     """
     with scratch(docs.sparkSession):
-        texts = docs.select(
-            F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        found = settled(_components_of(texts, width, *threshold), "near-duplicates", outlives=True)
+        found = _components_of(_versions(docs, id_col, text_col), width, *threshold)
+        found = settled(found.select("id", "n_shingles", "component_id"), "near-duplicates", outlives=True)
     return found.withColumnRenamed("id", id_col)
 
 
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, version): rows of one text share the hash of it, whatever their ids."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.withColumn("version", F.xxhash64("text"))
+
+
 def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Id, ``n_shingles`` and ``component_id`` from (id, text)."""
+    """From (id, text, version): id, version, ``n_shingles``, the group's label and ``component_id``.
+
+    Sets are told apart by the version of a text that has them, never by ids, which
+    may stand on several texts: the steps in between call it ``id``.
+    """
     sketch = settled(docs.mapInArrow(partial(_sketch, width=width), _SKETCH), "sketch")
-    sizes = sketch.filter("not common").select("id", "n", "high", "low")
+    sizes = sketch.filter("not common").select("id", "version", "n", "high", "low")
     usable = sizes.filter("id IS NOT NULL AND n > 0")
 
     # At most _COMMON_SHARE times the mean set size, whatever the number of documents.
@@ -480,9 +490,12 @@ def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     common = sketch.filter("common").groupBy("high").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     last = np.sort(np.array([r[0] for r in common.select("high").collect()], np.int64).view(np.uint64))
 
-    members = settled(usable.groupBy("high", "low").agg(F.min("id").alias("rep")), "members")
+    members = settled(
+        usable.groupBy("high", "low").agg(
+            F.min("version").alias("rep"), F.min("id").alias("least"), F.min(F.struct("version", "id"))["id"].alias("holder")),
+        "members")
     keys = (
-        docs.filter("id IS NOT NULL")
+        docs.filter("id IS NOT NULL").select(F.col("version").alias("id"), "text")
         .mapInArrow(partial(_prefixes, width=width, num=num, den=den, last=last), _KEYS)
         .filter("n > 0")
         .groupBy("high", "low")
@@ -496,9 +509,12 @@ def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     match = partial(_match, width=width, num=num, den=den)
     # Round 1: every representative in its most frequented bucket.
     first = settled(_one_bucket(buckets, F.struct("k", "key"), 1), "blocks")
-    # An id that stands on several rows has all its texts judged.
-    # The ids may outgrow a broadcast, so the texts are always shuffled to meet them.
-    held = settled(docs.hint("merge").join(first, "id"), "texts")
+    # One document that holds the text sends it, the others are copies.
+    # They may outgrow a broadcast, so the texts are always shuffled to meet them.
+    holders = first.join(members.select(F.col("rep").alias("id"), "holder"), "id").select(
+        F.col("id").alias("version"), F.col("holder").alias("id"), "block")
+    held = docs.hint("merge").join(holders, ["id", "version"]).select(F.col("version").alias("id"), "text", "block")
+    held = settled(held, "texts")
     edges = _linked_in(held.withColumn("label", F.col("id")), match, "links")
     # Every id is in one block, so the stars are the components already.
     rounds = [edges.withColumnsRenamed({"a": "vertex", "b": "component"})]
@@ -525,25 +541,42 @@ def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
                 stars = _labelled(_stars(near).join(texts, "id"), rounds)
                 rounds.append(components(_linked_in(stars, match, "links")))
 
-    grouped = _labelled(members.withColumnRenamed("rep", "id"), rounds)
+    grouped = settled(_labelled(members.withColumnRenamed("rep", "id"), rounds), "groups")
+    smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    grouped = grouped.select("high", "low", "label").join(smallest, "label")
+    linkable = F.col("id").isNotNull() & (F.col("n") > 0)
     return (
-        sizes.join(grouped.select("high", "low", "label"), ["high", "low"], "left")
+        sizes.join(grouped, ["high", "low"], "left")
         .select(
             "id",
+            "version",
             F.col("n").alias("n_shingles"),
-            F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("label")).otherwise(F.col("id")).alias("component_id"),
+            F.when(linkable, F.col("label")).alias("label"),
+            F.when(linkable, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         )
     )
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents less all but the smallest id of each near-duplicate group.
+    """The documents less all but one of each near-duplicate group, columns as they are.
 
-    Documents with an empty set or a NULL id stay. A repeated id stays once.
+    The document with the smallest id of a group stays. Documents with an empty set or a
+    NULL id stay. Different texts under one id are told apart: a text goes only for a
+    group of its own. Of rows equal in id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    repeats = found.groupBy(id_col).count().filter(f"count > 1 AND {id_col} IS NOT NULL")
-    return kept if repeats.isEmpty() else kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(
-        kept.filter(F.col(id_col).isNull()))
+    with scratch(docs.sparkSession):
+        found = _components_of(_versions(docs, id_col, text_col), 5, 75, 100)
+        found = settled(found.select("id", "version", "label"), "groups", outlives=True)
+    first = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("id", "version")).alias("first"))
+    gone = found.join(first, "label").filter(
+        (F.col("id") != F.col("first.id")) | (F.col("version") != F.col("first.version"))).select("id", "version").distinct()
+    # Columns of any name are kept apart from those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col("row")[id_col].cast("long").alias("id"), F.xxhash64(F.col("row")[text_col].cast("string")).alias("version"))
+    kept = rows.join(gone, ["id", "version"], "left_anti")
+    repeats = found.filter("id IS NOT NULL").groupBy("id", "version").count().filter("count > 1").select("id", "version")
+    if repeats.isEmpty():
+        return kept.select("row.*")
+    single = kept.join(repeats, ["id", "version"], "left_anti")
+    once = kept.join(repeats, ["id", "version"]).groupBy("id", "version").agg(F.first("row").alias("row"))
+    return single.select("row.*").unionByName(once.select("row.*"))

@@ -241,17 +241,23 @@ def train(
     label_col: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
 ) -> AdditiveModel:
-    """Fit on at most ``sample_rows`` labelled ids outside the held-out fifth."""
+    """Fit on at most ``sample_rows`` labelled rows outside the held-out fifth.
+
+    An id that stands on many rows counts with each, as far as the bound allows: those
+    with the smallest hashes of the id, then of the text.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     known = known.filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.avg("label").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     lists = F.arrow_udf(_feature_lists, "array<double>")
-    # At most sample_rows rows of 16 bytes are broadcast.
+    # At most sample_rows rows of 16 bytes are broadcast, and as many come back.
     rows = (
         texts.join(F.broadcast(sample), "id")
-        .select("id", "label", lists("text").alias("x"))
+        .select("id", "label", F.xxhash64("text").alias("version"), lists("text").alias("x"))
+        .orderBy(F.xxhash64("id"), "id", "version")
+        .limit(sample_rows)
         .collect()
     )
     rows.sort(key=lambda r: (r.id, r.x))

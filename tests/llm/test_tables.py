@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -77,6 +78,57 @@ def test_one_per_group(near):
     assert ids == Counter({*(r.component_id for r in got if r.doc_id is not None), None})
 
 
+def by_row(rows):
+    """Plain version with texts told apart by row: (n_shingles, smallest id linked) of each row."""
+    found = near_duplicate_components([(i, text) for i, (_, text, *_) in enumerate(rows)])
+    least = {}
+    for i, (_, root) in found.items():
+        least[root] = min(least.get(root, rows[i][0]), rows[i][0])
+    return Counter((rows[i][0], n, least[root]) for i, (n, root) in found.items())
+
+
+def test_different_texts_under_one_id(spark):
+    """A long text under an id takes no link from a short one, and no text goes for another's group."""
+    chance = random.Random(11)
+    words = lambda n: " ".join(f"w{chance.randrange(10**6)}" for _ in range(n))
+    short, long = words(40), words(30_000)
+    rows = [(1, short, "s"), (1, long, "s"), (2, short + " more", "s"), (4, " ".join(long.split()[:300]), "s"),
+            (5, words(50), "s"), (5, words(50), "s"), (6, long + " end", "s"), (7, words(60), "s"), (7, None, "s")]
+    rows += [(8, short + " again", "s"), (8, rows[4][1] + " again", "s")]
+    got = ngram_join.near_duplicates(rows_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_row(rows)
+    kept = {(r.doc_id, r.text) for r in ngram_join.one_per_group(rows_of(spark, rows)).collect()}
+    assert kept == {(r[0], r[1]) for r in rows if r not in (rows[2], rows[6], rows[9], rows[10])}
+
+
+def test_repeated_ids_at_random(spark):
+    """Near copies under few ids, against the plain version by row."""
+    chance = random.Random(5)
+    rows = []
+    for i, (_, text, source) in enumerate(near_rows()[:150]):
+        rows.append((chance.randrange(60), text, source))
+    got = ngram_join.near_duplicates(rows_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_row(rows)
+
+
+@pytest.mark.parametrize("stage", [1, 2, 3])
+def test_columns_named_like_those_used_inside(spark, stage):
+    """Stages keep extra columns of any name."""
+    names = ["_id", "_hit_id", "_hit_version", "_source", "_version", "_copies", "_more", "_at", "_one", "_rank", "_range",
+             "id", "version", "row", "label", "copies", "more", "rank", "sum", "rows", "doc", "hit_id", "taken_doc_id"]
+    rows = [(i, f"text number {i} of some documents", "en", f"s{i % 3}", 30) for i in range(12)] + [(3, "another one", "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    items = spark.createDataFrame([(1, "nothing of this is in there")], "item_id long, text string")
+    calls = [None, lambda: ngram_join.one_per_group(docs), lambda: decontamination.clean_documents(docs, items),
+             lambda: corpus_pipeline.source_mix(spark, docs, "")]
+    out = calls[stage]()
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert all(r[name] == f"{name}{r.doc_id}" for name in names)
+    assert out.select("doc_id", "text").distinct().count() > 0
+
+
 def test_near_duplicates_small_blocks(spark, monkeypatch):
     """Blocks, pairs of blocks and stars give the same groups as whole buckets."""
     monkeypatch.setattr(ngram_join, "_BLOCK_ROWS", 7)
