@@ -37,26 +37,29 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part; it stays whole. Rows are told apart by id, source and text. Of rows equal in
     all three, some may be taken once more than the others: they are numbered for it.
     """
-    key = ["_id", "_source", "_version"]
+    key = ["doc_id", "source", "version"]
     _, totals = mixing.mix(docs)
-    copies = totals.groupBy(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "version"), key)]).agg(
-        F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    taken = settled(copies.filter("_sum > 0").select(
-        *key, F.expr("_sum div _rows").alias("_copies"), (F.col("_sum") % F.col("_rows")).alias("_more")), "copies")
+    copies = totals.groupBy(*key).agg(F.sum("copies").alias("sum"), F.count("*").alias("rows"))
+    taken = settled(copies.filter("sum > 0").select(
+        *[F.col(k).alias(f"taken_{k}") for k in key], F.expr("sum div rows").alias("copies"),
+        (F.col("sum") % F.col("rows")).alias("more")), "copies")
+    # Columns of any name are kept apart, in one struct, from those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col("row.doc_id"), F.col("row.source"), mixing.version_of(F.col("row.text")).alias("version"))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (mixing.version_of(F.col("text")) == F.col("_version"))
+        F.col("doc_id").eqNullSafe(F.col("taken_doc_id")) & F.col("source").eqNullSafe(F.col("taken_source"))
+        & (F.col("version") == F.col("taken_version"))
     )
-    even = docs.join(taken.filter("_more = 0"), same)
+    even = rows.join(taken.filter("more = 0"), same)
     # Where the mix ends inside a group of equal rows: one group per source at most.
-    split = docs.join(taken.filter("_more > 0"), same).withColumns(
-        {"_at": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
-    split = running_sums(split, ["_at"], {"_rank": "_one"}, by=key, name="equal-rows")
-    more = F.when(F.col("_rank") <= F.col("_more"), 1).otherwise(0)
-    split = split.withColumn("_copies", F.col("_copies") + more).filter("_copies > 0")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
-    both = even.select(*docs.columns, "_copies").unionByName(split.select(*docs.columns, "_copies"))
-    return both.select(*docs.columns, each).drop("_copy")
+    split = rows.join(taken.filter("more > 0"), same).withColumns(
+        {"at": F.monotonically_increasing_id(), "one": F.lit(1).cast("long")})
+    split = running_sums(split, ["at"], {"rank": "one"}, by=key, name="equal-rows")
+    more = F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)
+    split = split.withColumn("copies", F.col("copies") + more).filter("copies > 0")
+    both = even.select("row", "copies").unionByName(split.select("row", "copies"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return both.select("row", each).select("row.*")
 
 
 def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
