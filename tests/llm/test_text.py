@@ -14,10 +14,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from newsflow.llm import compression_rules, language_id, packing, quality_model, secret_scan, token_counts
+from newsflow.llm import compression_rules, language_id, packing, quality_model, secret_scan, token_counts, tokens
 from newsflow.llm.tokens import sliced, texts, window_hashes, word_hashes, words
 from tests.llm.brute import SPACED, fold
 
@@ -290,6 +292,80 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.identify(awkward(spark), nothing).collect()} == {"und"}
 
 
+def test_languages_equal_plain_compression(spark):
+    """Prediction and score of every text, by compressing its chunks one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = language_id.learn(docs)
+    packers = {}
+    for lang, content in samples.items():
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=language_id.LEVEL)
+        packers[lang] = zstandard.ZstdCompressor(
+            level=language_id.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
+
+    def plain(text):
+        folded = "".join(c.lower() if "a" <= c.lower() <= "z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else
+                         c if ord(c) > 127 else " " for c in text).encode()
+        chunks = [folded[i : i + language_id.CHUNK_BYTES] for i in range(0, len(folded), language_id.CHUNK_BYTES)]
+        sizes = sorted((sum(len(p.compress(c)) for c in chunks), lang) for lang, p in packers.items())
+        margin = max(0.0, 1 - sizes[0][0] / sizes[1][0])
+        return sizes[0][1], min(1.0, 0.5 + 5 * margin), margin >= language_id.NARROW
+
+    for row in language_id.identify(docs, samples).join(docs.select("doc_id", "text"), "doc_id").collect():
+        lang, score, reliable = plain(row.text)
+        assert (row.lang_pred, row.reliable) == (lang, reliable) and row.score == pytest.approx(score)
+
+
+def test_samples_are_bounded_rows_of_whole_texts(spark):
+    """One id on many rows fills no dictionary beyond the bound; samples come from anywhere in a text."""
+    docs = spark.range(3000).select(
+        F.lit(1).cast("long").alias("doc_id"), F.format_string("text number %05d of many", "id").alias("text"),
+        F.lit("en").alias("lang"))
+    (content,) = language_id.learn(docs).values()
+    assert content.count(b"text number") <= language_id.SAMPLE_DOCS
+    ends = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.lit("fr").alias("lang"),
+        F.concat(F.repeat(F.lit("junk "), 2000), F.repeat(F.lit("la fin du texte "), 2000)).alias("text"))
+    ends = ends.withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
+    assert any(b"la fin" in v for v in language_id.learn(ends).values())
+    assert language_id.identify(ends.limit(0), {"fr": b"la fin du texte"}).count() == 0
+
+
+def test_quality_samples_are_bounded_rows(spark):
+    docs = spark.range(500).select(F.lit(4).cast("long").alias("doc_id"), F.format_string("text %d", "id").alias("text"))
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, quality int")
+    seen = []
+    fit, quality_model.fit = quality_model.fit, lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        quality_model.train(docs, labels, sample_rows=50)
+    finally:
+        quality_model.fit = fit
+    assert seen == [50]
+
+
+def test_quality_scores_equal_plain_sums(spark):
+    """Some features recomputed word by word, and scores as sums over the model's tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality_model.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    rows = docs.withColumn("s", quality_model.score(model, docs["text"])).collect()
+    texts = quality_model.features(tokens.texts(pa.array([r.text for r in rows])))
+    for row, x in zip(rows, texts):
+        found = re.findall(r"[^\x20\x09-\x0D]+", row.text)
+        n = max(len(found), 1)
+        assert x[0] == pytest.approx(math.log1p(len(found)))
+        assert x[1] == pytest.approx(sum(len(w.encode()) for w in found) / n)
+        assert x[7] == pytest.approx(len(set(found)) / n)
+        assert x[8] == pytest.approx(sum(a == b for a, b in zip(found, found[1:])) / n)
+        assert x[10] == pytest.approx(sum(len(w.encode()) <= 3 for w in found) / n)
+        total = model.intercept
+        for i, table in enumerate(model.tables):
+            total += table[sum(cut <= x[i] for cut in model.cuts[i])]
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            a, b = (sum(cut <= x[k] for cut in model.pair_cuts[k]) for k in (i, j))
+            total += table[a, b]
+        assert row.s == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, total)))))
+
+
 # --- tokens ---------------------------------------------------------------------------------
 
 
