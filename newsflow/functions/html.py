@@ -69,8 +69,10 @@ def _decode_piece(piece: Column) -> Column:
     name = F.substr(piece, F.lit(2))
     # An unknown name that begins with a known open one is that one and the rest.
     known = F.regexp_extract(piece, rf"^&({_OPEN_NAMES})", 1)
-    split = F.concat(_named()[known], F.substr(name, F.length(known) + 1))
-    decoded = F.coalesce(_named()[name], F.when(known != "", split), piece)
+    # Both names are looked up by one expression, so the plan holds the table once.
+    letters = F.transform(F.array(name, known), lambda key: _named()[key])
+    rest = F.substr(name, F.length(known) + 1)
+    decoded = F.get(F.transform(F.array(letters), lambda f: F.coalesce(f[0], F.concat(f[1], rest), piece)), F.lit(0))
     return (
         F.when(piece.startswith("&#") & (F.length(piece) > 2), _numbered(piece))
         .when(piece.startswith("&") & (F.length(piece) > 1), decoded)
@@ -78,15 +80,15 @@ def _decode_piece(piece: Column) -> Column:
     )
 
 
-def decode_entities(col: Column) -> Column:
-    """Replace character references once: numeric ones and all named ones."""
+def _decoded(text: Column) -> Column:
+    pieces = F.regexp_extract_all(text, F.lit(_ENTITY_PIECES), 0)
+    whole = F.array_join(F.transform(pieces, _decode_piece), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
-    def decode(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit(_ENTITY_PIECES), 0)
-        whole = F.array_join(F.transform(pieces, _decode_piece), "")
-        return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
-    return F.get(F.transform(F.array(col), decode), F.lit(0))
+def decode_entities(col: Column) -> Column:
+    """Replace character references once: numeric ones and all named ones."""
+    return F.get(F.transform(F.array(col), _decoded), F.lit(0))
 
 
 def _attributes(tag: Column) -> Column:
@@ -103,31 +105,29 @@ def _attributes(tag: Column) -> Column:
 
 
 def _last_value(attributes: Column, name: str) -> Column:
-    """Value of the last attribute called ``name``, NULL when absent."""
+    """Raw value of the last attribute called ``name``, NULL when absent."""
     named = F.filter(attributes, lambda a: a["name"] == name)
-    return decode_entities(F.try_element_at(named, F.lit(-1))["value"])
+    return F.try_element_at(named, F.lit(-1))["value"]
 
 
 def social_images(html: Column) -> Column:
     """Contents of the page's social image tags, in document order."""
     # Each step hands its result to the next as array elements, so nothing is
-    # matched twice.
+    # matched twice. The three values are decoded by one expression, and only those
+    # that hold a reference.
     tags = F.filter(
         F.regexp_extract_all(html, F.lit(_META), 2),
         lambda tag: tag.rlike(r"(?i)(?:og|twitter):image"),
     )
     values = F.transform(
         F.transform(tags, _attributes),
-        lambda a: F.struct(
-            *[_last_value(a, n).alias(n) for n in ("property", "name", "content")]
-        ),
+        lambda a: F.transform(F.array(*[_last_value(a, n) for n in ("property", "name", "content")]), _decoded),
     )
     wanted = F.filter(
         values,
-        lambda v: F.lower(first_present(v["property"], v["name"])).isin(*IMAGE_NAMES)
-        & (v["content"] != ""),
+        lambda v: F.lower(first_present(v[0], v[1])).isin(*IMAGE_NAMES) & (v[2] != ""),
     )
-    return F.transform(wanted, lambda v: F.btrim(v["content"], F.lit(_BLANKS)))
+    return F.transform(wanted, lambda v: F.btrim(v[2], F.lit(_BLANKS)))
 
 
 def social_image_url(html: Column, page_url: Column) -> Column:
