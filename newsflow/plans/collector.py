@@ -41,11 +41,16 @@ RUN_START = schemas.RUNS[0]
 
 @dataclass(frozen=True)
 class RunReport:
-    """Rows after each step of a run, rows per provider and each provider's final state."""
+    """Rows after each step of a run, rows per provider and each provider's final state.
+
+    ``assigned`` are the new articles that name a stock, ``unmatched`` those that do not.
+    """
 
     raw: int
     unique: int
     new: int
+    assigned: int
+    unmatched: int
     inserted: int
     per_provider: dict[str, int]
     status: dict[str, str]
@@ -96,7 +101,11 @@ def collect_records(
     A later run stores an article that earlier ones met but could not link, as it
     would if the runs were collected one after the other.
     """
-    assigned = assign_stock(pick_new(unique, stored), aliases)
+    return linked_records(assign_stock(pick_new(unique, stored), aliases), stocks)
+
+
+def linked_records(assigned: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Records of articles that name a stock, the first run's of each URL."""
     linked = attach_stock_id(assigned, stocks)
     if RUN_START in linked.columns:
         linked = first_seen(linked, ["url"], schemas.RUNS)
@@ -127,28 +136,30 @@ def run_collector(
     """Collect one batch of landed responses into the article table.
 
     Without ``check_phrases`` only the status decides about a provider's limit,
-    and no body is searched for it. The parsed articles are written out first: the
-    bodies are parsed once, and the report's counts read single columns of them.
+    and no body is searched for it. Each step is written out before the next one: the
+    bodies are parsed once, texts are searched once, and the report counts single
+    columns of what the steps wrote. The stored table is read for its URLs and highest id only.
     """
     require_symbols(stock_master(spark), stocks)
     stored = read_table(spark, articles_path, schemas.NEWS_ARTICLES)
-    before = stored.count()
     with scratch(spark):
         cutoffs = settled(limit_cutoffs(payloads, limit_flag(check_phrases)), "cutoffs")
         articles = settled(run_articles(payloads, as_of, cutoffs=cutoffs), "articles")
-        urls = valid_articles(articles).select("url").distinct()
-        unique, new = urls.count(), new_rows(urls, stored).count()
-        store_articles(
-            spark, articles_path, collect_records(unique_articles(articles), stored, stocks, aliases))
+        unique = settled(unique_articles(articles), "unique")
+        fresh = settled(new_rows(unique, stored), "fresh")
+        assigned = settled(assign_stock(fresh, aliases), "assigned")
+        records = settled(linked_records(assigned, stocks), "records")
+        store_articles(spark, articles_path, records)
+        # Several runs may deliver one URL, so URLs are counted.
+        urls = {name: step.select("url").distinct().count() for name, step in
+                (("unique", unique), ("new", fresh), ("assigned", assigned), ("inserted", records))}
         # At most one row per provider.
         counts = dict(map(tuple, articles.groupBy("source_api").count().collect()))
         limited = {row[0] for row in cutoffs.select("provider").distinct().collect()}
-    after = read_table(spark, articles_path, schemas.NEWS_ARTICLES).count()
     return RunReport(
         raw=sum(counts.values()),
-        unique=unique,
-        new=new,
-        inserted=after - before,
+        **urls,
+        unmatched=urls["new"] - urls["assigned"],
         per_provider={p: counts.get(p, 0) for p in PROVIDERS},
         status={p: LIMIT_HIT if p in limited else ACTIVE for p in PROVIDERS},
     )

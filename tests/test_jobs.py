@@ -213,10 +213,19 @@ def test_collector_reports_its_run(spark, stocks, tmp_path):
     path = str(tmp_path / "articles")
     report = collector.run_collector(spark, payloads, path, stocks, dt.datetime(2024, 1, 15, 12))
     assert (report.raw, report.unique, report.new, report.inserted) == (8, 5, 5, 4)
+    # u4 keeps the symbol it was requested for, which has no stock.
+    assert (report.assigned, report.unmatched) == (5, 0)
     assert report.per_provider == {ALPHA_VANTAGE: 4, FINNHUB: 2, MARKETAUX: 1, YFINANCE: 1}
     assert [report.status[p][:5] for p in (ALPHA_VANTAGE, FINNHUB)] == ["LIMIT", "ACTIV"]
     again = collector.run_collector(spark, payloads, path, stocks, dt.datetime(2024, 1, 15, 12))
-    assert (again.raw, again.new, again.inserted) == (8, 1, 0)
+    assert (again.raw, again.new, again.assigned, again.unmatched, again.inserted) == (8, 1, 1, 0, 0)
+
+
+def test_collector_counts_articles_that_name_no_stock(spark, stocks, tmp_path):
+    items = [{"headline": "Tesla", "url": "u1", "datetime": 0}, {"headline": "Rain", "url": "u2", "datetime": 0}]
+    payloads = spark.createDataFrame([feed(FINNHUB, "", 0, items)], schemas.LANDED_PAYLOAD)
+    report = collector.run_collector(spark, payloads, str(tmp_path / "articles"), stocks)
+    assert (report.new, report.assigned, report.unmatched, report.inserted) == (2, 1, 1, 1)
 
 
 def test_repeated_captures_do_not_multiply_articles(spark, stocks, tmp_path):
