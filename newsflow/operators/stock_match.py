@@ -2,7 +2,8 @@
 
 The dictionary is configuration, a few aliases per stock, so it is written into
 the plan as literals: matching is a narrow projection next to the scan, with no
-join, no shuffle and no row multiplication before the result is known.
+join, no shuffle and no row multiplication before the result is known. A dictionary of
+more than ``MOST_LITERALS`` aliases is given as a table and matched through an index.
 """
 
 from __future__ import annotations
@@ -14,11 +15,20 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.clean import null_if_blank
 from newsflow.functions.text import mentions, needed_aliases, search_text
+from newsflow.operators.alias_index import assign_stock_indexed
 from newsflow.stocks import ALIASES
 
+MOST_LITERALS = 1000
 _TEXT = "_match_text"
 
 
+def _bounded(aliases: Mapping[str, Sequence[str]]) -> Mapping[str, Sequence[str]]:
+    count = sum(map(len, aliases.values()))
+    if count > MOST_LITERALS:
+        raise ValueError(f"{count} aliases are too many for the plan: give them as a table (symbol, alias, rank)")
+    return aliases
+
+
 def stock_symbol(
     text: Column,
     own: Column,
@@ -52,14 +62,19 @@ def with_match_text(articles: DataFrame, name: str = _TEXT) -> DataFrame:
 
 def assign_stock(
     articles: DataFrame,
-    aliases: Mapping[str, Sequence[str]] = ALIASES,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = ALIASES,
     whole_words: bool = False,
 ) -> DataFrame:
     """Give each article the first stock whose alias its title or description contains.
 
     Without a hit the article keeps the symbol it was requested for; with
     neither it is dropped. Aliases match inside words unless ``whole_words``.
+    ``aliases`` may be a table (symbol, alias, rank) of any size; articles are then
+    told apart by their URL.
     """
+    if isinstance(aliases, DataFrame):
+        return assign_stock_indexed(articles, aliases, whole_words=whole_words)
+    _bounded(aliases)
     # Articles with a symbol of their own always stay. Testing that first keeps
     # the optimizer from searching every text once more in the filter.
     every_alias = [alias for names in aliases.values() for alias in names]
@@ -84,7 +99,7 @@ def all_stock_matches(
             mentions(F.col(_TEXT), names, whole_words),
             F.struct(F.lit(rank).alias("match_rank"), F.lit(name).alias("match_symbol")),
         )
-        for rank, (name, names) in enumerate(aliases.items())
+        for rank, (name, names) in enumerate(_bounded(aliases).items())
     ]
     return (
         with_match_text(articles)

@@ -93,7 +93,7 @@ def collect_records(
     unique: DataFrame,
     stored: DataFrame,
     stocks: DataFrame,
-    aliases: Mapping[str, Sequence[str]] = ALIASES,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = ALIASES,
     pick_new: Callable[[DataFrame, DataFrame], DataFrame] = new_rows,
 ) -> DataFrame:
     """Records to store for the unique articles of a run, or of several.
@@ -131,7 +131,7 @@ def run_collector(
     stocks: DataFrame,
     as_of: datetime | None = None,
     check_phrases: bool = True,
-    aliases: Mapping[str, Sequence[str]] = ALIASES,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = ALIASES,
 ) -> RunReport:
     """Collect one batch of landed responses into the article table.
 

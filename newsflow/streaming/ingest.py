@@ -41,7 +41,7 @@ def run_stream(spark: SparkSession, path: str, runs_per_batch: int | None = None
 def batch_loader(
     articles_path: str,
     stocks: DataFrame,
-    aliases: Mapping[str, Sequence[str]] = ALIASES,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = ALIASES,
     read: Callable[[SparkSession, list[str]], DataFrame] = read_payloads,
 ) -> Callable[[DataFrame, int], None]:
     """The function that stores the runs of one micro-batch."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsflow import stocks
 from newsflow.operators import articles as art
-from newsflow.operators import dedup, feed, filters, images, reports, sentiment, stock_match
+from newsflow.operators import alias_index, dedup, feed, filters, images, reports, sentiment, stock_match
 
 ARTICLE = "url string, title string, description string, symbol string"
 
@@ -112,6 +112,49 @@ def test_all_matches_in_rank_order(spark):
     assert first == {"u": "NVDA", "v": "X"}
 
 
+def dictionary(spark, aliases):
+    rows = [(name, alias, rank) for rank, (name, names) in enumerate(aliases.items()) for alias in names]
+    return spark.createDataFrame(rows, "symbol string, alias string, rank int")
+
+
+@pytest.mark.parametrize("whole_words", [False, True])
+def test_indexed_aliases_equal_literal_ones(spark, monkeypatch, whole_words):
+    """Long texts, aliases at the seams of pieces, of one character, with regex signs and outside the basic plane."""
+    monkeypatch.setattr(alias_index, "PIECE", 8)
+    rng = random.Random(3)
+    pieces = ["ab", "abc", "b", "bcd", "xyz.", "yz", "Éa", "\U0001f600q", " ", "\n", "bank of x", "bank of y"]
+    for _ in range(2):
+        aliases = {f"s{i}": [p.upper() for p in rng.sample(pieces[:8] + pieces[10:], 2)] for i in range(4)}
+        rows = [(str(i), "".join(rng.choices(pieces, k=rng.randrange(0, 30))) or None, rng.choice(["", None, "k abc"]),
+                 rng.choice(["own", "", None])) for i in range(300)]
+        df = spark.createDataFrame(rows, ARTICLE)
+        want = stock_match.assign_stock(df, aliases, whole_words)
+        got = stock_match.assign_stock(df, dictionary(spark, aliases), whole_words)
+        assert got.columns == want.columns
+        assert values(got, "url", "symbol") == values(want, "url", "symbol")
+
+
+def test_index_without_broadcast_and_its_edges(spark):
+    df = spark.createDataFrame([("u", "x" * 5000 + "needle" + "y" * 3000, "", "own"), ("v", None, None, None)], ARTICLE)
+    names = {"hay": ["", "needles"], "far": ["XNEEDLEY", None]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert values(stock_match.assign_stock(df, dictionary(spark, names)), "url", "symbol") == [("u", "far")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert values(stock_match.assign_stock(df, dictionary(spark, {}) ), "url", "symbol") == [("u", "own")]
+    with pytest.raises(ValueError):
+        stock_match.assign_stock(df, dictionary(spark, {"s": ["z" * 300]}))
+
+
+def test_literal_aliases_are_bounded(spark):
+    df = spark.createDataFrame([("u", "a", "b", "own")], ARTICLE)
+    many = {"s": [f"name {i}" for i in range(stock_match.MOST_LITERALS + 1)]}
+    for match in (stock_match.assign_stock, stock_match.all_stock_matches):
+        with pytest.raises(ValueError):
+            match(df, many)
+
+
 def test_stock_master(spark):
     master = stocks.stock_master(spark)
     assert master.count() == 20 and stocks.alias_table(spark).count() == 45

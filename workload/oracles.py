@@ -249,6 +249,16 @@ WHERE 'src' || user_id NOT IN (SELECT symbol FROM stocks)""",
 FROM matched WHERE news_id IS NOT NULL AND news_id NOT IN (SELECT doc_id FROM labels)""",
         "stock_association": _with(_ARTICLES, _STORED, _UNIQUE, _FRESH, _ASSIGNED)
         + "SELECT url, doc_id, symbol FROM assigned",
+        "stock_association_large": _with(
+            _ARTICLES,
+            _UNIQUE,
+            r"""aliases AS (
+  SELECT DISTINCT item_id AS rank, unnest(regexp_extract_all(lower(text), '\w{8,}')) AS alias FROM benchmark)""",
+            f"""hits AS (
+  SELECT url, min(rank) AS rank FROM uniq JOIN aliases ON contains({_LOWER}, alias) GROUP BY url)""",
+        )
+        + """SELECT u.url, doc_id, coalesce('item' || rank, nullif(symbol, '')) AS symbol
+FROM uniq u LEFT JOIN hits h ON h.url = u.url WHERE coalesce('item' || rank, nullif(symbol, '')) IS NOT NULL""",
         "all_stock_matches": _with(_ARTICLES)
         + "\nUNION ALL\n".join(
             f"SELECT doc_id, {rank} AS match_rank, '{s}' AS match_symbol FROM articles "

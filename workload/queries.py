@@ -367,6 +367,12 @@ def stock_association(spark, d):
     return assigned.select("url", "doc_id", "symbol")
 
 
+def stock_association_large(spark, d):
+    """Stocks of the unique articles by a dictionary that grows with the benchmark table."""
+    aliases = roles.alias_table(table(spark, d, "benchmark"))
+    return stock_match.assign_stock(_unique(spark, d), aliases).select("url", "doc_id", "symbol")
+
+
 def all_stock_matches(spark, d):
     matches = stock_match.all_stock_matches(_articles(spark, d), roles.ALIASES)
     return matches.select("doc_id", "match_rank", "match_symbol")
@@ -645,7 +651,7 @@ def queries() -> dict:
         article_record, sentiment_record, daily_record, feed_projection, feed_display, age_label,
         lookback_window, valid_articles, url_present, limit_responses, provider_breaker,
         admissible_url, attach_stock_id, missing_symbols, new_articles, new_articles_probed,
-        load_skip_counts, sentiment_match, new_sentiment, stock_association, all_stock_matches,
+        load_skip_counts, sentiment_match, new_sentiment, stock_association, stock_association_large, all_stock_matches,
         dedup_first_seen, dedup_csv, dedup_last_wins, distinct_urls, provider_counts,
         provider_status, run_funnel, load_summary_rollup, sentiment_load_summary, table_counts,
         daily_sentiment, news_page, news_page_deep, news_page_meta, latest_six, union_providers,

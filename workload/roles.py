@@ -103,6 +103,13 @@ def stocks(documents: DataFrame) -> DataFrame:
     return settled(symbols, "stocks")
 
 
+def alias_table(benchmark: DataFrame) -> DataFrame:
+    """Benchmark items as stocks, whose aliases are their words of eight letters and more."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\w{8,}"), F.lit(0)))
+    rows = benchmark.select(F.col("item_id").alias("rank"), words.alias("alias")).distinct()
+    return settled(rows.withColumn("symbol", F.concat(F.lit("item"), F.col("rank").cast("string"))), "aliases")
+
+
 def event_symbols(events: DataFrame) -> DataFrame:
     """Event users as requested symbols; most of them are not in the stock table."""
     return events.withColumn("symbol", F.concat(F.lit("src"), F.col("user_id").cast("string")))
