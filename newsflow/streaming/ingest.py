@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsflow import schemas
@@ -29,6 +30,9 @@ from newsflow.sinks.writers import read_table
 from newsflow.sources.payloads import read_payloads
 from newsflow.stocks import ALIASES
 
+# Spark's own setting: sessions are merged before the shuffle, too.
+_MERGE_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def run_stream(spark: SparkSession, path: str, runs_per_batch: int | None = None) -> DataFrame:
     """Stream of run manifests, one JSON file per finished run."""
@@ -88,3 +92,37 @@ def drop_recent_repeats(articles: DataFrame, delay: str = "2 hours") -> DataFram
     deduplication.
     """
     return articles.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["url"])
+
+
+def first_of_repeats(
+    articles: DataFrame,
+    order: Sequence[str],
+    gap: str = "2 hours",
+    delay: str = "2 hours",
+    time: str = "published_at",
+    undated: str | None = None,
+    key: str = "url",
+) -> DataFrame:
+    """Of copies of a URL at most ``gap`` apart in a chain, the first in the given order.
+
+    The same rows on a stream as on a table, whatever the order of arrival: a chain of
+    copies is a session whose state holds its first row only, and it is given out once
+    the watermark has passed its end, when no copy can join it any more. On a stream rows
+    more than ``delay`` behind the newest one are late and are left out; chains that are
+    still open stay in the state until later rows close them.
+
+    ``order`` must identify a row within its key, up to equal rows. Rows without a time
+    take ``undated``; those that have none then, or no key, are left out. Copies of a hot
+    URL are merged before the shuffle as well.
+    """
+    columns = articles.columns
+    at = F.coalesce(time, undated) if undated else F.col(time)
+    held = [c for c in columns if c not in (*order, key)]
+    # One struct, first by order; NULLs come first, as in a sort.
+    row = F.struct(*order, *[F.col(c).alias(c) for c in held])
+    timed = articles.select(F.col(key), at.cast("timestamp").alias("_event"), row.alias("_row"))
+    timed = timed.filter(F.col(key).isNotNull() & F.col("_event").isNotNull())
+    timed = timed.withWatermark("_event", delay)
+    timed.sparkSession.conf.set(_MERGE_EARLY, "true")
+    first = timed.groupBy(key, F.session_window("_event", gap)).agg(F.min("_row").alias("_row"))
+    return first.select(key, "_row.*").select(*columns)

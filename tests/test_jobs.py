@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -352,3 +353,42 @@ def test_csv_load_is_resumable_and_images_are_filled(spark, stocks, tmp_path):
     assert [r["url"] for r in rows.collect()] == ["https://h/2", "https://h/1"]
     assert tuple(summary.first()) == (1, 2, 2, True)
     assert distinct_urls(table).count() == 2
+
+
+def test_first_of_repeats_is_the_same_for_any_arrival(spark, tmp_path):
+    """Shuffled files in many batches against the plain chains: a hot URL, ties, undated rows, no URL."""
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(900):
+        url = "hot" if rng.random() < 1 / 3 else rng.choice(["", None, *[f"u{n}" for n in range(60)]])
+        at = start + dt.timedelta(minutes=rng.randrange(3000))
+        rows.append((url, None if i % 9 == 0 else at, at, rng.randrange(3), i, f"id{i}"))
+    schema = "url string, published_at timestamp, began timestamp, rank int, pos int, _row string"
+    want = []
+    for url in {r[0] for r in rows} - {None}:
+        chain, last = [], None
+        for row in sorted((r for r in rows if r[0] == url), key=lambda r: r[2]):
+            if last is not None and row[2] - last > dt.timedelta(minutes=30):
+                want.append(min(chain, key=lambda r: r[3:5])[-1])
+                chain = []
+            chain.append(row)
+            last = row[2]
+        want.append(min(chain, key=lambda r: r[3:5])[-1])
+    how = {"order": ["rank", "pos"], "gap": "30 minutes", "undated": "began"}
+    batch = ingest.first_of_repeats(spark.createDataFrame(rows, schema), **how)
+    assert batch.columns == ["url", "published_at", "began", "rank", "pos", "_row"]
+    assert sorted(r["_row"] for r in batch.collect()) == sorted(want)
+
+    # In files of any order; the delay covers all of the disorder. The last file closes all chains.
+    rng.shuffle(rows)
+    landing = str(tmp_path / "landing")
+    end = [("end", dt.datetime(2100, 1, 1), dt.datetime(2100, 1, 1), 0, 0, "end")]
+    for part in (rows[:300], rows[300:600], rows[600:], end):
+        spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        first = ingest.first_of_repeats(stream, delay="3 days", **how)
+        query = first.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint"))
+        query.trigger(availableNow=True).start(str(tmp_path / "first")).awaitTermination()
+    got = spark.read.schema(schema).parquet(str(tmp_path / "first")).filter("url <> 'end'")
+    assert sorted(r["_row"] for r in got.collect()) == sorted(want)

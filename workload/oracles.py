@@ -399,6 +399,18 @@ fresh AS (SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1)""",
             _ASSIGNED,
         )
         + f"SELECT CAST(substr(symbol, 4) AS BIGINT) AS stock_id, {_shown_articles()} FROM assigned",
+        "stream_dedup": _with(
+            _ARTICLES,
+            """breaks AS (
+  SELECT *, CASE WHEN doc_id - lag(doc_id) OVER (PARTITION BY url ORDER BY doc_id) <= 1440 THEN 0 ELSE 1 END AS fresh
+  FROM articles),
+chains AS (SELECT *, sum(fresh) OVER (PARTITION BY url ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS chain FROM breaks),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY url, chain ORDER BY provider_rank, symbol_rank, doc_id) AS rn
+  FROM chains)""",
+        )
+        + """SELECT doc_id, provider_rank, symbol_rank, source_api, symbol, source, url, published_at
+FROM ranked WHERE rn = 1""",
         "normalize_feed_compact_ts": _feed("Alpha Vantage", 0),
         "normalize_feed_epoch": _feed("Finnhub", 1),
         "normalize_feed_plain": _feed("Marketaux", 2),

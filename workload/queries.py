@@ -13,7 +13,7 @@ from newsflow.operators import articles as art
 from newsflow.operators import dedup, feed, filters, images, reports, sentiment, stock_match
 from newsflow.plans import collector, csv_load
 from newsflow.plans import daily_rollup as rollup_job
-from newsflow.session import shared_path
+from newsflow.session import settled, shared_path
 from newsflow.sinks import merge
 from newsflow.sinks.writers import append_new, read_table
 from newsflow.sources import csv_files, payloads
@@ -645,6 +645,30 @@ def stream_ingest_runs(spark, d):
     return _shown(stored.drop("id", "text", "image_url", "published_day"))
 
 
+def stream_dedup(spark, d):
+    """Ordered deduplication of a stream of articles that arrive up to five hours out of order.
+
+    They land in two parts, each taken by a stream that goes on from the checkpoint; a row
+    from the far future lands last and closes what is open.
+    """
+    home = shared_path(spark, "dedup")
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(300))
+    rows = _articles(spark, d).drop("description", "title").withColumn("part", (F.col("doc_id") + late) >= 5000)
+    rows = settled(rows, "arrivals")
+    found = rows.drop("part").limit(0)
+    columns = {"url": F.lit("end"), "published_at": F.lit("9000-01-01 00:00:00").cast("timestamp")}
+    end = spark.range(1).select(*[
+        columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema])
+    for landing in (rows.filter("NOT part").drop("part"), rows.filter("part").drop("part"), end):
+        landing.write.mode("append").parquet(f"{home}/landing")
+        stream = spark.readStream.schema(found.schema).parquet(f"{home}/landing")
+        first = ingest.first_of_repeats(stream, roles.ORDER, gap="1 day", delay="6 hours")
+        query = first.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint")
+        query.trigger(availableNow=True).start(f"{home}/first").awaitTermination()
+    stored = spark.read.schema(found.schema).parquet(f"{home}/first")
+    return _shown(stored.filter("url <> 'end'"))
+
+
 def queries() -> dict:
     found = [
         stock_dim, stock_lookup, null_image_rows, payload_parse, csv_scan,
@@ -657,7 +681,7 @@ def queries() -> dict:
         daily_sentiment, news_page, news_page_deep, news_page_meta, latest_six, union_providers,
         clean_values, parse_times, request_window, url_parts, resolve_url, short_title,
         image_extract, backfill_counts, fill_missing_image, insert_if_absent, upsert_daily,
-        collector_run, stream_ingest_runs, csv_scan_broken, load_news_job, csv_scan_sentiment, csv_scan_daily,
+        collector_run, stream_ingest_runs, stream_dedup, csv_scan_broken, load_news_job, csv_scan_sentiment, csv_scan_daily,
         daily_rollup,
     ]
     named = {q.__name__: q for q in found}
