@@ -61,15 +61,9 @@ def _pieces(text: Column, longest: int) -> Column:
 
 
 def _grams(piece: Column, sizes: list[int]) -> Column:
-    """All grams of the piece with their places, counted from 1."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(piece, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)),
-            lambda gram, at: F.struct((at + 1).alias("at"), gram.alias("gram")),
-        )
-        for size in sizes
-    ]
-    return F.flatten(F.array(*found))
+    """The grams of the piece at each of its places, one list per size."""
+    return F.array(*[
+        F.regexp_extract_all(piece, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)) for size in sizes])
 
 
 def least_ranks(articles: DataFrame, index: DataFrame, key: str = "url", whole_words: bool = False) -> DataFrame:
@@ -83,9 +77,9 @@ def least_ranks(articles: DataFrame, index: DataFrame, key: str = "url", whole_w
         return articles.select(key, F.lit(None).cast("long").alias("alias_rank")).limit(0)
     text = search_text(F.col("title"), F.col("description"))
     pieces = articles.select(F.col(key).alias("key"), F.explode(_pieces(text, longest)).alias("piece"))
-    grams = pieces.select("key", "piece", F.explode(_grams(F.col("piece"), sorted(sizes))).alias("g"))
-    grams = grams.select("key", "piece", F.col("g.at").alias("at"), F.col("g.gram").alias("alias_gram"))
-    start = F.col("at") - F.col("alias_at")
+    lists = pieces.select("key", "piece", F.explode(_grams(F.col("piece"), sorted(sizes))).alias("list"))
+    grams = lists.select("key", "piece", F.posexplode("list").alias("at", "alias_gram"))
+    start = F.col("at") + 1 - F.col("alias_at")
     here = start.between(2, PIECE + 1) & (F.substr("piece", start, F.col("alias_size")) == F.col("alias"))
     if whole_words:
         around = F.concat(
