@@ -82,6 +82,9 @@ def assign_stock(
     any_hit = F.exists(text, lambda t: mentions(t, every_alias, whole_words))
     stays = F.coalesce(F.col("symbol") != "", F.lit(False)) | any_hit
     symbol = stock_symbol(F.col(_TEXT), F.col("symbol"), aliases, whole_words)
+    # What stays has a symbol. A column that cannot be NULL says so to a later join, which
+    # would otherwise search the texts once more, lowered for each alias, to drop NULLs.
+    symbol = F.coalesce(symbol, F.lit(""))
     return with_match_text(articles.filter(stays)).withColumn("symbol", symbol).drop(_TEXT)
 
 

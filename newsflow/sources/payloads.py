@@ -70,7 +70,8 @@ def is_limit_response(
 
     A body that is not JSON never counts: such a response is lost without
     switching the provider off. The phrase test also fires on article text; it
-    can be left out, and then the body is only read for the JSON test.
+    can be left out, and then the body is only read for the JSON test. Bodies of
+    providers without a limit are not searched.
     """
     signal = status.isin(*LIMIT_STATUS)
     if check_phrases:
@@ -78,10 +79,11 @@ def is_limit_response(
         # once and not once per phrase.
         lowered = F.array(F.lower(body))
         signal = signal | F.exists(lowered, lambda text: mentions(text, LIMIT_PHRASES))
-    hit = signal & is_json(body)
     if provider is not None:
-        hit = hit & ~provider.isin(*UNLIMITED_PROVIDERS)
-    return F.coalesce(hit, F.lit(False))
+        signal = ~provider.isin(*UNLIMITED_PROVIDERS) & signal
+    # A condition of its own: what the JSON test uses several times would otherwise be
+    # computed for every body first.
+    return F.coalesce(F.when(signal, is_json(body)), F.lit(False))
 
 
 def limit_cutoffs(

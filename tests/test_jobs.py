@@ -16,6 +16,8 @@ from newsflow.plans import collector, csv_load, daily_rollup, image_backfill, ne
 from newsflow.sinks import merge, writers
 from newsflow.stocks import ALPHA_VANTAGE, FINNHUB, MARKETAUX, SYMBOLS, YFINANCE
 from newsflow.streaming import ingest
+from workload import queries as workload_queries
+from workload import roles
 
 
 @pytest.fixture
@@ -392,3 +394,20 @@ def test_first_of_repeats_is_the_same_for_any_arrival(spark, tmp_path):
         query.trigger(availableNow=True).start(str(tmp_path / "first")).awaitTermination()
     got = spark.read.schema(schema).parquet(str(tmp_path / "first")).filter("url <> 'end'")
     assert sorted(r["_row"] for r in got.collect()) == sorted(want)
+
+
+def test_runs_of_a_day_land_in_one_folder(spark, tmp_path):
+    """2,000 documents are 40 runs of 50 minutes, which began on two days."""
+    docs = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1500).alias("text"),
+        F.lit("fr").alias("lang"), F.lit("src1").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    manifests = roles.run_manifests(docs, "/landing").collect()
+    assert len({m["run_id"] for m in manifests}) == len(manifests) == 40
+    assert {m["path"] for m in manifests} == {"/landing/day=2024-01-01", "/landing/day=2024-01-02"}
+    got = workload_queries.stream_ingest_runs(spark, str(tmp_path))
+    # Every fourth run ends at place 13; the copies in later runs are stored already, unless it was cut there.
+    kept = {n % 1500 for n in range(2000) if n // 50 % 4 or n % 50 < 13}
+    assert got.count() == 2 * len(kept)
+    assert got.select("url").distinct().count() == 2 * len(kept)

@@ -184,3 +184,12 @@ def test_reading_landed_files(spark, tmp_path):
     back = payloads.read_payloads(spark, str(tmp_path / "in"))
     assert back.schema.names == schemas.LANDED_PAYLOAD.names
     assert payloads.normalize(back).count() == 1
+
+
+def test_bodies_of_unlimited_providers_are_not_searched(spark):
+    rows = landed(spark, [(YFINANCE, "A", 0, 200, "{}"), (YFINANCE, "A", 1, 429, "{}"), (FINNHUB, "A", 2, 200, '"quota"'),
+                          (FINNHUB, "A", 3, 200, "{}"), (None, "A", 4, 429, "{}")])
+    provider = F.col("provider")
+    body = F.when(provider == YFINANCE, F.raise_error(F.lit("searched"))).otherwise(F.col("body"))
+    hit = payloads.is_limit_response(F.col("status"), body, provider)
+    assert payloads.limit_cutoffs(rows, hit).collect() == [("run", FINNHUB, 2)]

@@ -9,9 +9,11 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
+from newsflow import schemas
 from workload.queries import queries
 from newsflow.operators import articles as art
 from newsflow.operators import dedup, feed, images, sentiment
+from newsflow.operators.stock_match import assign_stock
 from newsflow.sources import payloads
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -101,3 +103,33 @@ def test_articles_are_rolled_up_by_hash(big):
     tree = sentiment.daily_sentiment(scored)._jdf.queryExecution().executedPlan().toString()
     by_hash = tree[tree.index("HashAggregate"):]
     assert by_hash.count("HashAggregate") == 2 and "Sort" not in by_hash
+
+
+def test_many_folders_are_listed_by_a_bounded_number_of_tasks(spark, tmp_path):
+    folders = [tmp_path / f"run={n}" for n in range(300)]
+    for folder in folders:
+        folder.mkdir()
+        (folder / "a.json").write_text('{"run_id": "r", "seq": 1}\n')
+    context = spark.sparkContext
+    try:
+        context.setJobGroup("listing", "listing")
+        landed = payloads.read_payloads(spark, [str(f) for f in folders])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = [s for job in status.getJobIdsForGroup("listing") for s in status.getJobInfo(job).stageIds]
+    assert 0 < sum(status.getStageInfo(s).numTasks for s in stages) <= 200
+    assert landed.count() == 300
+
+
+def test_a_join_by_symbol_does_not_search_the_texts_again(spark):
+    """It drops NULL keys, and the symbol is computed from the text."""
+    rows = [("u1", "AMD", "t", "d"), ("u2", "", "Acme", None), ("u3", None, "t", "d"), ("u4", "", "ACME", "x")]
+    rows = spark.createDataFrame(rows, "url string, symbol string, title string, description string")
+    rows = rows.withColumn("n", F.length("url"))
+    stocks = spark.createDataFrame([(1, "AMD"), (2, "ACM")], schemas.STOCKS)
+    linked = art.attach_stock_id(assign_stock(rows, {"ACM": ("acme", "roadrunner")}), stocks)
+    assert sorted(map(tuple, linked.select("url", "symbol", "stock_id").collect())) == [
+        ("u1", "AMD", 1), ("u2", "ACM", 2), ("u4", "ACM", 2)]
+    text = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("lower(") == 2  # the test whether a row stays, and the text of the match

@@ -636,7 +636,8 @@ def stream_ingest_runs(spark, d):
     """
     docs = _docs(spark, d)
     home = shared_path(spark, "stream")
-    roles.in_runs(docs).repartition("run").write.partitionBy("run").json(f"{home}/landing")
+    landing = roles.in_runs(docs).hint("rebalance", "day")
+    landing.write.partitionBy("day").json(f"{home}/landing")
     roles.run_manifests(docs, f"{home}/landing").coalesce(1).write.json(f"{home}/runs")
     loader = ingest.batch_loader(f"{home}/articles", roles.stocks(docs), roles.ALIASES)
     stream = ingest.run_stream(spark, f"{home}/runs")

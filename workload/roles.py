@@ -258,8 +258,12 @@ def landed(documents: DataFrame, provider: str | None = None) -> DataFrame:
     )
 
 
+def _run_start(run: Column) -> Column:
+    return doc_time(run * RUN_DOCUMENTS)
+
+
 def in_runs(documents: DataFrame) -> DataFrame:
-    """Documents as landed responses of many runs, ``RUN_DOCUMENTS`` ids each, with their number.
+    """Documents as landed responses of many runs, ``RUN_DOCUMENTS`` ids each, with the run's day.
 
     In every fourth run the response in place 13 signals a limit. Copies of a text stand
     in several runs, under one URL.
@@ -269,17 +273,18 @@ def in_runs(documents: DataFrame) -> DataFrame:
     return payloads.withColumns({
         "run_id": F.concat(F.lit("run-"), F.col("run").cast("string")),
         "status": F.when(limited, 429).otherwise(F.col("status")),
-    })
+        "day": F.to_date(_run_start(F.col("run"))),
+    }).drop("run")
 
 
 def run_manifests(documents: DataFrame, landing: str) -> DataFrame:
-    """A manifest per run of :func:`in_runs`, whose responses land in a folder of their own."""
-    run = F.col("run").cast("string")
-    began = F.date_format(doc_time(F.col("run") * RUN_DOCUMENTS), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A manifest per run of :func:`in_runs`, whose responses land in the folder of its day."""
+    run, start = F.col("run").cast("string"), _run_start(F.col("run"))
+    began = F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return documents.select(_run_of(F.col("doc_id")).alias("run")).distinct().select(
         F.concat(F.lit("run-"), run).alias("run_id"),
         began.alias("started_at"),
-        F.concat(F.lit(f"{landing}/run="), run).alias("path"),
+        F.concat(F.lit(f"{landing}/day="), F.to_date(start).cast("string")).alias("path"),
     )
 
 
