@@ -51,7 +51,9 @@ TOP, LEAST, LONGEST, COVERED = 2000, 30, 4, 80
 FILTER_BITS = 26
 UNKNOWN = "und"
 WIDER = 4
-_SLICE_BYTES = 4 << 20
+# What a task reads, counts and hands over at once; executors hold a few such pieces.
+_SLICE_BYTES = 2 << 20
+_BATCH_ROWS = 1 << 15
 _IS_END = np.zeros(256, bool)
 _IS_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _IS_WORD = ~_IS_END
@@ -94,13 +96,16 @@ class _Slice:
     def parts(self, at: np.ndarray, width: int) -> list[np.ndarray]:
         return [self.hashes[at + i] for i in range(width)]
 
-    def counted(self, at: np.ndarray, width: int, longest: int) -> pa.RecordBatch:
+    def counted(self, at: np.ndarray, width: int, longest: int) -> Iterator[pa.RecordBatch]:
         """How often each window occurs; words beyond ``width`` are NULL."""
         _, chosen, counts = np.unique(_key(self.parts(at, width)), return_index=True, return_counts=True)
-        more = [pa.nulls(len(chosen), pa.int64())] * (longest - width)
-        return pa.RecordBatch.from_arrays(
-            [*[column(part) for part in self.parts(at[chosen], width)], *more, pa.array(counts.astype(np.int64))],
-            [*_names(longest), "n"])
+        at = at[chosen]
+        for low in range(0, len(at), _BATCH_ROWS):
+            own = at[low : low + _BATCH_ROWS]
+            more = [pa.nulls(len(own), pa.int64())] * (longest - width)
+            number = pa.array(counts[low : low + _BATCH_ROWS].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*[column(part) for part in self.parts(own, width)], *more, number], [*_names(longest), "n"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
@@ -112,7 +117,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
         names = coded.dictionary.to_pylist()
         lang = coded.indices.to_numpy(zero_copy_only=False)[found.row]
         hashes = _key([_language_hashes(names)[lang], word_hashes(rows, found, lower=True)])
-        yield _Slice(rows, found, hashes, np.cumsum(_IS_END[rows.data])[found.start], lang, names)
+        piece = np.searchsorted(np.flatnonzero(_IS_END[rows.data]), found.start)
+        yield _Slice(rows, found, hashes, piece, lang, names)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +138,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Ite
     for own in _read(batches):
         good = _holds(frequent, _key([own.hashes]))
         at = own.windows(2)
-        yield own.counted(at[good[at] & good[at + 1]], 2, 2)
+        yield from own.counted(at[good[at] & good[at + 1]], 2, 2)
 
 
 def _grow(
@@ -151,13 +157,13 @@ def _grow(
         for width in range(3, longest + 1):
             at = own.windows(width)
             good = np.logical_and.reduce([pair[at + i] for i in range(width - 1)])
-            yield own.counted(at[good & (grown[at] | grown[at + 1])], width, longest)
+            yield from own.counted(at[good & (grown[at] | grown[at + 1])], width, longest)
 
 
 def _count_given(batches: Iterator[pa.RecordBatch], width: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for own in _read(batches):
         at = own.windows(width)
-        yield own.counted(at[_holds(wanted, _key(own.parts(at, width)))], width, width)
+        yield from own.counted(at[_holds(wanted, _key(own.parts(at, width)))], width, width)
 
 
 def _spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

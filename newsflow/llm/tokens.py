@@ -29,7 +29,7 @@ _BYTE_CODE = np.random.Generator(np.random.PCG64(20240115)).integers(
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
+_BLOCK = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,15 +39,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, count: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < count:
-        full = np.full(max(count, _SLICE_BYTES + 1), base, dtype=np.uint64)
-        full[0] = 1
-        known = np.cumprod(full)
-        if count <= 4 * _SLICE_BYTES:
-            _powers[base] = known
-    return known[:count]
+def _powers(base: int) -> np.ndarray:
+    full = np.full(_BLOCK + 1, base, dtype=np.uint64)
+    full[0] = 1
+    return np.cumprod(full)
+
+
+_POWERS, _INVERSE_POWERS = _powers(_BASE), _powers(_BASE_INVERSE)
 
 
 @dataclass(frozen=True)
@@ -122,14 +120,30 @@ def words(rows: Texts, is_word: np.ndarray = _IS_WORD) -> Words:
 
 
 def word_hashes(rows: Texts, found: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    data = _LOWER[rows.data] if lower else rows.data
-    terms = _BYTE_CODE[data] * _power(_BASE, len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(terms, out=total[1:])
-    inverse = _power(_BASE_INVERSE, len(data) + 1)
-    length = (found.end - found.start).astype(np.uint64)
-    return mixed((total[found.end] - total[found.start]) * inverse[found.start] + length)
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+    Words come in order of place. Bytes are summed block by block, so that memory
+    beyond the words' own does not grow with the texts.
+    """
+    hashes = np.zeros(len(found.start), np.uint64)
+    inverse = np.empty(len(found.start), np.uint64)
+    # Sum of the blocks before; what the block's first byte and its inverse are scaled by.
+    before, scale, inverse_scale = np.uint64(0), 1, 1
+    for low in range(0, len(rows.data) + 1, _BLOCK):
+        part = rows.data[low : low + _BLOCK]
+        terms = _BYTE_CODE[_LOWER[part] if lower else part] * _POWERS[: len(part)]
+        total = np.concatenate(([before], terms * np.uint64(scale)))
+        np.cumsum(total, out=total)
+        first, last = np.searchsorted(found.end, (low, low + _BLOCK))
+        hashes[first:last] += total[found.end[first:last] - low]
+        first, last = np.searchsorted(found.start, (low, low + _BLOCK))
+        place = found.start[first:last] - low
+        hashes[first:last] -= total[place]
+        inverse[first:last] = _INVERSE_POWERS[place] * np.uint64(inverse_scale)
+        before = total[-1]
+        scale = scale * int(_POWERS[_BLOCK]) % 2**64
+        inverse_scale = inverse_scale * int(_INVERSE_POWERS[_BLOCK]) % 2**64
+    return mixed(hashes * inverse + (found.end - found.start).astype(np.uint64))
 
 
 def window_hashes(found: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +123,21 @@ def test_pieces_and_rows_end_windows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a b.c d", "e f"]), pa.array(["en", "en"])], ["text", "lang"])
     (own,) = collocations._read(iter([batch]))
     assert own.windows(2).tolist() == [0, 2, 4] and own.windows(3).tolist() == []
+
+
+def test_a_slice_takes_bounded_memory():
+    """Reading and counting a slice takes some numbers a word, but none a byte."""
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([" ".join(f"word{i % 997}x{i % 89}" for i in range(1000))] * 400), pa.array(["en"] * 400)], ["text", "lang"])
+    everything = np.full(1 << 20, np.uint64(2**64 - 1))
+    for count in (
+        collocations._count_words,
+        partial(collocations._count_pairs, frequent=everything),
+        partial(collocations._grow, longest=4, frequent=everything, frontier=everything),
+    ):
+        tracemalloc.start()
+        try:
+            assert sum(len(found) for found in count(iter([batch]))) > 0
+            assert tracemalloc.get_traced_memory()[1] < 64 << 20
+        finally:
+            tracemalloc.stop()

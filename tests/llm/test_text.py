@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -61,6 +62,31 @@ def test_words_and_windows(values):
     assert [(a == b) for a in pairs for b in pairs] == [(a == b) for a in windows for b in windows]
 
 
+@pytest.mark.parametrize("lead", [0, 1, 65_530, 65_535, 65_536, 65_537, 200_000])
+def test_hashes_do_not_depend_on_place(lead):
+    """Words before, at, across and after the blocks bytes are summed in."""
+    wanted = ["Alpha", "b" * 65_536, "c" * 150_000, "Alpha", "b"]
+    rows = texts(pa.array(["x" * lead + " " + " ".join(wanted), None, "Alpha"], pa.string()))
+    got = word_hashes(rows, words(rows))[lead > 0 :].tolist()
+    alone = [word_hashes(one, words(one))[0] for one in (texts(pa.array([w])) for w in wanted)]
+    assert got == [*alone, alone[0]]
+    lowered = word_hashes(rows, words(rows), lower=True)[lead > 0 :]
+    one = texts(pa.array(["alpha"]))
+    assert lowered[0] == lowered[3] == lowered[5] == word_hashes(one, words(one))[0] != alone[0]
+
+
+def test_hashing_takes_no_memory_per_byte():
+    """Beyond some numbers a word, memory is that of one block, however long the text."""
+    rows = texts(pa.array(["x" * 999 + " "]).take(pa.array([0] * 20_000)))
+    found = words(rows)
+    tracemalloc.start()
+    try:
+        word_hashes(rows, found, lower=True)
+        assert tracemalloc.get_traced_memory()[1] < len(rows.data) / 2
+    finally:
+        tracemalloc.stop()
+
+
 def test_slices_keep_whole_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["aa", None, "b" * 50, "", "c"])], ["text"])
     cut = list(sliced([batch], "text", max_bytes=3))
