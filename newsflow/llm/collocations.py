@@ -35,13 +35,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsflow.llm.tokens import _LOWER, Texts, Words, column, mixed, sliced, word_hashes, words
@@ -54,6 +55,7 @@ WIDER = 4
 # What a task reads, counts and hands over at once; executors hold a few such pieces.
 _SLICE_BYTES = 1 << 20
 _BATCH_ROWS = 1 << 15
+_BATCH_BYTES = 4 << 20
 _IS_END = np.zeros(256, bool)
 _IS_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _IS_WORD = ~_IS_END
@@ -203,6 +205,18 @@ def phrase_filter(phrases: DataFrame, width: int) -> np.ndarray:
     return bits
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in batches of ``_BATCH_BYTES``, since executors hold a batch several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Corpus:
     """Counts of words and windows in the texts of ``docs``."""
 
@@ -214,7 +228,8 @@ class Corpus:
     def words(self) -> DataFrame:
         """All words: lang, w1 (hash), word, n."""
         found = self.texts.mapInArrow(_count_words, "lang string, w1 long, word string, n long")
-        total = settled(found.groupBy("lang", "w1", "word").agg(F.sum("n").alias("n")), "phrase-words")
+        with _small_batches(self.texts.sparkSession):
+            total = settled(found.groupBy("lang", "w1", "word").agg(F.sum("n").alias("n")), "phrase-words")
         clash = total.groupBy("w1").count().filter("count > 1").head(1)
         if clash:
             raise ValueError(f"two words share the hash {clash[0].w1}")
@@ -225,7 +240,8 @@ class Corpus:
         names = _names(width)
         found = self.texts.mapInArrow(count, ", ".join(f"{n} long" for n in [*names, "n"]))
         total = found.groupBy(*names).agg(F.sum("n").alias("n"))
-        return settled(total.filter(F.col("n") >= self.least), name)
+        with _small_batches(self.texts.sparkSession):
+            return settled(total.filter(F.col("n") >= self.least), name)
 
 
 def _joined(rows: DataFrame, counts: DataFrame, width: int, first: int, name: str, *more: str) -> DataFrame:

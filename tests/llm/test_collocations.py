@@ -141,3 +141,18 @@ def test_a_slice_takes_bounded_memory():
             assert tracemalloc.get_traced_memory()[1] < 64 << 20
         finally:
             tracemalloc.stop()
+
+
+def test_rows_reach_python_in_bounded_batches(spark):
+    """Batches are bounded in bytes, and the session's own setting holds again afterwards."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([1])], ["w1", "n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.range(3000, numPartitions=1).selectExpr("'en' AS lang", "repeat('word text ', 1000) AS text")
+    found = collocations.Corpus(docs, "text", "lang", 1).windows(sizes, 1, "batch-sizes")
+    assert found.agg(F.max("w1")).first()[0] < 2 * collocations._BATCH_BYTES
+    assert spark.conf.get(key, None) == before
