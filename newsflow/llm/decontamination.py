@@ -30,20 +30,30 @@ WINDOW = 10
 RAREST = 3
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# What stands between words, ASCII without letters and digits, one by one: Java looks
+# such a class up in a table, but tests ranges one after the other through objects that
+# the threads of one JVM get in each other's way with.
+_BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+
+
+def lowered(text: Column) -> Column:
+    """The text with A-Z lower-cased and nothing else changed."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def cut(text: Column) -> Column:
+    """Words of the text as they stand."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), _BETWEEN), "")
 
 
 def words_of(text: Column) -> Column:
     """Words of the text with A-Z lower-cased and nothing else changed."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    plain = F.octet_length(text) == F.length(text)
-    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
-    return F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
+    return cut(lowered(text.cast("string")))
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(_ANY_CASE_WORD)).cast("long")
+    return F.size(cut(text)).cast("long")
 
 
 def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -57,7 +67,7 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """How often the corpus uses each benchmark term, over all documents."""
     terms = settled(windows.select(F.explode("window").alias("term")).distinct(), "terms")
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    tokens = docs.select(F.explode(cut(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
     return settled(tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("uses")), "uses")
 
 
@@ -76,7 +86,8 @@ def anchors_of(windows: DataFrame, uses: DataFrame, rarest: int = RAREST) -> Dat
 def postings_of(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """The index: (term, id, version, pos) of all terms some window is anchored at."""
     terms = settled(anchors.select(F.explode("anchors.term").alias("term")).distinct(), "anchors")
-    tokens = docs.select("id", "version", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    tokens = docs.select("id", "version", F.posexplode(cut(F.col("text"))).alias("pos", "word")).select(
+        lowered(F.col("word")).alias("term"), "id", "version", "pos")
     return settled(tokens.join(terms, "term", "left_semi"), "postings")
 
 
@@ -87,37 +98,61 @@ def occurrences(postings: DataFrame, anchors: DataFrame, rarest: int = RAREST, s
     proximity matches instead of candidates for exact ones.
     """
     anchor = F.col("anchors")[0]
-    lists = anchors.select("window", "anchors", anchor["term"].alias("term"), anchor["offset"].alias("offset"))
+    # Windows travel as a number; two with the same one would both be candidates.
+    numbered = anchors.withColumn("number", F.xxhash64("window"))
+    further = [
+        c for k in range(1, rarest)
+        for c in (F.get("anchors", F.lit(k))["term"].alias(f"term{k}"), F.get("anchors", F.lit(k))["offset"].alias(f"offset{k}"))
+    ]
+    lists = numbered.select("number", anchor["term"].alias("term"), anchor["offset"].alias("offset"), *further)
+    carried = [c for c in lists.columns if c not in ("term", "offset")]
     found = postings.join(lists, "term").select(
-        "id", "version", (F.col("pos") - F.col("offset")).alias("start"), "window", "anchors"
+        "id", "version", (F.col("pos") - F.col("offset")).alias("start"), *carried
     ).filter(F.col("start") >= -slop)
     for k in range(1, rarest):
-        anchor = F.col("anchors")[k]
-        wanted = found.filter(F.size("anchors") > k).withColumns(
-            {"_term": anchor["term"], "_pos": F.col("start") + anchor["offset"]})
-        other = postings.select(
-            F.col("id").alias("_id"), F.col("version").alias("_version"),
-            F.col("term").alias("_other"), F.col("pos").alias("_at"))
+        found = settled(found, "found")
+        wanted = found.filter(F.col(f"term{k}").isNotNull()).withColumns(
+            {"_term": F.col(f"term{k}"), "_pos": F.col("start") + F.col(f"offset{k}")})
+        if slop:  # each place the term may stand at, so that lists meet by equality
+            wanted = wanted.withColumn("_pos", F.explode(F.sequence(F.col("_pos") - slop, F.col("_pos") + slop)))
         here = (
             F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-            & (F.col("_term") == F.col("_other"))
+            & (F.col("term") == F.col("_term")) & (F.col("pos") == F.col("_pos"))
         )
-        if slop:  # each place the term may stand at, so that lists meet by equality
-            wanted = wanted.withColumn("_pos", F.explode(F.sequence(F.col("_pos") - slop, F.col("_pos") + slop)))
-        kept = wanted.join(other, here & (F.col("_pos") == F.col("_at")), "left_semi").drop("_term", "_pos")
+        places = wanted.select(
+            F.col("id").alias("_id"), F.col("version").alias("_version"), "_term", "_pos").distinct()
+        # Of the long lists, which are not sorted for it, those places stay that are asked for.
+        terms = lists.select(f"term{k}").distinct()
+        other = postings.join(terms, F.col("term") == F.col(f"term{k}"), "left_semi")
+        there = other.join(places.hint("shuffle_hash") if k == 1 else places, here, "left_semi").select(
+            F.col("id").alias("_id"), F.col("version").alias("_version"), "term", "pos")
+        there = settled(there, "there")
+        here = (
+            F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+            & (F.col("_term") == F.col("term")) & (F.col("_pos") == F.col("pos"))
+        )
+        kept = wanted.join(there, here, "left_semi").drop("_term", "_pos")
         kept = kept.distinct() if slop else kept
-        found = kept.unionByName(found.filter(F.size("anchors") <= k))
-    return found.select("id", "version", "start", "window")
+        found = kept.unionByName(found.filter(F.col(f"term{k}").isNull()))
+    return found.join(numbered.select("number", "window"), "number").select("id", "version", "start", "window")
 
 
-def exact_hits(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Documents with occurrences: id, version, n_hit words and the windows that occur."""
+def _texts_with(docs: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
+    """Documents with candidates: id, version, their words w and the (start, window) to be checked."""
     per_doc = candidates.groupBy("id", "version").agg(F.collect_set(F.struct("start", "window")).alias("starts"))
-    per_doc = settled(per_doc, "starts").withColumnsRenamed({"id": "_id", "version": "_version"})
+    per_doc = settled(per_doc, f"{name}-starts").withColumnsRenamed({"id": "_id", "version": "_version"})
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    # The ids alone are sent to the texts, which stay in place if the ids are few enough.
+    ids = settled(per_doc.select("_id", "_version"), f"{name}-ids")
     # Written, so that each of these texts is cut into words once.
     read = settled(
-        docs.join(per_doc, same).select("id", "version", words_of(F.col("text")).alias("w"), "starts"), "read")
+        docs.join(ids, same, "left_semi").select("id", "version", words_of(F.col("text")).alias("w")), f"{name}-read")
+    return read.join(per_doc, same).select("id", "version", "w", "starts")
+
+
+def exact_hits(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Documents with occurrences: id, version, n_hit words and the windows that occur."""
+    read = _texts_with(docs, candidates, "exact")
     true = F.filter(
         "starts", lambda s: F.slice(F.col("w"), s["start"] + 1, F.size(s["window"])) == s["window"])
     hits = read.select("id", "version", true.alias("hits")).filter("size(hits) > 0")
@@ -133,11 +168,7 @@ def near_hits(docs: DataFrame, candidates: DataFrame, slop: int) -> DataFrame:
 
     Places are counted from the window's rarest term; n_hit counts the words that match.
     """
-    per_doc = candidates.groupBy("id", "version").agg(F.collect_set(F.struct("start", "window")).alias("starts"))
-    per_doc = settled(per_doc, "near-starts").withColumnsRenamed({"id": "_id", "version": "_version"})
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    read = settled(
-        docs.join(per_doc, same).select("id", "version", words_of(F.col("text")).alias("w"), "starts"), "near-read")
+    read = _texts_with(docs, candidates, "near")
 
     def places(start: Column, window: Column) -> Column:
         return F.transform(window, lambda term, k: F.filter(

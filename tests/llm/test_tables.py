@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,6 +256,31 @@ def test_proximity(spark):
     assert {r.id for r in exact.collect()} == {1} and {r.id for r in near.collect()} == {1, 2}
 
 
+def test_words_of_every_character(spark):
+    texts = ["".join(f"a{chr(c)}Z" for c in range(at, at + 64)) for at in range(0, 0x500, 64)]
+    texts += ["", "..", "A", " b ", "日本 ΑΣ ǅ İ I\u0307 \U0001F600 x", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = rows.select("i", decontamination.words_of(F.col("text")).alias("w"), decontamination.count_words(F.col("text")).alias("n")).collect()
+    for r in got:
+        assert r.w == WORD.findall(ascii_lower(texts[r.i] or "")) and r.n == len(r.w)
+
+
+def test_threads_of_one_jvm_cut_texts_side_by_side(spark):
+    """A class of ranges took about ten times as long as one of single characters with six threads or more."""
+    text = F.repeat(F.concat(F.col("id").cast("string"), F.lit(" The quick brown foxes jumped, over lazy dogs.")), 100)
+    texts = spark.range(0, 6400, 1, 8).select(text.alias("text")).localCheckpoint()
+    single = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+    ways = {"plain": F.size(F.regexp_extract_all(F.col("text"), F.lit(single), F.lit(0))),
+            "counted": decontamination.count_words(F.col("text")), "cut": F.size(decontamination.words_of(F.col("text")))}
+    took = defaultdict(list)
+    for _ in range(4):
+        for name, way in ways.items():
+            began = time.perf_counter()
+            assert texts.agg(F.sum(way)).first()[0] == 6400 * 900
+            took[name].append(time.perf_counter() - began)
+    assert max(min(took["counted"]), min(took["cut"])) < 4 * min(took["plain"])
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 
