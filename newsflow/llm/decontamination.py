@@ -124,7 +124,7 @@ def occurrences(postings: DataFrame, anchors: DataFrame, rarest: int = RAREST, s
         # Of the long lists, which are not sorted for it, those places stay that are asked for.
         terms = lists.select(f"term{k}").distinct()
         other = postings.join(terms, F.col("term") == F.col(f"term{k}"), "left_semi")
-        there = other.join(places.hint("shuffle_hash") if k == 1 else places, here, "left_semi").select(
+        there = other.join(places.hint("shuffle_hash"), here, "left_semi").select(
             F.col("id").alias("_id"), F.col("version").alias("_version"), "term", "pos")
         there = settled(there, "there")
         here = (
